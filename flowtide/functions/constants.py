@@ -174,3 +174,9 @@ LEGACY_ROLLING = 3
 HIST_BINS = 40
 DENSITY_GRID = 100
 LOAD_RATIO_EPS = 1e-6
+
+# --- fixed values: report recommendations (final probability, final latency)
+RECOMMEND_CONGESTED = "Prioritize tower rebalancing, loss reduction, and bandwidth expansion before accepting more traffic."
+RECOMMEND_LATENCY = "Keep rerouting active and review routing paths for avoidable delay."
+RECOMMEND_MONITOR = "Continue monitoring."
+REPORT_METRICS = ["Latency", "Throughput", "Packet Loss", "Congestion Probability"]

@@ -32,7 +32,7 @@ def feature_distribution(df: DataFrame, method: str = "exact") -> DataFrame:
             F.min(x).alias(f"{c}_min"),
             F.max(x).alias(f"{c}_max"),
             F.stddev_pop(x).alias(f"{c}_std"),
-            F.count_distinct(x).alias(f"{c}_nunique"),
+            F.count_distinct(F.round(x, NUNIQUE_DIGITS)).alias(f"{c}_nunique"),
         ]
     one = df.agg(*aggs)
     rows = []

@@ -852,3 +852,312 @@ GROUP BY {', '.join('bin_' + k for k in _BIN_FIELDS)}""",
 )
 def state_occupancy_q(spark, d):
     return out(sc.state_occupancy(sc.state_bins(normalized(spark, d), _BIN_FIELDS), "state_prob"))
+
+
+# ---- what-if projections ------------------------------------------------------------
+
+from ..functions.columns import alert_tier, network_state, post_state  # noqa: E402
+from ..operators import whatif as wi  # noqa: E402
+from . import sqlwhatif as W  # noqa: E402
+
+STEPS = K.PROJECTION_STEPS
+
+
+def whatif_input(spark, d) -> DataFrame:
+    """Scored rows as optimiser states: Mbps = 1000 x ratio, given probability."""
+    return sc.normalize_state(states(spark, d), latency="latency", throughput="throughput_mbps", loss="packet_loss", load="tower_load", prob="prob")
+
+
+def projected(spark, d, policy="priority") -> DataFrame:
+    s = whatif_input(spark, d)
+    return wi.project(s, "state_latency", "state_throughput", "state_packet_loss", "state_tower_load", "state_prob", policy=policy, steps=STEPS)
+
+
+# normalised state with the given (scored) probability, in SQL
+WI_SRC = f""", wn0 AS (SELECT st.*, CASE WHEN throughput_mbps >= 0 AND throughput_mbps <= 1 THEN throughput_mbps * 1000 ELSE throughput_mbps END AS tp0,
+                CASE WHEN packet_loss > 1 THEN packet_loss / 100 ELSE packet_loss END AS loss0 FROM st),
+wsrc AS (SELECT {KEYS_SQL}, latency AS in_latency, throughput_ratio, prob AS in_prob,
+                least(greatest(latency, 5), 5000) AS lat, least(greatest(tp0, 10), 1000) AS tp,
+                least(greatest(loss0, 0), 1) AS loss, least(greatest(tower_load, 10), 100) AS load,
+                least(greatest(prob, 0), 1) AS prob FROM wn0)"""
+
+
+def _wi_sql(policy="priority", src="wsrc", prefix="w"):
+    ctes, final = W.chain(src, policy, STEPS, KEYS_SQL, prefix)
+    return ",\n".join(ctes), final
+
+
+_PRI_CTES, _PRI_FINAL = _wi_sql()
+WI_WITH = ST_WITH + WI_SRC + ",\n" + _PRI_CTES + "\n"
+
+_STEP_COLS = ["action", "latency", "throughput", "packet_loss", "tower_load", "congestion_prob", "reward",
+              "latency_before", "throughput_before", "packet_loss_before", "tower_load_before", "congestion_prob_before"]
+
+
+@register(
+    "whatif_steps",
+    WI_WITH
+    + "SELECT "
+    + ", ".join([KEYS_SQL, "step", "action"] + [S.r(c, c) for c in _STEP_COLS[1:]])
+    + f" FROM ({W.step_rows(_PRI_FINAL, STEPS, KEYS_SQL)})",
+)
+def whatif_steps_q(spark, d):
+    return out(wi.step_log(projected(spark, d), FLOW_KEYS))
+
+
+SUMMARY_SQL = f"""{S.heuristic('init_lat', 'init_loss', 'init_tp')}"""
+
+
+def _summary_select(final: str) -> str:
+    ic = SUMMARY_SQL
+    return (
+        f"{S.r('total', 'total_reward')}, {S.r(f'({ic} - prob) / greatest({ic}, 1e-6) * 100.0', 'congestion_reduction_pct')}, "
+        f"{S.r('(init_lat - lat) / greatest(init_lat, 1e-6) * 100.0', 'latency_improvement_pct')}, "
+        f"{S.r('(tp - init_tp) / greatest(init_tp, 1e-6) * 100.0', 'throughput_improvement_pct')}, "
+        f"array_to_string({W.actions_list(STEPS)}, ' → ') AS action_sequence"
+    )
+
+
+@register("step_log_summary", WI_WITH + f"SELECT {KEYS_SQL}, {_summary_select(_PRI_FINAL)} FROM {_PRI_FINAL}")
+def step_log_summary_q(spark, d):
+    p = wi.summary_columns(projected(spark, d))
+    return out(p.select(*FLOW_KEYS, "total_reward", "congestion_reduction_pct", "latency_improvement_pct", "throughput_improvement_pct", "action_sequence"))
+
+
+def _batch_spark(spark, d) -> DataFrame:
+    p = wi.summary_columns(projected(spark, d))
+    cong = F.col("prob") > K.CONGESTED_ABOVE
+    return p.select(
+        *FLOW_KEYS,
+        F.col("latency"),
+        F.col("packet_loss"),
+        F.col("throughput_ratio").alias("throughput"),
+        F.col("prob").alias("congestion_prob"),
+        network_state(F.col("prob")).alias("network_state"),
+        alert_tier(F.col("prob")).alias("alert_level"),
+        F.when(cong, F.col("congestion_reduction_pct")).otherwise(0.0).alias("opt_congestion_reduction_pct"),
+        F.when(cong, F.col("latency_improvement_pct")).otherwise(0.0).alias("opt_latency_improvement_pct"),
+        F.when(cong, F.col("throughput_improvement_pct")).otherwise(0.0).alias("opt_throughput_gain_pct"),
+        F.when(cong, F.col("action_sequence")).otherwise("").alias("recommended_action"),
+    )
+
+
+def _batch_sql_select(final: str) -> str:
+    ic = SUMMARY_SQL
+    cong = "in_prob > 0.5"
+    return f"""SELECT {KEYS_SQL}, {S.r('in_latency', 'latency')}, {S.r('packet_loss_in', 'packet_loss')}, {S.r('throughput_ratio', 'throughput')},
+       {S.r('in_prob', 'congestion_prob')}, {_state_sql('in_prob')} AS network_state, {_tier_sql('in_prob')} AS alert_level,
+       {S.r(f'CASE WHEN {cong} THEN ({ic} - prob) / greatest({ic}, 1e-6) * 100.0 ELSE 0.0 END', 'opt_congestion_reduction_pct')},
+       {S.r(f'CASE WHEN {cong} THEN (init_lat - lat) / greatest(init_lat, 1e-6) * 100.0 ELSE 0.0 END', 'opt_latency_improvement_pct')},
+       {S.r(f'CASE WHEN {cong} THEN (tp - init_tp) / greatest(init_tp, 1e-6) * 100.0 ELSE 0.0 END', 'opt_throughput_gain_pct')},
+       CASE WHEN {cong} THEN array_to_string({W.actions_list(STEPS)}, ' → ') ELSE '' END AS recommended_action
+FROM {final}"""
+
+
+_BATCH_SRC = WI_SRC.replace("prob AS in_prob,", "prob AS in_prob, packet_loss AS packet_loss_in,")
+_BATCH_WITH = ST_WITH + _BATCH_SRC + ",\n" + _PRI_CTES + "\n"
+
+
+@register("batch_analysis", _BATCH_WITH + _batch_sql_select(_PRI_FINAL))
+def batch_analysis_q(spark, d):
+    return out(_batch_spark(spark, d))
+
+
+@register(
+    "batch_summary",
+    _BATCH_WITH
+    + f""", ba AS ({_batch_sql_select(_PRI_FINAL)})
+SELECT count(*) AS rows, count(*) FILTER (WHERE congestion_prob > 0.5) AS congested_rows,
+       round(count(*) FILTER (WHERE congestion_prob > 0.5) * 100.0 / count(*), 6) AS congested_pct,
+       round(avg(congestion_prob), 6) AS avg_congestion_prob, round(avg(opt_congestion_reduction_pct), 6) AS avg_opt_improvement FROM ba""",
+)
+def batch_summary_q(spark, d):
+    b = _batch_spark(spark, d)
+    return out(
+        b.agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.count_if(F.col("congestion_prob") > K.CONGESTED_ABOVE).alias("congested_rows"),
+            (F.count_if(F.col("congestion_prob") > K.CONGESTED_ABOVE) * 100.0 / F.count(F.lit(1))).alias("congested_pct"),
+            F.avg("congestion_prob").alias("avg_congestion_prob"),
+            F.avg("opt_congestion_reduction_pct").alias("avg_opt_improvement"),
+        )
+    )
+
+
+# before/after for congested rows: fresh state, tower load 60, probability re-derived
+BA_SRC = f""", bn0 AS (SELECT st.*, CASE WHEN throughput_mbps >= 0 AND throughput_mbps <= 1 THEN throughput_mbps * 1000 ELSE throughput_mbps END AS tp0,
+                CASE WHEN packet_loss > 1 THEN packet_loss / 100 ELSE packet_loss END AS loss0 FROM st WHERE prob > 0.5),
+bsrc AS (SELECT {KEYS_SQL}, prob AS scored_prob,
+                least(greatest(latency, 5), 5000) AS lat, least(greatest(tp0, 10), 1000) AS tp,
+                least(greatest(loss0, 0), 1) AS loss, {K.POST_TOWER_LOAD} AS load,
+                least(greatest({S.heuristic('latency', 'loss0', 'tp0')}, 0), 1) AS prob FROM bn0)"""
+_BA_CTES, _BA_FINAL = _wi_sql(src="bsrc", prefix="v")
+BA_WITH = ST_WITH + BA_SRC + ",\n" + _BA_CTES + "\n"
+
+
+def _before_after_sql() -> str:
+    post = S.heuristic("lat", "loss", "tp")
+    return f"""SELECT {KEYS_SQL}, {S.r('init_lat', 'before_latency')}, {S.r('init_loss', 'before_packet_loss')}, {S.r('init_tp', 'before_throughput')},
+       {S.r('scored_prob', 'before_congestion')}, {S.r('lat', 'after_latency')}, {S.r('loss', 'after_packet_loss')}, {S.r('tp', 'after_throughput')},
+       {S.r(post, 'after_congestion')},
+       CASE WHEN {post} > 0.7 THEN 'Congestion Detected' WHEN {post} > 0.4 THEN 'Warning' ELSE 'Normal Network' END AS after_state,
+       {_tier_sql(post)} AS after_alert, {S.r(f'(scored_prob - {post}) / scored_prob * 100', 'congestion_cut_by')},
+       array_to_string({W.actions_list(STEPS)}, ' → ') AS action_sequence
+FROM {_BA_FINAL}"""
+
+
+def _before_after_spark(spark, d) -> DataFrame:
+    s = states(spark, d).where(F.col("prob") > K.CONGESTED_ABOVE).withColumn("post_load", F.lit(K.POST_TOWER_LOAD))
+    n = sc.normalize_state(s, latency="latency", throughput="throughput_mbps", loss="packet_loss", load="post_load", prob=None)
+    p = wi.project(n, "state_latency", "state_throughput", "state_packet_loss", "state_tower_load", "state_prob", steps=STEPS)
+    p = p.withColumn("after_congestion", wi._prob(F.col("final_latency"), F.col("final_packet_loss"), F.col("final_throughput")))
+    return p.select(
+        *FLOW_KEYS,
+        F.col("init_latency").alias("before_latency"),
+        F.col("init_packet_loss").alias("before_packet_loss"),
+        F.col("init_throughput").alias("before_throughput"),
+        F.col("prob").alias("before_congestion"),
+        F.col("final_latency").alias("after_latency"),
+        F.col("final_packet_loss").alias("after_packet_loss"),
+        F.col("final_throughput").alias("after_throughput"),
+        F.col("after_congestion"),
+        post_state(F.col("after_congestion")).alias("after_state"),
+        alert_tier(F.col("after_congestion")).alias("after_alert"),
+        ((F.col("prob") - F.col("after_congestion")) / F.col("prob") * 100).alias("congestion_cut_by"),
+        F.array_join("actions", " → ").alias("action_sequence"),
+    )
+
+
+@register("before_after", BA_WITH + _before_after_sql())
+def before_after_q(spark, d):
+    return out(_before_after_spark(spark, d))
+
+
+@register(
+    "post_summary",
+    BA_WITH
+    + f""", pa AS ({_before_after_sql()})
+SELECT count(*) AS rows_optimized, count(*) FILTER (WHERE after_alert = 'Normal') AS now_normal,
+       round(count(*) FILTER (WHERE after_alert = 'Normal') * 100.0 / count(*), 6) AS now_normal_pct,
+       round(avg(congestion_cut_by), 6) AS avg_congestion_cut, count(*) FILTER (WHERE after_alert <> 'Normal') AS still_congested FROM pa""",
+)
+def post_summary_q(spark, d):
+    b = _before_after_spark(spark, d)
+    normal = F.col("after_alert") == "Normal"
+    return out(
+        b.agg(
+            F.count(F.lit(1)).alias("rows_optimized"),
+            F.count_if(normal).alias("now_normal"),
+            (F.count_if(normal) * 100.0 / F.count(F.lit(1))).alias("now_normal_pct"),
+            F.avg("congestion_cut_by").alias("avg_congestion_cut"),
+            F.count_if(~normal).alias("still_congested"),
+        )
+    )
+
+
+def _report_sql() -> str:
+    rec = (
+        f"CASE WHEN prob > 0.5 THEN '{K.RECOMMEND_CONGESTED}' WHEN lat > 100.0 THEN '{K.RECOMMEND_LATENCY}' ELSE '{K.RECOMMEND_MONITOR}' END"
+    )
+    pairs = [("init_lat", "lat"), ("init_tp", "tp"), ("init_loss", "loss"), ("init_prob", "prob")]
+    parts = [
+        f"SELECT {KEYS_SQL}, '{m}' AS metric, {S.r(a, 'initial_value')}, {S.r(b, 'final_value')}, {rec} AS recommendation FROM {_PRI_FINAL}"
+        for m, (a, b) in zip(K.REPORT_METRICS, pairs)
+    ]
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("initial_final_report", WI_WITH + _report_sql())
+def initial_final_report_q(spark, d):
+    p = projected(spark, d)
+    rec = (
+        F.when(F.col("final_prob") > 0.5, K.RECOMMEND_CONGESTED)
+        .when(F.col("final_latency") > 100.0, K.RECOMMEND_LATENCY)
+        .otherwise(K.RECOMMEND_MONITOR)
+    )
+    pairs = [("init_latency", "final_latency"), ("init_throughput", "final_throughput"), ("init_packet_loss", "final_packet_loss"), ("init_prob", "final_prob")]
+    structs = [F.struct(F.lit(m).alias("metric"), F.col(a).alias("initial_value"), F.col(b).alias("final_value")) for m, (a, b) in zip(K.REPORT_METRICS, pairs)]
+    return out(p.select(*FLOW_KEYS, rec.alias("recommendation"), F.inline(F.array(*structs))))
+
+
+# simulator reset from a state record (strategy comparison, single decisions)
+SIM_SRC = f""", sim AS (SELECT {KEYS_SQL}, least(greatest(latency, 5), 5000) AS lat, least(greatest(throughput_mbps, 10), 1000) AS tp,
+               least(greatest(CASE WHEN packet_loss > 1 THEN packet_loss / 100 ELSE packet_loss END, 0), 1) AS loss,
+               least(greatest(tower_load, 0), 100) AS load FROM st),
+simp AS (SELECT *, least(greatest({S.heuristic('lat', 'loss', 'tp')}, 0), 1) AS prob FROM sim)"""
+
+
+def sim_state(spark, d) -> DataFrame:
+    return wi.simulator_state(states(spark, d), "latency", "throughput_mbps", "packet_loss", "tower_load")
+
+
+def _sim_cols(df):
+    return df.withColumns({"_lat": F.col("s_lat"), "_tp": F.col("s_tp"), "_loss": F.col("s_loss"), "_load": F.col("s_load"), "_prob": F.col("s_prob"), "_h1": F.lit(None).cast("string"), "_h2": F.lit(None).cast("string"), "_n": F.lit(0)})
+
+
+@register(
+    "recommended_action",
+    ST_WITH + SIM_SRC + f""", ra AS (SELECT *, {W._prios()} AS prios FROM simp)
+SELECT {KEYS_SQL}, CASE WHEN prob < {K.IDLE_BELOW} THEN 'do_nothing' ELSE prios[1] END AS recommended_action FROM ra""",
+)
+def recommended_action_q(spark, d):
+    t = wi.priority_action(_sim_cols(sim_state(spark, d)))
+    return out(t.select(*FLOW_KEYS, F.col("_act").alias("recommended_action")))
+
+
+@register("rule_action", ST_WITH + SIM_SRC + f"SELECT {KEYS_SQL}, {W.rule_sql()} AS rule_action FROM simp")
+def rule_action_q(spark, d):
+    t = sim_state(spark, d)
+    return out(t.select(*FLOW_KEYS, wi.rule_action_expr(F.col("s_lat"), F.col("s_tp"), F.col("s_loss"), F.col("s_load"), F.col("s_prob")).alias("rule_action")))
+
+
+def _best_sql() -> str:
+    rsel, act = W.greedy_sql()
+    best = "greatest(" + ", ".join(f"r{i}" for i in range(len(K.ACTIONS))) + ")"
+    return f""", gb AS (SELECT *, {rsel} FROM simp)
+SELECT {KEYS_SQL}, {act} AS best_action, {S.r(best, 'best_reward')} FROM gb"""
+
+
+@register("best_single_action", ST_WITH + SIM_SRC + _best_sql())
+def best_single_action_q(spark, d):
+    t = _sim_cols(sim_state(spark, d))
+    lat, tp, loss, load, p = (F.col(c) for c in wi.STATE)
+    g = wi.greedy_action(t)
+    e = wi._effect(F.col("_act"), lat, tp, loss, load)
+    g = g.withColumns({"_nl": e["lat"], "_nt": e["tp"], "_ns": e["loss"]})
+    pn = wi._prob(F.col("_nl"), F.col("_ns"), F.col("_nt"))
+    g = g.withColumn("_np", pn)
+    rew = wi._reward(F.col("_act"), p, F.col("_np"), lat, F.col("_nl"), tp, F.col("_nt"))
+    return out(g.select(*FLOW_KEYS, F.col("_act").alias("best_action"), rew.alias("best_reward")))
+
+
+def _strategy_sql() -> str:
+    parts, ctes = [], []
+    for name, pol, pre in [("RL Agent", "priority", "xa"), ("Greedy", "greedy", "xb"), ("Random", "random", "xc"), ("Rule-based", "rule", "xd")]:
+        c, final = W.chain("simp", pol, STEPS, KEYS_SQL, pre)
+        ctes += c
+        parts.append(
+            f"SELECT '{name}' AS strategy, count(*) AS rows, {S.r('avg(prob)', 'final_congestion_prob')}, {S.r('avg(lat)', 'latency')}, "
+            f"{S.r('avg(tp)', 'throughput')}, {S.r('avg(loss)', 'packet_loss')}, {S.r('avg(load)', 'tower_load')}, {S.r('avg(total)', 'total_reward')} FROM {final}"
+        )
+    return ",\n" + ",\n".join(ctes) + "\n" + "\nUNION ALL\n".join(parts)
+
+
+@register("strategy_comparison", ST_WITH + SIM_SRC + _strategy_sql())
+def strategy_comparison_q(spark, d):
+    base = sim_state(spark, d)
+    frames = []
+    for name, pol in zip(K.STRATEGIES, ["priority", "greedy", "random", "rule"]):
+        p = wi.project(base, "s_lat", "s_tp", "s_loss", "s_load", "s_prob", policy=pol, steps=STEPS, key_cols=FLOW_KEYS)
+        frames.append(
+            p.groupBy(F.lit(name).alias("strategy")).agg(
+                F.count(F.lit(1)).alias("rows"),
+                F.avg("final_prob").alias("final_congestion_prob"),
+                F.avg("final_latency").alias("latency"),
+                F.avg("final_throughput").alias("throughput"),
+                F.avg("final_packet_loss").alias("packet_loss"),
+                F.avg("final_tower_load").alias("tower_load"),
+                F.avg("total_reward").alias("total_reward"),
+            )
+        )
+    return out(union_sources(frames))
