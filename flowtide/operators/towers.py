@@ -10,6 +10,13 @@ from .profile import quantiles
 from .window import IDX, ordered_index
 
 
+def tercile_levels() -> list[float]:
+    """Tercile quantile levels as pandas evaluates them: through percent
+    (q * 100, then / 100), which moves 1/3 and 2/3 down by an ulp and decides
+    which side of an edge a tied rank lands on."""
+    return [(i / 3) * 100.0 / 100.0 for i in range(4)]
+
+
 def tower_segments(df: DataFrame, value: str = "throughput", order_cols: list[str] | None = None, method: str = "exact") -> DataFrame:
     """Terciles A/B/C by quantile edges (right-closed, lowest included).
 
@@ -17,7 +24,7 @@ def tower_segments(df: DataFrame, value: str = "throughput", order_cols: list[st
     (row position in ``value, *order_cols`` order) cut at the rank terciles,
     which needs the distributed row index rather than ``ntile``.
     """
-    q = quantiles(df, {"v": (value, [0.0, 1 / 3, 2 / 3, 1.0])}, method=method)
+    q = quantiles(df, {"v": (value, tercile_levels())}, method=method)
     e0, e1, e2, e3 = q["v"]
     n = q["v__n"]
     a, b, c = K.TOWER_LABELS
@@ -26,7 +33,8 @@ def tower_segments(df: DataFrame, value: str = "throughput", order_cols: list[st
         return df.withColumn("tower", F.when(v <= e1, a).when(v <= e2, b).when(v <= e3, c))
     indexed, _n = ordered_index(df, [value] + (order_cols or []))
     r = F.col(IDX) + 1
-    r1, r2 = 1 + (n - 1) / 3, 1 + 2 * (n - 1) / 3
+    lv = tercile_levels()
+    r1, r2 = 1 + (n - 1) * lv[1], 1 + (n - 1) * lv[2]
     return indexed.withColumn("tower", F.when(r <= r1, a).when(r <= r2, b).otherwise(c)).drop(IDX)
 
 

@@ -258,7 +258,9 @@ def summary_columns(projected: DataFrame) -> DataFrame:
 
 def step_log(projected: DataFrame, key_cols: list[str]) -> DataFrame:
     """Long step table: one row per (row, step) via ``inline`` (no shuffle)."""
-    return projected.select(*key_cols, F.inline("log"))
+    # inline_outer: a non-outer generator makes Catalyst infer size(log) > 0 and push
+    # that filter through every step projection, inlining the whole chain
+    return projected.select(*key_cols, F.inline_outer("log"))
 
 
 def post_tier(p: Column) -> dict[str, Column]:

@@ -72,7 +72,13 @@ def features(spark, d) -> DataFrame:
 
 
 def states(spark, d) -> DataFrame:
-    return states_from_features(features(spark, d), prob="risk")
+    from ..operators.partitioning import spread
+
+    # the projections below are CPU-heavy per row: make sure every core gets rows
+    from ..operators.partitioning import spread
+
+    # the projections below are CPU-heavy per row: make sure every core gets rows
+    return spread(states_from_features(features(spark, d), prob="risk"))
 
 
 def telemetry(spark, d):
@@ -578,7 +584,7 @@ def stratified_split_q(spark, d):
 
 # ---- towers -------------------------------------------------------------------------
 
-TOWER_SQL = f""", tq AS (SELECT quantile_cont(throughput, {1 / 3!r}) AS e1, quantile_cont(throughput, {2 / 3!r}) AS e2 FROM feat),
+TOWER_SQL = f""", tq AS (SELECT quantile_cont(throughput, {tw.tercile_levels()[1]!r}) AS e1, quantile_cont(throughput, {tw.tercile_levels()[2]!r}) AS e2 FROM feat),
 tws AS (SELECT feat.*, CASE WHEN throughput <= e1 THEN 'A' WHEN throughput <= e2 THEN 'B' ELSE 'C' END AS tower FROM feat, tq),
 tsum AS (SELECT tower, count(*) AS records, avg(CAST(congestion AS DOUBLE)) AS rate FROM tws GROUP BY tower),
 trank AS (SELECT tower, records, rate, rate * 100 AS pct, row_number() OVER (ORDER BY rate * 100 DESC, tower) AS rank FROM tsum)"""
@@ -1077,7 +1083,7 @@ def initial_final_report_q(spark, d):
     )
     pairs = [("init_latency", "final_latency"), ("init_throughput", "final_throughput"), ("init_packet_loss", "final_packet_loss"), ("init_prob", "final_prob")]
     structs = [F.struct(F.lit(m).alias("metric"), F.col(a).alias("initial_value"), F.col(b).alias("final_value")) for m, (a, b) in zip(K.REPORT_METRICS, pairs)]
-    return out(p.select(*FLOW_KEYS, rec.alias("recommendation"), F.inline(F.array(*structs))))
+    return out(p.select(*FLOW_KEYS, rec.alias("recommendation"), F.inline_outer(F.array(*structs))))
 
 
 # simulator reset from a state record (strategy comparison, single decisions)
@@ -1161,3 +1167,127 @@ def strategy_comparison_q(spark, d):
             )
         )
     return out(union_sources(frames))
+
+
+# ---- attribution ---------------------------------------------------------------------
+
+from ..operators import explain as ex  # noqa: E402
+
+
+def _attribution_sql() -> str:
+    bgcols = {"latency": "bl", "throughput": "bt", "packet_loss": "bp"}
+    v = {}
+    for m in ex.MASKS:
+        args = [c if present else bgcols[c] for c, present in zip(K.FEATURES, m)]
+        v[m] = S.risk(*args)
+    phis = []
+    for i, c in enumerate(K.FEATURES):
+        terms = []
+        for m in ex.MASKS:
+            if m[i] == 1:
+                continue
+            with_i = tuple(1 if j == i else m[j] for j in range(3))
+            terms.append(f"{ex._weight(m, i)!r} * ({v[with_i]} - {v[m]})")
+        phis.append(S.r(" + ".join(terms), f"phi_{c}"))
+    return (
+        ", bg AS (SELECT avg(latency) AS bl, avg(throughput) AS bt, avg(packet_loss) AS bp FROM feat),\n"
+        f"la AS (SELECT {KEYS_SQL}, {', '.join(phis)}, {S.r(v[(0, 0, 0)], 'base_value')}, {S.r(v[(1, 1, 1)], 'f_x')} FROM feat, bg)\n"
+    )
+
+
+@register("local_attribution", FEAT_WITH + _attribution_sql() + "SELECT * FROM la")
+def local_attribution_q(spark, d):
+    a = ex.local_attribution(features(spark, d))
+    return out(a.select(*FLOW_KEYS, *[f"phi_{c}" for c in K.FEATURES], "base_value", "f_x"))
+
+
+@register(
+    "global_attribution",
+    FEAT_WITH
+    + _attribution_sql()
+    + ", ga AS ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS feature, avg(abs(phi_{c})) AS m FROM la" for c in K.FEATURES)
+    + ")\nSELECT feature, round(m, 6) AS mean_abs_attribution, row_number() OVER (ORDER BY m DESC, feature) AS rank FROM ga",
+)
+def global_attribution_q(spark, d):
+    return out(ex.global_attribution(ex.local_attribution(features(spark, d))))
+
+
+# ---- model training and scoring (rows / invariants only) --------------------------------
+
+from ..operators import ml  # noqa: E402
+
+_MODEL_CACHE: dict = {}
+
+
+def _training(spark, d):
+    key = (id(spark), d)
+    if key not in _MODEL_CACHE:
+        data = ml.with_class_weights(ml.assemble(features(spark, d)))
+        train, test = ml.split(data, FLOW_KEYS)
+        model = ml.fit_forest(train, K.RF_CANDIDATES[0])
+        _MODEL_CACHE[key] = (train, test, model)
+    return _MODEL_CACHE[key]
+
+
+@register("forest_scores")
+def forest_scores_q(spark, d):
+    _train, test, model = _training(spark, d)
+    return out(ml.predict(model, test).select(*FLOW_KEYS, "congestion", "prob", "pred"))
+
+
+@register("thresholded_predictions")
+def thresholded_predictions_q(spark, d):
+    _train, test, model = _training(spark, d)
+    frames = [ml.predict(model, test, t).select(*FLOW_KEYS, F.lit(t).alias("threshold"), "prob", "pred") for t in (0.3, 0.5, 0.7)]
+    return out(union_sources(frames))
+
+
+@register("feature_importance")
+def feature_importance_q(spark, d):
+    _train, _test, model = _training(spark, d)
+    rows = [(f, float(v), i + 1) for i, (f, v) in enumerate(ml.feature_importance(model))]
+    return out(spark.createDataFrame(rows, "feature string, importance double, rank int"))
+
+
+@register("holdout_metrics")
+def holdout_metrics_q(spark, d):
+    _train, test, model = _training(spark, d)
+    return out(ml.binary_metrics(ml.predict(model, test), "congestion", "pred"))
+
+
+@register("metric_gate")
+def metric_gate_q(spark, d):
+    return out(ml.metric_gate(holdout_metrics_q(spark, d)))
+
+
+@register("sensitivity_report")
+def sensitivity_report_q(spark, d):
+    _train, _test, model = _training(spark, d)
+    return out(ml.sensitivity_probes(spark, model))
+
+
+@register("score_batch")
+def score_batch_q(spark, d):
+    """Model probability with safety overrides for every scored row."""
+    _train, _test, model = _training(spark, d)
+    scored = ml.predict(model, ml.assemble(features(spark, d)))
+    return out(sc.safety_overrides(scored).select(*FLOW_KEYS, "prob", "pred", "final_prob", "final_pred"))
+
+
+@register("logistic_scores")
+def logistic_scores_q(spark, d):
+    train, test, _model = _training(spark, d)
+    model, imp = ml.fit_logistic(train)
+    p = ml.predict(model, test)
+    return out(p.select(*FLOW_KEYS, "prob", "pred", *[F.lit(imp[c]).alias(f"importance_{c}") for c in K.FEATURES]))
+
+
+@register("candidate_report")
+def candidate_report_q(spark, d):
+    train, test, _model = _training(spark, d)
+    tr, valid = ml.split(train, FLOW_KEYS, seed=K.MODEL_SEED, test_fraction=0.2)
+    _m, _p, report = ml.candidate_ladder(tr, valid)
+    schema = ("candidate int, num_trees int, max_depth int, min_instances int, accuracy double, precision double, recall double, f1 double, "
+              "importance_latency double, importance_throughput double, importance_packet_loss double")
+    return out(spark.createDataFrame(report, schema))
