@@ -38,9 +38,15 @@ def union_sources(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _is_remote(path: str) -> bool:
+    return "://" in path and not path.startswith("file://")
+
+
 def _csv_files(path: str | list[str]) -> list[str]:
     if isinstance(path, (list, tuple)):
         return list(path)
+    if _is_remote(path):
+        return [path.rstrip("/") + "/*.csv" if not path.endswith(".csv") else path]
     if os.path.isdir(path):
         return sorted(glob.glob(os.path.join(path, "*.csv")))
     return sorted(glob.glob(path)) or [path]
@@ -59,6 +65,9 @@ def read_flow_csv(spark: SparkSession, path: str | list[str], schema=None) -> Da
         raise FileNotFoundError(f"No CSV files found in {path}")
     if schema is not None:
         return strip_headers(spark.read.csv(files, header=True, schema=schema))
+    if any(_is_remote(f) for f in files):
+        # shared storage: one distributed read; Spark maps columns by the header
+        return strip_headers(spark.read.csv(files, header=True, inferSchema=False))
     by_header: dict[str, list[str]] = {}
     for f in files:
         with open(f, encoding="utf-8", errors="replace") as fh:
