@@ -20,6 +20,9 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
+        # generated methods above 8 KB of bytecode are never JIT-compiled by the JVM;
+        # fall back to per-expression code for such stages instead of interpreting them
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
     )
     for k, v in (extra or {}).items():
         b = b.config(k, v)
