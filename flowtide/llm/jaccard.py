@@ -9,10 +9,11 @@ hash into ``K > d`` parts, so two linked sets agree wholly on at least ``K - d``
 parts, and each agreeing part that is not empty has an equal key.  Sizes fall
 into bands that fix ``K``; a set that reaches into the next band gives keys for
 that band too.  (A set with ``K - d`` or more empty parts also gives the keys of
-those.)  Equal keys only say that two sets must be compared.  They are reduced
-to stars around the least member, first inside each task and then by key, so a
-key that a third of the rows share sends one row per task.  The stars' connected
-components are the groups that cannot link to each other.
+those.)  Keys that only one set has are dropped, then sets that share fewer keys
+than any link of theirs must, and so again.  Each remaining key ties its sets to
+the least of them; the connected components of these ties are the groups that
+cannot link to each other.  A key that many sets of one task have sends one row
+to its meeting point from there, so a key of a third of all rows is no hot spot.
 
 **Signature trees.**  In each group the sets are leaves of a tree whose nodes
 hold the OR of their sets' bitmaps, the range of their sizes and the most bit
@@ -81,7 +82,7 @@ class Threshold:
         while True:
             high = max(low, low * self.den * self.den // (self.num * self.num))
             d = 2 * high * (self.den - self.num) // (self.den + self.num)
-            out.append((high, d, d + 1 + -(-d // 10)))
+            out.append((high, d, d + 1 + -(-d // 4)))
             if low > most:
                 return out
             low = high + 1
@@ -99,13 +100,17 @@ def sets_of(buf: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return h, at, mix(total + n.astype(np.uint64)).view(np.int64)
 
 
-def part_keys(h: np.ndarray, at: np.ndarray, names: np.ndarray, t: Threshold) -> tuple[np.ndarray, np.ndarray]:
-    """(key, set name) for every part that each set answers for."""
+def part_keys(h: np.ndarray, at: np.ndarray, names: np.ndarray, t: Threshold) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, set name, need) for every part that each set answers for.
+
+    The low six bits of a key are its band; ``need`` is the least number of keys
+    of that band which the set shares with any set it links to.
+    """
     n = np.diff(at)
     bands = t.bands(int(n.max(initial=1)))
     high = np.array([b[0] for b in bands])
     own = np.searchsorted(high, n)
-    keys, who = [], []
+    out = [(np.zeros(0, np.int64),) * 3]
     for up in (0, 1):
         band = own + up
         use = n > 0 if not up else (n > 0) & t.sizes_fit(n, high[own] + 1)
@@ -126,72 +131,86 @@ def part_keys(h: np.ndarray, at: np.ndarray, names: np.ndarray, t: Threshold) ->
         row = np.repeat(np.arange(len(rows)), parts)
         part = np.arange(total) - base[row]
         empty = np.bincount(row, weights=count == 0, minlength=len(rows)).astype(np.int64)
-        give = (count > 0) | (empty >= parts - d)[row]
+        tell = empty >= parts - d
+        give = (count > 0) | tell[row]
         key = mix(low.astype(np.uint64) + mix(top.astype(np.uint64)) + mix((band[rows][row] << 32 | part).astype(np.uint64)))
-        keys.append(key[give])
-        who.append(names[rows][row[give]])
-    if not keys:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(keys).view(np.int64), np.concatenate(who)
+        key = (key & ~np.uint64(63)) | (band[rows][row] & 63).astype(np.uint64)
+        need = np.where(tell, parts - d, parts - d - empty)
+        out.append((key[give].view(np.int64), names[rows][row[give]], need[row[give]]))
+    return tuple(np.concatenate(c) for c in zip(*out))
 
 
-def stars(keys: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """One (key, least member) per key, and distinct edges to that member."""
-    order = np.lexsort((who, keys))
-    keys, who = keys[order], who[order]
-    first = np.ones(len(keys), bool)
-    first[1:] = keys[1:] != keys[:-1]
-    hub = who[first][np.cumsum(first) - 1]
-    far = who != hub
-    if not far.any():
-        return keys[first], who[first], who[:0], who[:0]
-    edges = np.unique(np.stack([who[far], hub[far]], axis=1), axis=0)
-    return keys[first], who[first], edges[:, 0], edges[:, 1]
+_KEYED = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("need", pa.int32()), ("met", pa.bool_())])
+KEYED = "key long, a long, need int, met boolean"
 
 
-_KEYED = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
-_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First row of every run of equal keys, and the run's length at each row."""
+    first = np.ones(len(key), bool)
+    first[1:] = key[1:] != key[:-1]
+    at = np.flatnonzero(first)
+    return first, np.repeat(np.diff(np.append(at, len(key))), np.diff(np.append(at, len(key))))
 
 
 def _emit(k: int, t: Threshold, flush: int = 4_000_000):
-    """Keys of all sets; what meets inside the task is reduced to stars there."""
-
-    def out(keys, who):
-        keys, who, a, b = stars(np.concatenate(keys), np.concatenate(who))
-        none = pa.nulls(len(keys), pa.int64())
-        yield from pa.Table.from_arrays([pa.array(keys), pa.array(who), none], schema=_KEYED).to_batches(100_000)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(a), pa.array(b)], schema=_KEYED)
+    """Keys of all sets.  Rows whose key has met another set in this task are
+    marked; only the first of them goes on to look for sets of other tasks."""
+
+    def out(cols):
+        key, a, need = (np.concatenate(c) for c in zip(*cols))
+        order = np.lexsort((a, key))
+        key, a, need = key[order], a[order], need[order]
+        own = np.ones(len(key), bool)
+        own[1:] = (key[1:] != key[:-1]) | (a[1:] != a[:-1])
+        key, a, need = key[own], a[own], need[own].astype(np.int32)
+        first, length = _runs(key)
+        for rows, met in ((first, False), (length > 1, True)):
+            part = [pa.array(key[rows]), pa.array(a[rows]), pa.array(need[rows]), pa.array(np.full(int(rows.sum()), met))]
+            yield from pa.Table.from_arrays(part, schema=_KEYED).to_batches(100_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, who, held = [], [], 0
+        cols, held = [], 0
         for batch in batches:
             buf, offs = utf8(batch.column(0))
             for i, j in slices(offs):
-                h, at, names = sets_of(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], k)
-                x, y = part_keys(h, at, names, t)
-                keys.append(x), who.append(y)
-                held += len(x)
+                cols.append(part_keys(*sets_of(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], k), t))
+                held += len(cols[-1][0])
             if held > flush:
-                yield from out(keys, who)
-                keys, who, held = [], [], 0
+                yield from out(cols)
+                cols, held = [], 0
         if held:
-            yield from out(keys, who)
+            yield from out(cols)
 
     return run
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition's keys (all rows of a key are here) to edges."""
+    """Of a partition's rows, those whose key more than one set has."""
     got = pa.Table.from_batches(list(batches), schema=_KEYED)
     if not got.num_rows:
         return
-    key, a, b = (got.column(c).combine_chunks() for c in range(3))
-    edge = b.is_valid().to_numpy(zero_copy_only=False)
-    _, _, x, y = stars(key.to_numpy()[~edge], a.to_numpy()[~edge])
-    x, y = np.concatenate([x, a.to_numpy()[edge]]), np.concatenate([y, b.drop_null().to_numpy()])
-    if len(x):
-        both = np.unique(np.stack([x, y], axis=1), axis=0)
-        yield from pa.Table.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], schema=_EDGES).to_batches(100_000)
+    met = got.column("met").to_numpy()
+    yield from got.filter(pa.array(met)).to_batches(100_000)
+    rest = got.filter(pa.array(~met))
+    key, a = rest.column("key").to_numpy(), rest.column("a").to_numpy()
+    order = np.lexsort((a, key))
+    _, length = _runs(key[order])
+    yield from rest.take(pa.array(order[length > 1])).to_batches(100_000)
+
+
+def shared_keys(rows: DataFrame, k: int, t: Threshold, rounds: int = 1) -> DataFrame:
+    """(key, a) of all sets that share enough keys to have a link."""
+    parts = shuffle_partitions(rows.sparkSession)
+    at = F.when(F.col("met"), F.xxhash64("key", "a")).otherwise(F.col("key"))
+    raw = rows.select("text").mapInArrow(_emit(k, t), KEYED).repartition(parts, at).mapInArrow(_meet, KEYED)
+    now = raw.groupBy("key", "a").agg(F.max("need").alias("need"))
+    for _ in range(rounds):
+        band = F.col("key").bitwiseAND(F.lit(63))
+        many = now.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+        now = now.join(many, "key")
+        enough = now.groupBy("a", band.alias("band")).agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("n")).where("c >= n").select("a", "band")
+        now = cut(now.join(enough, (now["a"] == enough["a"]) & (band == enough["band"]), "left_semi"))
+    return now.select("key", "a")
 
 
 # ---- signature trees --------------------------------------------------------
@@ -306,6 +325,7 @@ def _unpack(column) -> list[np.ndarray]:
 
 def _tree_group(t: Threshold):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("name")  # a repeated doc_id may bring a set twice
         sets, names = _unpack(pdf["shingles"]), pdf["name"].to_numpy()
         tree = Tree(sets, _bits(sets))
         at = np.arange(len(sets))
@@ -349,6 +369,9 @@ def _named(k: int):
     return run
 
 
+SETS = "name long, grp long, n long, shingles binary"
+
+
 def _with_sets(k: int):
     """Texts of known groups to their sets; a text must give the name it came for."""
     schema = pa.schema([("name", pa.int64()), ("grp", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary())])
@@ -377,40 +400,36 @@ def _check_pair(t: Threshold):
     return linked
 
 
-def _large_links(sets: DataFrame, edges: DataFrame, t: Threshold, group_sets: int) -> DataFrame:
-    """Links of the groups that are too large for one task."""
+def _large_links(sets: DataFrame, ties: DataFrame, t: Threshold, group_sets: int) -> DataFrame:
+    """Links of the groups that are too large for one task; ``sets`` is a kept table."""
     side = lambda c: sets.select(F.col("name").alias(c), F.col("shingles").alias(f"s{c}"))
-    tested = edges.join(side("a"), "a").join(side("b"), "b").where(_check_pair(t)("sa", "sb")).select("a", "b")
-    tested = cut(tested)
+    tested = cut(ties.join(side("a"), "a").join(side("b"), "b").where(_check_pair(t)("sa", "sb")).select("a", "b"))
     label = connected(tested, "a", "b")
-    known = sets.join(label, sets["name"] == label["node"], "left").select("name", "grp", "n", "shingles", F.coalesce("root", "name").alias("label"))
+    known = sets.select("name", "grp", "n").join(label, F.col("name") == F.col("node"), "left").select("name", "grp", "n", F.coalesce("root", "name").alias("label"))
     # blocks: a component with many sets has its own; the others share by size band and hash
-    many = known.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("members"))
+    many = known.groupBy(F.col("grp").alias("g"), F.col("label").alias("l")).agg(F.count(F.lit(1)).alias("members"))
+    pure = F.when(F.col("members") >= group_sets // 2, F.col("label"))
     wide = math.log(t.den / t.num)
-    block = cut(
-        known.join(many, ["grp", "label"]).select(
-            "name", "grp", "n", "shingles", "label",
-            F.when(F.col("members") >= group_sets // 2, F.col("label")).alias("pure"),
-            F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / wide).alias("band"),
-            "members",
-        )
-    )
+    band = F.floor(F.log(F.col("n").cast("double")) / wide)
+    block = cut(known.join(many, (F.col("grp") == F.col("g")) & (F.col("label") == F.col("l"))).select("name", "grp", "n", "label", pure.alias("pure"), band.alias("band")))
     crowd = block.groupBy(F.col("grp").alias("g"), F.col("pure").alias("p"), F.col("band").alias("w")).agg(F.count(F.lit(1)).alias("crowd"))
     same = (F.col("grp") == F.col("g")) & F.col("pure").eqNullSafe(F.col("p")) & (F.col("band") == F.col("w"))
     deal = F.pmod(F.xxhash64("name"), F.ceil(F.col("crowd") / group_sets))
-    placed = block.join(crowd, same).select("name", "grp", "n", "shingles", "label", "pure", F.xxhash64("pure", "band", deal).alias("block"))
+    placed = cut(block.join(crowd, same).select("name", "grp", "n", "label", "pure", F.xxhash64("pure", "band", deal).alias("block")))
     blocks = placed.groupBy("grp", "block", "pure").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     x, y = blocks.alias("x"), blocks.alias("y")
-    pairs = x.join(y, F.col("x.grp") == F.col("y.grp")).where(
+    fits = (
         (F.col("x.block") <= F.col("y.block"))
-        & (F.lit(t.den) * F.col("x.high") >= F.lit(t.num) * F.col("y.low"))
-        & (F.lit(t.den) * F.col("y.high") >= F.lit(t.num) * F.col("x.low"))
+        & t.sizes_fit(F.col("x.high"), F.col("y.low"))
+        & t.sizes_fit(F.col("y.high"), F.col("x.low"))
         & ~F.coalesce(F.col("x.pure") == F.col("y.pure"), F.lit(False))
-    ).select(F.col("x.grp").alias("grp"), F.col("x.block").alias("left"), F.col("y.block").alias("right"))
-    ends = pairs.select("grp", "left", "right", F.explode(F.array_distinct(F.array(F.struct(F.col("left").alias("block"), F.lit(0).alias("side")), F.struct(F.col("right").alias("block"), F.when(F.col("left") == F.col("right"), 0).otherwise(1).alias("side"))))).alias("e"))
-    sent = ends.select("grp", "left", "right", "e.block", "e.side").join(placed, ["grp", "block"])
-    found = sent.groupBy("grp", "left", "right").applyInPandas(_tree_blocks(t), "a long, b long")
-    return tested.unionByName(found)
+    )
+    pairs = x.join(y, F.col("x.grp") == F.col("y.grp")).where(fits).select(F.col("x.grp").alias("grp"), F.col("x.block").alias("left"), F.col("y.block").alias("right"))
+    ends = pairs.select("*", F.explode(F.array_distinct(F.array("left", "right"))).alias("block"))
+    ends = ends.withColumn("side", F.when(F.col("block") == F.col("left"), 0).otherwise(1))
+    sent = ends.join(placed, ["grp", "block"]).select("left", "right", "side", "name", "label")
+    full = sent.join(sets.select("name", "shingles"), "name")
+    return tested.unionByName(full.groupBy("left", "right").applyInPandas(_tree_blocks(t), "a long, b long"))
 
 
 def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, group_sets: int = GROUP_SETS, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
@@ -421,35 +440,28 @@ def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, group_se
     least ``doc_id`` that can be reached over links, the own one included.
     """
     t = Threshold(num, den)
-    parts = shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    edges = cut(
-        rows.select("text")
-        .mapInArrow(_emit(k, t), "key long, a long, b long")
-        .repartition(parts, "key")
-        .mapInArrow(_meet, "a long, b long")
-        .distinct()
-    )
-    named = rows.mapInArrow(_named(k), "doc_id long, n_shingles long, name long")
-    group = cut(connected(edges, "a", "b"))
-    # one row for each set of a group, with its text
-    one = named.where("doc_id is not null and n_shingles > 0").join(group.withColumnRenamed("node", "name"), "name").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.first("root").alias("grp"))
-    texts = rows.join(one, "doc_id").select("name", "grp", "text")
-    sets = cut(texts.mapInArrow(_with_sets(k), "name long, grp long, n long, shingles binary").dropDuplicates(["name"]))
-    weight = sets.groupBy("grp").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("weight")).withColumn("large", (F.col("members") > group_sets) | (F.col("weight") > group_shingles))
-    large_ids = cut(weight.where("large").select("grp"))
-    small = sets.join(weight.where("not large and members > 1").select("grp"), "grp")
+    keys = shared_keys(rows, k, t)
+    hubs = keys.groupBy("key").agg(F.min("a").alias("b"))
+    ties = cut(keys.join(hubs, "key").where("a <> b").select("a", "b").distinct())
+    group = cut(connected(ties, "a", "b").select(F.col("node").alias("name"), F.col("root").alias("grp")))
+    named = cut(rows.mapInArrow(_named(k), "doc_id long, n_shingles long, name long"))
+    # of every set that is in a group: one row that has it
+    one = named.where("doc_id is not null").join(group, "name").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.first("grp").alias("grp"), F.first("n_shingles").alias("n"))
+    one = cut(one)
+    weight = one.groupBy("grp").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("weight"))
+    heavy = (F.col("members") > group_sets) | (F.col("weight") > group_shingles)
+    one = one.join(weight.where("members > 1").select("grp", heavy.alias("large")), "grp")
+    texts = lambda which: rows.join(one.where(which), "doc_id").select("name", "grp", "text").mapInArrow(_with_sets(k), SETS)
+    small = texts("not large")
     links = small.groupBy("grp").applyInPandas(_tree_group(t), "a long, b long")
-    if large_ids.limit(1).count():
-        large = cut(sets.join(large_ids, "grp"))
-        inside = edges.join(large.select(F.col("name").alias("a")), "a", "left_semi")
+    if one.where("large").limit(1).count():
+        large = cut(texts("large").dropDuplicates(["name"]))
+        inside = ties.join(one.where("large").select(F.col("name").alias("a")), "a", "left_semi")
         links = links.unionByName(_large_links(large, inside, t, group_sets))
     label = connected(cut(links), "a", "b")
-    full = named.join(label, named["name"] == label["node"], "left").select("doc_id", "n_shingles", F.coalesce("root", "name").alias("class"))
+    full = named.join(label, F.col("name") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("root", "name").alias("class"))
     counted = F.col("n_shingles") > 0
     least = full.where(counted).groupBy("class").agg(F.min("doc_id").alias("least"))
-    out = full.join(least, "class", "left")
-    return out.select(
-        "doc_id", "n_shingles",
-        F.when(F.col("doc_id").isNotNull(), F.when(counted, F.col("least")).otherwise(F.col("doc_id"))).alias("component_id"),
-    )
+    component = F.when(counted, F.col("least")).otherwise(F.col("doc_id"))
+    return full.join(least, "class", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
