@@ -30,36 +30,46 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖ
 _SYMBOLS = "#$%&*+<=>@[]^_{}~\\/"
 
 
-def statistics() -> list[tuple[str, Column]]:
-    """Names and expressions over the columns ``t`` (text), ``w`` (words) and ``l`` (lines)."""
-    n = F.greatest(F.length("t"), F.lit(1))
-    words = F.greatest(F.size("w"), F.lit(1))
-    lines = F.greatest(F.size("l"), F.lit(1))
-    share = lambda chars: (F.length("t") - F.length(F.translate("t", chars, ""))) / n
-    again = F.when(F.size("w") > 1, F.size(F.filter(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.get("w", i) == F.get("w", i - 1)))).otherwise(0)
-    return [
-        ("chars", F.log1p(F.length("t").cast("double"))),
-        ("upper", share(_UPPER)),
-        ("symbols", share(_SYMBOLS)),
-        ("bangs", share("!?")),
-        ("bars", share("|")),
-        ("digits", share("0123456789")),
-        ("stops", share(".,;:")),
-        ("word_length", F.length("t") / words),
-        ("distinct_words", F.size(F.array_distinct("w")) / words),
-        ("repeats", again / words),
-        ("distinct_lines", F.size(F.array_distinct("l")) / lines),
-        ("line_length", F.log1p(F.length("t") / lines)),
-    ]
-
-
-def with_statistics(docs: DataFrame) -> DataFrame:
-    """The statistics of every row beside the row itself, as the struct ``row``."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(F.struct("*").alias("row"), text.alias("t")).select(
-        "*", F.array_remove(F.split("t", r"[ \t\r\n]+"), "").alias("w"), F.array_remove(F.split("t", "\n"), "").alias("l")
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, wherever the optimizer moves it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _statistics(a: Column) -> dict[str, Column]:
+    """Statistics by name over a struct of ``t`` (text), ``w`` (words) and ``l`` (lines)."""
+    t, w, l = a["t"], a["w"], a["l"]  # noqa: E741
+    n = F.greatest(F.length(t), F.lit(1))
+    words = F.greatest(F.size(w), F.lit(1))
+    lines = F.greatest(F.size(l), F.lit(1))
+    share = lambda chars: (F.length(t) - F.length(F.translate(t, chars, ""))) / n
+    again = F.when(F.size(w) > 1, F.size(F.filter(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.get(w, i) == F.get(w, i - 1)))).otherwise(0)
+    return {
+        "chars": F.log1p(F.length(t).cast("double")),
+        "upper": share(_UPPER),
+        "symbols": share(_SYMBOLS),
+        "bangs": share("!?"),
+        "bars": share("|"),
+        "digits": share("0123456789"),
+        "stops": share(".,;:"),
+        "word_length": F.length(t) / words,
+        "distinct_words": F.size(F.array_distinct(w)) / words,
+        "repeats": again / words,
+        "distinct_lines": F.size(F.array_distinct(l)) / lines,
+        "line_length": F.log1p(F.length(t) / lines),
+    }
+
+
+NAMES = ["chars", "upper", "symbols", "bangs", "bars", "digits", "stops", "word_length", "distinct_words", "repeats", "distinct_lines", "line_length"]
+
+
+def statistics(text: Column) -> Column:
+    """All statistics of a text as one struct of doubles."""
+    whole = F.coalesce(text.cast("string"), F.lit(""))
+    parts = lambda t: F.struct(
+        t.alias("t"), F.array_remove(F.split(t, r"[ \t\r\n]+"), "").alias("w"), F.array_remove(F.split(t, "\n"), "").alias("l")
     )
-    return base.select("row", *[e.cast("double").alias(name) for name, e in statistics()])
+    measured = lambda a: F.struct(*[e.cast("double").alias(name) for name, e in _statistics(a).items()])
+    return bind(bind(whole, parts), measured)
 
 
 @dataclass(frozen=True)
@@ -74,10 +84,10 @@ class Rule:
             out &= (x[:, f] > cut) == above
         return out
 
-    def column(self, names: list[str]) -> Column:
+    def column(self, names: list[str], s: Column) -> Column:
         out = F.lit(True)
         for f, above, cut in self.terms:
-            out = out & ((F.col(names[f]) > cut) if above else (F.col(names[f]) <= cut))
+            out = out & ((s[names[f]] > cut) if above else (s[names[f]] <= cut))
         return out
 
 
@@ -88,11 +98,15 @@ class RuleModel:
     weights: list[float]
     intercept: float
 
-    def column(self) -> Column:
-        z = F.lit(float(self.intercept))
-        for rule, w in zip(self.rules, self.weights):
-            z = z + F.when(rule.column(self.names), F.lit(float(w))).otherwise(F.lit(0.0))
-        return 1.0 / (1.0 + F.exp(-z))
+    def column(self, text: Column) -> Column:
+        """The score of a text, one expression over its statistics."""
+
+        def weigh(s: Column) -> Column:
+            gives = [F.when(rule.column(self.names, s), F.lit(float(w))).otherwise(F.lit(0.0)) for rule, w in zip(self.rules, self.weights)]
+            z = F.aggregate(F.array(F.lit(float(self.intercept)), *gives), F.lit(0.0), lambda a, x: a + x)
+            return 1.0 / (1.0 + F.exp(-z))
+
+        return bind(statistics(text), weigh)
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         z = np.full(len(x), self.intercept)
@@ -195,19 +209,19 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label).cast("int").alias("y"))
     sample = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     near = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")  # max_rows rows of two numbers
-    names = [n for n, _ in statistics()]
-    rows = with_statistics(near).select("row.y", *names).limit(4 * max_rows).toPandas()
+    names = NAMES
+    rows = near.select("y", statistics(F.col("text")).alias("s")).limit(4 * max_rows).select("y", "s.*").toPandas()
     rows = rows.sort_values([*names, "y"])
     return fit(names, rows[names].to_numpy(float).reshape(-1, len(names)), rows["y"].to_numpy(float))
 
 
 def score(docs: DataFrame, model: RuleModel, cut: float = CUT) -> DataFrame:
     """Rows: doc_id, held_out, score, predicted."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scored = with_statistics(ids).select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), model.column().alias("score"))
+    doc_id = F.col("doc_id").cast("long")
+    scored = docs.select(doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), model.column(F.col("text")).alias("score"))
     return scored.select("*", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
 def accept(docs: DataFrame, model: RuleModel, cut: float = CUT) -> DataFrame:
     """The rows of ``docs``, with all their columns, that score at least ``cut``."""
-    return with_statistics(docs).where(model.column() >= cut).select("row.*")
+    return docs.where(model.column(F.col("text")) >= cut)
