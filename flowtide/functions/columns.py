@@ -41,9 +41,13 @@ def is_finite(c: str | Column) -> Column:
 
 
 def to_number(c: str | Column) -> Column:
-    """Coerce anything to double; unparsable text becomes null (never raises)."""
+    """Coerce anything to double; unparsable text becomes null (never raises).
+
+    Java's number suffixes (``12d``, ``3f``) are no numbers here.
+    """
     c = col(c)
-    return nan_to_null(c.try_cast("double"))
+    suffixed = F.rlike(c.cast("string"), F.lit(r"[0-9.]\s*[dDfF]\s*$"))
+    return nan_to_null(F.when(~F.coalesce(suffixed, F.lit(False)), c.try_cast("double")))
 
 
 def clip(c: str | Column, lo: float | Column | None = None, hi: float | Column | None = None) -> Column:

@@ -5,8 +5,8 @@ fixed linear combination of 8 function evaluations per row (weights 1/3,
 1/6, 1/6, 1/3 over the four coalition pairs of each feature).  An absent
 feature takes the table mean (one global aggregate).  For a column-expression
 score (the risk score) the 8 evaluations are 8 column expressions: a pure
-projection, no shuffle.  For a fitted model they are 8 ``transform`` inputs
-produced by ``explode`` and summed back per row.
+projection, no shuffle.  For a fitted model they are 8 ``transform`` calls on
+vectors of the same row.
 """
 
 from __future__ import annotations
@@ -65,38 +65,33 @@ def global_attribution(attributed: DataFrame) -> DataFrame:
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.col("mean_abs_attribution").desc(), "feature")).cast("long"))
 
 
-def model_attribution(df: DataFrame, model, key_cols: list[str], bg: dict | None = None, prob_col: str = "p1") -> DataFrame:
-    """Exact Shapley values of a fitted model's class-1 probability.
+def model_attribution(df: DataFrame, model, bg: dict | None = None) -> DataFrame:
+    """Exact Shapley values of a fitted classifier's class-1 probability.
 
-    Rows are exploded into the 8 coalition inputs, scored by the model in one
-    ``transform`` and recombined by a grouped weighted sum per row key.
+    Adds ``phi_*``, ``base_value`` and ``f_x``.  Each row carries its 8 coalition
+    inputs as vectors and the model transforms each under its own column names:
+    a projection, with no shuffle and no key.
     """
+    from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
     bg = bg or background(df)
-    elems = []
+    t, v, scrap = df, {}, []
     for m in MASKS:
-        fields = [F.lit("".join(map(str, m))).alias("mask")]
-        for c, present in zip(K.FEATURES, m):
-            fields.append((F.col(c) if present else F.lit(bg[c])).alias(c))
-        elems.append(F.struct(*fields))
-    ex = df.select(*key_cols, F.explode(F.array(*elems)).alias("e")).select(*key_cols, "e.*")
-    scored = model.transform(ex).withColumn(prob_col, vector_to_array("probability")[1])
-    coef = {}
+        tag = "".join(map(str, m))
+        names = [f"_in{tag}_{c}" for c in K.FEATURES]
+        t = t.withColumns({n: (F.col(c) if present else F.lit(bg[c])).cast("double") for n, c, present in zip(names, K.FEATURES, m)})
+        cols = [f"_{k}{tag}" for k in ("features", "raw", "probability", "prediction")]
+        t = VectorAssembler(inputCols=names, outputCol=cols[0], handleInvalid="keep").transform(t)
+        own = model.copy(dict(zip((model.featuresCol, model.rawPredictionCol, model.probabilityCol, model.predictionCol), cols)))
+        t = own.transform(t)
+        v[m] = vector_to_array(F.col(cols[2]))[1]
+        scrap += [*names, *cols]
+    phis = {}
     for i, c in enumerate(K.FEATURES):
+        phi = F.lit(0.0)
         for m in MASKS:
-            if m[i] == 1:
-                continue
-            w = _weight(m, i)
-            with_i = "".join("1" if j == i else str(m[j]) for j in range(3))
-            coef.setdefault(c, []).append((with_i, w))
-            coef[c].append(("".join(map(str, m)), -w))
-    aggs = []
-    for c in K.FEATURES:
-        expr = None
-        for mask, w in coef[c]:
-            term = F.when(F.col("mask") == mask, F.col(prob_col) * F.lit(w)).otherwise(0.0)
-            expr = term if expr is None else expr + term
-        aggs.append(F.sum(expr).alias(f"phi_{c}"))
-    aggs += [F.max(F.when(F.col("mask") == "000", F.col(prob_col))).alias("base_value"), F.max(F.when(F.col("mask") == "111", F.col(prob_col))).alias("f_x")]
-    return scored.groupBy(*key_cols).agg(*aggs)
+            if m[i] == 0:
+                phi = phi + F.lit(_weight(m, i)) * (v[tuple(1 if j == i else m[j] for j in range(3))] - v[m])
+        phis[f"phi_{c}"] = phi
+    return t.withColumns({**phis, "base_value": v[(0, 0, 0)], "f_x": v[(1, 1, 1)]}).drop(*scrap)

@@ -17,7 +17,7 @@ from ..functions import constants as K
 from ..functions.columns import clip, finite, is_finite, nan_to_null, risk_score, to_number
 from .clean import drop_non_finite, min_max_scale
 from .profile import Profile, order_statistics, quantiles, safe_scale
-from .window import ordered_index, rolling, rolling_mean
+from .window import IDX, ordered_index, rolling, rolling_mean
 
 
 def _c(name: str):
@@ -165,12 +165,13 @@ def risk_components(df: DataFrame) -> DataFrame:
     )
 
 
-def risk_target(df: DataFrame, score_col: str = "congestion_score", tie_col: str | None = None, method: str = "exact") -> DataFrame:
+def risk_target(df: DataFrame, score_col: str = "congestion_score", tie_col: str | list[str] | None = None, method: str = "exact") -> DataFrame:
     """Binary target from the risk score.
 
     >= p75 (0.5 if p75 is null or <= 0); if that leaves one class, > median;
-    if still one class, the top 25 % rows by score (ties broken by ``tie_col``
-    ascending, i.e. first rows win).  Thresholds come from two small jobs.
+    if still one class, exactly the top 25 % rows by score (ties broken by
+    ``tie_col``, one or more columns ascending; all columns where none is given).
+    Thresholds come from two small jobs.
     """
     s = F.col(score_col)
     q = quantiles(df, {"s": (score_col, [K.TARGET_Q, 0.5])}, method=method)
@@ -185,21 +186,14 @@ def risk_target(df: DataFrame, score_col: str = "congestion_score", tie_col: str
     if n <= 1:
         return df.withColumn("congestion", (s >= F.lit(thr)).cast("int"))
     m = max(1, int(n * K.TOP_SHARE))
-    # value of the m-th largest score, then first-come tie break among equals
-    cut = order_statistics(df, {"s": (score_col, [n - m])})["s"][0]
-    above = df.where(s > F.lit(cut)).count()
-    need = m - above
-    if tie_col is None:
-        return df.withColumn("congestion", (s >= F.lit(cut)).cast("int"))
-    ties = df.where(s == F.lit(cut))
-    tie_cut = order_statistics(ties, {"t": (tie_col, [need - 1])})["t"][0]
-    flag = (s > F.lit(cut)) | ((s == F.lit(cut)) & (F.col(tie_col) <= F.lit(tie_cut)))
-    return df.withColumn("congestion", flag.cast("int"))
+    ties = [tie_col] if isinstance(tie_col, str) else list(tie_col or df.columns)
+    ranked, _ = ordered_index(df.withColumn("_falling", -s), ["_falling", *ties])
+    return ranked.withColumn("congestion", (F.col(IDX) < F.lit(m)).cast("int")).drop("_falling", IDX)
 
 
 def label_target(df: DataFrame, label_col: str) -> DataFrame:
     """Congested when the label is not BENIGN (trim, upper; null counts) or loss >= 0.30."""
-    lab = F.upper(F.trim(_c(label_col)))
+    lab = F.upper(F.regexp_replace(_c(label_col), r"^\s+|\s+$", ""))
     attack = lab.isNull() | (lab != K.BENIGN_LABEL)
     return df.withColumn("congestion", (attack | (F.col("packet_loss") >= K.LABEL_LOSS_FLOOR)).cast("int"))
 

@@ -5,10 +5,11 @@
 computed here in two bounded-width steps instead:
 
 1. ``ordered_index`` gives every row its global position ``_idx``: rows are
-   put into buckets by approximate quantiles of the leading order column (so
-   bucket sizes are balanced even when the key is skewed), a row number is taken
-   inside each bucket, and the offset of each bucket comes from a tiny
-   per-bucket count table (one row per bucket, broadcast).
+   range-partitioned on *all* order columns, sorted inside each partition and
+   kept; a row's position in its partition plus the row counts of the
+   partitions before it (one row per partition, broadcast) is its index.  Null
+   keys come first and NaN last, as in any Spark sort, and a hot leading key is
+   split by the later ones.
 2. ``rolling`` cuts the index into blocks of ``block_rows`` rows and copies the
    last ``halo`` rows of each block into the next one, so every frame
    ``ROWS BETWEEN h PRECEDING AND CURRENT ROW`` is complete inside one block.
@@ -21,63 +22,34 @@ any ordered window).
 
 from __future__ import annotations
 
-import math
-
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-IDX = "_idx"
 
+from ..session import ensure_checkpoint_dir
 
-def _order_key_numeric(df: DataFrame, c: str) -> Column:
-    dt = df.schema[c].dataType
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(c).cast("timestamp")).cast("double")
-    if isinstance(dt, T.DateType):
-        return F.unix_date(F.col(c)).cast("double")
-    return F.col(c).cast("double")
+IDX = "_idx"
 
 
-def ordered_index(df: DataFrame, order_cols: list[str], rows_per_bucket: int = 2_000_000, max_buckets: int = 100_000) -> tuple[DataFrame, int]:
+def ordered_index(df: DataFrame, order_cols: list[str], partitions: int | None = None) -> tuple[DataFrame, int]:
     """Add ``_idx`` = 0-based position of the row in ``ORDER BY order_cols``.
 
-    Returns the indexed frame and the row count.  One small job fits the
-    bucket boundaries; the rest is one lazy plan (bucket counts are a grouped
-    aggregate with at most ``max_buckets`` rows, broadcast back).
+    Returns the indexed frame and the row count.  The sorted rows are written to
+    the checkpoint folder once, so whatever reads the index more than once (the
+    halo of ``rolling``, a quantile after it) does not sort again, and a row's
+    place cannot change when a lost task is run again.
     """
-    key = _order_key_numeric(df, order_cols[0])
-    stats = df.agg(F.count(F.lit(1)).alias("n")).collect()[0]
-    n = stats["n"]
-    nb = int(min(max_buckets, max(1, math.ceil(n / rows_per_bucket))))
-    bounds: list[float] = []
-    if nb > 1:
-        probs = [i / nb for i in range(1, nb)]
-        ap = df.agg(F.percentile_approx(key, probs, 10_000).alias("b")).collect()[0]["b"] or []
-        bounds = sorted({float(b) for b in ap if b is not None and not math.isnan(b)})
-    keyed = df.withColumn("_okey", key)
-    if bounds:
-        splits = [-math.inf] + bounds + [math.inf]
-        keyed = Bucketizer(splits=splits, inputCol="_okey", outputCol="_bucket", handleInvalid="keep").transform(keyed)
-        keyed = keyed.withColumn("_bucket", F.col("_bucket").cast("int"))
-    else:
-        keyed = keyed.withColumn("_bucket", F.lit(0))
-    keyed = keyed.drop("_okey")
-    counts = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_bn"))
-    # tiny table (<= max_buckets rows): a global window here is cheap
-    offsets = counts.select(
-        "_bucket",
-        F.coalesce(F.sum("_bn").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_boff"),
-    )
-    w = Window.partitionBy("_bucket").orderBy(*[F.col(c).asc_nulls_first() for c in order_cols])
-    out = (
-        keyed.withColumn("_rn", F.row_number().over(w))
-        .join(F.broadcast(offsets), "_bucket")
-        .withColumn(IDX, (F.col("_boff") + F.col("_rn") - 1).cast("long"))
-        .drop("_bucket", "_rn", "_boff")
-    )
-    return out, n
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col(c).asc_nulls_first() for c in order_cols]
+    kept = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).checkpoint(eager=True)
+    part = F.shiftrightunsigned("_at", 33)
+    counts = kept.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_off"), "_rows").collect()  # a row per partition
+    table = spark.createDataFrame([(r["_part"], r["_off"]) for r in offsets], "_part long, _off long")
+    out = kept.withColumn("_part", part).join(F.broadcast(table), "_part").withColumn(IDX, F.col("_off") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_off", "_at")
+    return out, sum(r["_rows"] for r in offsets)
 
 
 def rolling(

@@ -65,7 +65,7 @@ def features(spark, d) -> DataFrame:
     The fitted profile (quantile scalars) is reused per session and folder,
     like a saved model; the DataFrame itself stays a lazy scan + projection.
     """
-    key = (id(spark), d)
+    key = (spark.sparkContext.applicationId, d)
     if key not in _FEATURE_CACHE:
         kpis = feat_ops.raw_kpis(flows(spark, d, with_label=True))
         prof = feat_ops.fit_feature_profile(kpis)
@@ -1224,7 +1224,7 @@ _MODEL_CACHE: dict = {}
 
 
 def _training(spark, d):
-    key = (id(spark), d)
+    key = (spark.sparkContext.applicationId, d)
     if key not in _MODEL_CACHE:
         data = ml.with_class_weights(ml.assemble(features(spark, d)))
         train, test = ml.split(data, FLOW_KEYS)

@@ -4,16 +4,16 @@
   paths), headers whitespace-stripped and mapped to canonical snake_case names.
   Files with different headers are read one schema at a time and stacked with
   ``unionByName(allowMissingColumns=True)``.
-* ``read_flow_parquet`` / ``union_sources`` / ``write_report``.
+* ``require_columns`` / ``union_sources`` / ``read_table`` / ``write_report``.
 """
 
 from __future__ import annotations
 
-import glob
 import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.constants import RAW_HEADER_NAMES
 
@@ -38,42 +38,46 @@ def union_sources(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _is_remote(path: str) -> bool:
-    return "://" in path and not path.startswith("file://")
-
-
-def _csv_files(path: str | list[str]) -> list[str]:
-    if isinstance(path, (list, tuple)):
-        return list(path)
-    if _is_remote(path):
-        return [path.rstrip("/") + "/*.csv" if not path.endswith(".csv") else path]
-    if os.path.isdir(path):
-        return sorted(glob.glob(os.path.join(path, "*.csv")))
-    return sorted(glob.glob(path)) or [path]
+def csv_files(spark: SparkSession, path: str | list[str]) -> list[str]:
+    """The CSV files under a folder, glob, file or list of those, on any file
+    system Spark can read.  Only names are listed; no content is read."""
+    paths = list(path) if isinstance(path, (list, tuple)) else [path]
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(paths).select("path").collect()
+    return sorted({r["path"] for r in found})
 
 
 def read_flow_csv(spark: SparkSession, path: str | list[str], schema=None) -> DataFrame:
     """Read flow CSV files as strings (coercion is an explicit later step).
 
-    Files are grouped by header line so each distinct layout is one Spark read
-    (splittable, parallel); an empty folder is an error, as in the original.
-    Numbers are *not* inferred: ``coerce_numeric`` turns text into doubles with
-    null for junk, which is what the downstream rules expect.
+    One way for every file system: files are grouped by their header, each
+    layout is one Spark read that fails if a file's header does not match, and
+    the layouts are stacked by name.  An empty folder is an error.  ``schema``
+    picks columns by (canonical) name and casts them; text that does not parse
+    is null.  Without it numbers are not inferred: ``coerce_numeric`` does that.
     """
-    files = _csv_files(path)
+    files = csv_files(spark, path)
     if not files:
         raise FileNotFoundError(f"No CSV files found in {path}")
-    if schema is not None:
-        return strip_headers(spark.read.csv(files, header=True, schema=schema))
-    if any(_is_remote(f) for f in files):
-        # shared storage: one distributed read; Spark maps columns by the header
-        return strip_headers(spark.read.csv(files, header=True, inferSchema=False))
-    by_header: dict[str, list[str]] = {}
+    layouts: dict[tuple[str, ...], list[str]] = {}
     for f in files:
-        with open(f, encoding="utf-8", errors="replace") as fh:
-            by_header.setdefault(fh.readline().rstrip("\r\n"), []).append(f)
-    frames = [strip_headers(spark.read.csv(fs, header=True, inferSchema=False)) for fs in by_header.values()]
-    return union_sources(frames)
+        layouts.setdefault(tuple(spark.read.csv(f, header=True, inferSchema=False).columns), []).append(f)
+    frames = []
+    for columns, group in layouts.items():
+        text = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+        frames.append(strip_headers(spark.read.csv(group, header=True, schema=text, enforceSchema=False)))
+    out = union_sources(frames)
+    if schema is None:
+        return out
+    wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    names = [canonical_name(f.name) for f in wanted]
+    return out.select(*[(F.col(f"`{n}`").try_cast(f.dataType) if n in out.columns else F.lit(None).cast(f.dataType)).alias(n) for n, f in zip(names, wanted)])
+
+
+def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
+    """``df``, or an error that lists the columns it lacks (uploaded files)."""
+    if missing := [n for n in names if n not in df.columns]:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    return df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
