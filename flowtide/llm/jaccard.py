@@ -203,7 +203,7 @@ def shared_keys(rows: DataFrame, k: int, t: Threshold, rounds: int = 1) -> DataF
     parts = shuffle_partitions(rows.sparkSession)
     at = F.when(F.col("met"), F.xxhash64("key", "a")).otherwise(F.col("key"))
     raw = rows.select("text").mapInArrow(_emit(k, t), KEYED).repartition(parts, at).mapInArrow(_meet, KEYED)
-    now = raw.groupBy("key", "a").agg(F.max("need").alias("need"))
+    now = cut(raw.groupBy("key", "a").agg(F.max("need").alias("need")))
     for _ in range(rounds):
         band = F.col("key").bitwiseAND(F.lit(63))
         many = now.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
