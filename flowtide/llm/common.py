@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -36,8 +37,19 @@ def scratch(spark: SparkSession, what: str) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there."""
     shared_dir(df.sparkSession)
+    release(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files and checkpoints that nothing refers to any more.
+
+    It does so only when the driver's JVM collects garbage, which an idle driver
+    may not do for half an hour, while a chain of rounds fills the disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -202,8 +202,7 @@ def shared_keys(rows: DataFrame, k: int, t: Threshold, rounds: int = 1) -> DataF
     """(key, a) of all sets that share enough keys to have a link."""
     parts = shuffle_partitions(rows.sparkSession)
     at = F.when(F.col("met"), F.xxhash64("key", "a")).otherwise(F.col("key"))
-    raw = rows.select("text").mapInArrow(_emit(k, t), KEYED).repartition(parts, at).mapInArrow(_meet, KEYED)
-    now = cut(raw.groupBy("key", "a").agg(F.max("need").alias("need")))
+    now = cut(rows.select("text").mapInArrow(_emit(k, t), KEYED).repartition(parts, at).mapInArrow(_meet, KEYED).groupBy("key", "a").agg(F.max("need").alias("need")))
     for _ in range(rounds):
         band = F.col("key").bitwiseAND(F.lit(63))
         many = now.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
@@ -369,22 +368,23 @@ def _named(k: int):
     return run
 
 
-SETS = "name long, grp long, n long, shingles binary"
+SETS = "name long, grp long, large boolean, n long, shingles binary"
 
 
 def _with_sets(k: int):
     """Texts of known groups to their sets; a text must give the name it came for."""
-    schema = pa.schema([("name", pa.int64()), ("grp", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary())])
+    schema = pa.schema([("name", pa.int64()), ("grp", pa.int64()), ("large", pa.bool_()), ("n", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, offs = utf8(batch.column(2))
+            buf, offs = utf8(batch.column(3))
             want = batch.column(0).to_numpy()
             for i, j in slices(offs):
                 h, at, names = sets_of(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], k)
                 good = np.flatnonzero(names == want[i:j])
                 raw = [h[at[g] : at[g + 1]].astype("<u8").tobytes() for g in good.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(names[good]), batch.column(1).slice(i, j - i).take(pa.array(good)), pa.array(np.diff(at)[good]), pa.array(raw, pa.binary())], schema=schema)
+                same = [batch.column(c).slice(i, j - i).take(pa.array(good)) for c in (0, 1, 2)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(np.diff(at)[good]), pa.array(raw, pa.binary())], schema=schema)
 
     return run
 
@@ -452,13 +452,13 @@ def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, group_se
     weight = one.groupBy("grp").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("weight"))
     heavy = (F.col("members") > group_sets) | (F.col("weight") > group_shingles)
     one = one.join(weight.where("members > 1").select("grp", heavy.alias("large")), "grp")
-    texts = lambda which: rows.join(one.where(which), "doc_id").select("name", "grp", "text").mapInArrow(_with_sets(k), SETS)
-    small = texts("not large")
-    links = small.groupBy("grp").applyInPandas(_tree_group(t), "a long, b long")
+    # one pass over the texts for all groups
+    texts = rows.join(one, "doc_id").dropDuplicates(["doc_id", "name", "text"]).select("name", "grp", "large", "text")
+    sets = cut(texts.mapInArrow(_with_sets(k), SETS))
+    links = sets.where("not large").groupBy("grp").applyInPandas(_tree_group(t), "a long, b long")
     if one.where("large").limit(1).count():
-        large = cut(texts("large").dropDuplicates(["name"]))
         inside = ties.join(one.where("large").select(F.col("name").alias("a")), "a", "left_semi")
-        links = links.unionByName(_large_links(large, inside, t, group_sets))
+        links = links.unionByName(_large_links(sets.where("large"), inside, t, group_sets))
     label = connected(cut(links), "a", "b")
     full = named.join(label, F.col("name") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("root", "name").alias("class"))
     counted = F.col("n_shingles") > 0
