@@ -1,6 +1,6 @@
 """WARC fixity audit with Merkle trees over records and offset ranges.
 
-Pages are stored as WARC files, one per task, with an index of their records
+Pages are stored as WARC files (a gzip member a record), one per task, with an index of their records
 (file, number, offset, length).  A replica is hashed range by range of that
 index; nothing in a damaged file is trusted or parsed.  A file's records, in
 offset order, are the leaves of a tree; every ``FANOUT`` neighbours make a node
@@ -16,6 +16,7 @@ records like any other.  An empty table gives no files and no differences.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -33,7 +34,7 @@ _INDEX = pa.schema([("file", pa.string()), *((c, pa.int64()) for c in ("number",
 
 
 def record(page_id: int | None, url: str | None, html: str | None, number: int) -> bytes:
-    """One WARC/1.1 resource record, the same bytes for the same page."""
+    """One WARC/1.1 resource record as a gzip member, the same bytes for the same page."""
     body = (html or "").encode()
     name = hashlib.sha256(f"{page_id}|{number}|{url or ''}".encode()).hexdigest()
     head = [
@@ -41,7 +42,7 @@ def record(page_id: int | None, url: str | None, html: str | None, number: int)
         "WARC-Date: 2000-01-01T00:00:00Z", f"WARC-Target-URI: {(url or '').splitlines()[0] if url else ''}", "Content-Type: text/html",
         f"WARC-Payload-Digest: sha256:{hashlib.sha256(body).hexdigest()}", f"Content-Length: {len(body)}",
     ]
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+    return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n", compresslevel=1, mtime=0)
 
 
 def _store(folder: str):
@@ -51,7 +52,7 @@ def _store(folder: str):
             if out is None:
                 system, base = filesystem(folder)
                 system.create_dir(base, recursive=True)
-                name = f"part-{task.partitionId():06d}.warc"
+                name = f"part-{task.partitionId():06d}.warc.gz"
                 temp = f"{base}/.{name}.{task.taskAttemptId()}"
                 out = system.open_output_stream(temp)
             rows = []
