@@ -56,6 +56,7 @@ from .textnum import distinct, lower_ascii, mix, shingles, slices, utf8, word_ha
 GROUP_SETS = 512
 GROUP_SHINGLES = 2_000_000
 FANOUT = 8
+SLICE = 500_000  # bytes of text worked on at a time
 
 
 @dataclass(frozen=True)
@@ -152,7 +153,7 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.repeat(np.diff(np.append(at, len(key))), np.diff(np.append(at, len(key))))
 
 
-def _emit(k: int, t: Threshold, flush: int = 4_000_000):
+def _emit(k: int, t: Threshold, flush: int = 250_000):
     """Keys of all sets.  Rows whose key has met another set in this task are
     marked; only the first of them goes on to look for sets of other tasks."""
 
@@ -172,7 +173,7 @@ def _emit(k: int, t: Threshold, flush: int = 4_000_000):
         cols, held = [], 0
         for batch in batches:
             buf, offs = utf8(batch.column(0))
-            for i, j in slices(offs):
+            for i, j in slices(offs, SLICE):
                 cols.append(part_keys(*sets_of(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], k), t))
                 held += len(cols[-1][0])
             if held > flush:
@@ -361,7 +362,7 @@ def _named(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offs = utf8(batch.column(1))
-            for i, j in slices(offs):
+            for i, j in slices(offs, SLICE):
                 _, at, names = sets_of(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], k)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(at)), pa.array(names)], schema=schema)
 
@@ -379,7 +380,7 @@ def _with_sets(k: int):
         for batch in batches:
             buf, offs = utf8(batch.column(3))
             want = batch.column(0).to_numpy()
-            for i, j in slices(offs):
+            for i, j in slices(offs, SLICE):
                 h, at, names = sets_of(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], k)
                 good = np.flatnonzero(names == want[i:j])
                 raw = [h[at[g] : at[g + 1]].astype("<u8").tobytes() for g in good.tolist()]
