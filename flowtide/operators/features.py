@@ -171,17 +171,17 @@ def risk_target(df: DataFrame, score_col: str = "congestion_score", tie_col: str
     >= p75 (0.5 if p75 is null or <= 0); if that leaves one class, > median;
     if still one class, exactly the top 25 % rows by score (ties broken by
     ``tie_col``, one or more columns ascending; all columns where none is given).
-    Thresholds come from two small jobs.
+    Thresholds and extremes come from the quantile jobs alone.
     """
     s = F.col(score_col)
     q = quantiles(df, {"s": (score_col, [K.TARGET_Q, 0.5])}, method=method)
     n = q["s__n"]
     p75, med = q["s"]
     thr = p75 if p75 is not None and p75 > 0 else 0.5
-    cnt = df.agg(F.count_if(s >= F.lit(thr)).alias("a"), F.count_if(s > F.lit(med if med is not None else 0.0)).alias("b")).collect()[0]
-    if 0 < cnt["a"] < n:
+    low, high = q["s__min"], q["s__max"]  # they tell whether a cut leaves two classes
+    if n and low < thr <= high:
         return df.withColumn("congestion", (s >= F.lit(thr)).cast("int"))
-    if med is not None and 0 < cnt["b"] < n:
+    if n and low <= med < high:
         return df.withColumn("congestion", (s > F.lit(med)).cast("int"))
     if n <= 1:
         return df.withColumn("congestion", (s >= F.lit(thr)).cast("int"))

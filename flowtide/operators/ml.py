@@ -1,24 +1,49 @@
 """Distributed model training, thresholded scoring, gates and probes (pyspark.ml).
 
-The reference trains one random forest on a single machine; here the same
-candidate ladder runs on ``pyspark.ml.classification.RandomForestClassifier``
-with balanced class weights (``weightCol`` = n / (2 n_class)), sqrt feature
-subsets and a fixed seed.  Declared deviations: Spark's binned splits have no
-``min_samples_split``; the candidate is chosen on a validation split, not on
-the test split.
+A ladder of random forest candidates with balanced class weights (``weightCol``
+= n / (2 n_class)), sqrt feature subsets and a fixed seed.  Declared deviations:
+Spark's binned splits have no ``min_samples_split``; the candidate is chosen on
+a validation split of the training rows, not on the test split, and then fitted
+again on all of them.
+
+The rows of a fit are bounded by ``max_train_rows``, have their class weights
+counted on themselves alone, and are dealt by key into a fixed number of
+partitions, so a model depends neither on the number of cores nor on the files.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+import json
+from dataclasses import dataclass
+
+from pyspark import StorageLevel
+from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from .analytics import binary_metrics, hash_unit
 from .features import prepare_features
+from .profile import order_statistics
+
+FIT_PARTITIONS = 16
+
+
+@dataclass
+class Fitted:
+    """The selected forest, its parameters, the ladder's report and the kept tables."""
+
+    model: object
+    params: dict
+    report: list
+    train: DataFrame
+    test: DataFrame
+
+    def release(self) -> None:
+        self.train.unpersist()
+        self.test.unpersist()
 
 
 def assemble(df: DataFrame) -> DataFrame:
@@ -38,6 +63,37 @@ def split(df: DataFrame, key_cols: list[str], seed: int = K.SPLIT_SEED, test_fra
     return df.where(u >= test_fraction), df.where(u < test_fraction)
 
 
+def stratified_cap(df: DataFrame, key_cols: list[str], max_rows: int, target: str = "congestion", seed: int = K.MODEL_SEED) -> DataFrame:
+    """At most ``max_rows`` rows with the classes' shares kept (a sampling operator).
+
+    Each class keeps its rows of least key hash, below an exact order statistic
+    of that hash: no sort and no shuffle of rows.  Rows without a class are
+    dropped.  ``max_rows`` <= 0 means no bound.
+    """
+    labelled = df.where(F.col(target).isNotNull())
+    if max_rows <= 0:
+        return labelled
+    counts = {int(r[0]): r[1] for r in labelled.groupBy(target).agg(F.count(F.lit(1))).collect()}
+    total = sum(counts.values())
+    if total <= max_rows:
+        return labelled
+    u = hash_unit(seed, key_cols)
+    ranks = {c: max_rows * n // total for c, n in counts.items()}
+    edges = order_statistics(labelled, {f"class {c}": (F.when(F.col(target) == c, u), [k]) for c, k in ranks.items()})
+    keep = F.lit(False)
+    for c in ranks:
+        keep = keep | ((F.col(target) == c) & (u < F.lit(edges[f"class {c}"][0])))
+    return labelled.where(keep)
+
+
+def training_tables(df: DataFrame, key_cols: list[str], target: str = "congestion", max_train_rows: int = K.MAX_TRAIN_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Training and test rows with assembled features; the bounded training rows are kept."""
+    train, test = split(assemble(df), key_cols)
+    train = with_class_weights(stratified_cap(train, key_cols, max_train_rows, target), target)
+    train = train.repartition(FIT_PARTITIONS, *key_cols).sortWithinPartitions(*key_cols)
+    return train.persist(StorageLevel.MEMORY_AND_DISK), test
+
+
 def fit_forest(train: DataFrame, params: dict, target: str = "congestion"):
     rf = RandomForestClassifier(
         featuresCol="features",
@@ -84,6 +140,38 @@ def candidate_ladder(train: DataFrame, valid: DataFrame, candidates=None, target
     return chosen[0], chosen[1], report
 
 
+def fit_selected(df: DataFrame, key_cols: list[str], candidates=None, target: str = "congestion", max_train_rows: int = K.MAX_TRAIN_ROWS) -> Fitted:
+    """Choose a candidate on a validation split of the training rows, then fit it on all of them."""
+    train, test = training_tables(df, key_cols, target, max_train_rows)
+    part, valid = split(train, key_cols, seed=K.MODEL_SEED)
+    _, params, report = candidate_ladder(part, valid, candidates, target)
+    return Fitted(fit_forest(train, params, target), params, report, train, test)
+
+
+def save_model(model, path: str) -> None:
+    """Write a fitted forest to a folder (any file system Spark can write)."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> RandomForestClassificationModel:
+    return RandomForestClassificationModel.load(path)
+
+
+def save_metrics(spark: SparkSession, metrics: dict, path: str) -> None:
+    """Metrics as one JSON document in a folder (any file system Spark can write)."""
+    spark.createDataFrame([(json.dumps(metrics, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_metrics(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
+def validate_metrics(metrics: dict, min_accuracy: float = K.MIN_ACCURACY) -> None:
+    """Raise where stored metrics miss the gate."""
+    if metrics["accuracy"] < min_accuracy:
+        raise ValueError(f"accuracy {metrics['accuracy']:.4f} is below {min_accuracy:.2f}")
+
+
 def feature_importance(model) -> list[tuple[str, float]]:
     imp = model.featureImportances.toArray().tolist()
     return sorted(zip(K.FEATURES, imp), key=lambda kv: -kv[1])
@@ -113,5 +201,19 @@ def sensitivity_probes(spark, model) -> DataFrame:
     return out.withColumn("ok", check).drop("_base", "_base_pred")
 
 
+def importance_floors(spark, model) -> DataFrame:
+    """Each feature's importance beside the least that the gate allows."""
+    rows = [(f, float(v), K.MIN_IMPORTANCE[f], float(v) >= K.MIN_IMPORTANCE[f]) for f, v in feature_importance(model)]
+    return spark.createDataFrame(rows, "feature string, importance double, floor double, ok boolean")
+
+
+def learning_gate(spark, model) -> None:
+    """Raise with every importance floor and probe that the model misses."""
+    low = [r["feature"] for r in importance_floors(spark, model).collect() if not r["ok"]]
+    wrong = [r["scenario"] for r in sensitivity_probes(spark, model).collect() if r["ok"] is False]
+    if low or wrong:
+        raise ValueError(f"importance below its floor: {low}; probes that fail: {wrong}")
+
+
 def metric_gate(metrics: DataFrame, min_accuracy: float = K.MIN_ACCURACY) -> DataFrame:
     return metrics.withColumn("min_accuracy", F.lit(min_accuracy)).withColumn("passed", F.col("accuracy") >= min_accuracy)

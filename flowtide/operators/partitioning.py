@@ -1,18 +1,17 @@
-"""Parallelism guard for CPU-heavy row-local operators."""
+"""Partition counts that a session names."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+#: A session may name a partition count for tables that one file split would read on one core.
+SPREAD = "spark.flowtide.spread"
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition only when the input has fewer partitions than the
-    cluster can run at once (e.g. one small file).  Large inputs already have
-    many splits and pass through untouched, so no shuffle is added at scale."""
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= target:
-            return df
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. Spark Connect): leave the plan as is
-        return df
-    return df.repartition(target)
+
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """``df`` dealt into ``partitions``, or as many as the session names; else as it is.
+
+    The plan follows from the setting alone, never from the size of the input.
+    """
+    n = partitions or int(df.sparkSession.conf.get(SPREAD, "0"))
+    return df.repartition(n) if n > 0 else df

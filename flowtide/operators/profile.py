@@ -12,17 +12,17 @@ Exact quantiles use linear interpolation between order statistics
 map per group and merges it in a single task, which does not survive 100 TB.
 ``method="exact"`` therefore *selects* the needed order statistics:
 
-1. one aggregate with ``percentile_approx`` (bounded GK sketch, partial
-   aggregation on every executor) brackets each wanted rank;
-2. one aggregate counts the rows below / inside every bracket;
-3. while a bracket still holds more than ``collect_cap`` rows it is split into
-   ``bins`` equal-width bins with a grouped count (output <= bins rows) and the
-   bin holding the rank becomes the new bracket (min/max of that bin, so ties
-   collapse it to a single value);
-4. the few remaining values are sorted by Spark and fetched.
-
-Every job returns O(targets x bins) rows; nothing unbounded reaches the
-driver or a single task.  ``method="approx"`` is step 1 only.
+1. one aggregate gives every column's count and extremes: the first bracket of
+   each wanted rank;
+2. grouped counts over ``bins`` bins of each bracket (one scan for all, partial
+   counts on every executor) give the bin that holds the rank.  Its extremes and
+   count are the next bracket, so ties collapse it to a single value.  A round
+   that left most rows in one bin is followed by one with logarithmic bins;
+3. when at most ``collect_cap`` rows are left in a bracket they are fetched.
+
+Every job returns O(targets x bins) rows, and the counts meet by hash of
+(bracket, bin); nothing unbounded reaches the driver or a single task.
+``method="approx"`` is one aggregate with Spark's quantile sketch.
 """
 
 from __future__ import annotations
@@ -64,185 +64,161 @@ def quantiles(
     targets: dict[str, tuple[str | Column, list[float]]],
     method: str = "exact",
     accuracy: int = 100_000,
-    collect_cap: int = 100_000,
-    bins: int = 1024,
+    collect_cap: int = 2_000,
+    bins: int = 4096,
     extra: dict[str, Column] | None = None,
 ) -> dict:
     """Quantiles of several columns in as few Spark jobs as possible.
 
     ``targets`` maps a name to ``(column, [q, ...])``; NaN/Inf/null are ignored
     (pandas drops them).  Returns ``{name: [value per q]}`` plus ``{name}__n``
-    (non-null count) and the ``extra`` aggregates by their names.  A column
-    with no finite value yields ``None`` quantiles.
+    (non-null count), ``{name}__min``, ``{name}__max`` and the ``extra``
+    aggregates by their names.  A column with no finite value yields ``None``.
+    ``accuracy`` is that of the sketch of ``method="approx"``.
     """
     extra = extra or {}
     names = list(targets)
     exprs = {n: finite(col(c)) for n, (c, _) in targets.items()}
-    eps = 1.0 / accuracy
-
-    # ---- job 1: counts, extremes and sketch brackets ------------------------
-    aggs = []
-    for i, n in enumerate(names):
-        x = exprs[n]
-        qs = targets[n][1]
-        aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}")]
-        if method == "approx":
-            aggs.append(F.percentile_approx(x, [float(q) for q in qs], accuracy).alias(f"ap{i}"))
-        else:
-            probes = []
-            for q in qs:
-                probes += [max(0.0, q - 2 * eps), min(1.0, q + 2 * eps)]
-            aggs.append(F.percentile_approx(x, probes, accuracy).alias(f"ap{i}"))
-    for k, e in extra.items():
-        aggs.append(e.alias(f"extra_{k}"))
-    row = df.agg(*aggs).collect()[0]
+    aggs = _extremes(exprs)
+    if method == "approx":
+        aggs += [F.percentile_approx(exprs[n], [float(q) for q in targets[n][1]], accuracy).alias(f"ap{i}") for i, n in enumerate(names)]
+    row = df.agg(*aggs, *[e.alias(f"extra_{k}") for k, e in extra.items()]).collect()[0]
 
     out: dict = {k: row[f"extra_{k}"] for k in extra}
-    if method == "approx":
-        for i, n in enumerate(names):
-            out[n + "__n"] = row[f"n{i}"]
-            ap = row[f"ap{i}"]
-            out[n] = [None] * len(targets[n][1]) if row[f"n{i}"] == 0 else [float(v) for v in ap]
-        return out
-
-    # order statistics wanted: (name, rank) with bracket [lo, hi]
-    wanted: dict[tuple[int, int], list] = {}
     plan: dict[str, list] = {}
     for i, n in enumerate(names):
-        cnt = row[f"n{i}"]
-        out[n + "__n"] = cnt
+        cnt, qs = row[f"n{i}"], targets[n][1]
+        out |= {n + "__n": cnt, n + "__min": row[f"mn{i}"], n + "__max": row[f"mx{i}"]}
         if cnt == 0:
-            plan[n] = None
-            continue
-        mn, mx = row[f"mn{i}"], row[f"mx{i}"]
-        ap = row[f"ap{i}"]
-        per_q = []
-        for j, q in enumerate(targets[n][1]):
-            rn = (cnt - 1) * float(q)
-            k0 = int(math.floor(rn))
-            k1 = min(k0 + 1, cnt - 1) if rn > k0 else k0
-            lo = mn if q - 2 * eps <= 0 else ap[2 * j]
-            hi = mx if q + 2 * eps >= 1 else ap[2 * j + 1]
-            for k in {k0, k1}:
-                key = (i, k)
-                if key in wanted:
-                    b = wanted[key]
-                    b[0], b[1] = min(b[0], lo), max(b[1], hi)
-                else:
-                    wanted[key] = [lo, hi, None, None]  # lo, hi, below, inside
-            per_q.append((k0, k1, rn - k0))
-        plan[n] = per_q
-
-    results: dict[tuple[int, int], float] = {}
-    if wanted:
-        _resolve(df, exprs, names, wanted, results, row, collect_cap, bins)
-
-    for i, n in enumerate(names):
-        if plan[n] is None:
-            out[n] = [None] * len(targets[n][1])
-            continue
-        out[n] = [_lerp(results[(i, k0)], results[(i, k1)], frac) for (k0, k1, frac) in plan[n]]
+            out[n] = [None] * len(qs)
+        elif method == "approx":
+            out[n] = [float(v) for v in row[f"ap{i}"]]
+        else:
+            plan[n] = [_ranks(cnt, float(q)) for q in qs]
+    found = _select(df, exprs, {n: {k for k0, k1, _ in p for k in (k0, k1)} for n, p in plan.items()}, row, collect_cap, bins)
+    for n, p in plan.items():
+        out[n] = [_lerp(found[n, k0], found[n, k1], frac) for k0, k1, frac in p]
     return out
 
 
-def order_statistics(df: DataFrame, targets: dict[str, tuple[str | Column, list[int]]], collect_cap: int = 100_000, bins: int = 1024) -> dict:
+def order_statistics(df: DataFrame, targets: dict[str, tuple[str | Column, list[int]]], collect_cap: int = 2_000, bins: int = 4096) -> dict:
     """Exact k-th smallest values (0-based ranks over non-null finite values)."""
-    names = list(targets)
     exprs = {n: finite(col(c)) for n, (c, _) in targets.items()}
-    aggs = []
-    for i, n in enumerate(names):
-        x = exprs[n]
-        aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}")]
-    row = df.agg(*aggs).collect()[0]
-    wanted = {}
-    for i, n in enumerate(names):
-        for k in targets[n][1]:
-            if 0 <= k < row[f"n{i}"]:
-                wanted[(i, int(k))] = [row[f"mn{i}"], row[f"mx{i}"], None, None]
-    results: dict = {}
-    if wanted:
-        _resolve(df, exprs, names, wanted, results, row, collect_cap, bins)
-    return {n: [results.get((i, int(k))) for k in targets[n][1]] for i, n in enumerate(names)}
-
-
-def _resolve(df, exprs, names, wanted, results, row, collect_cap, bins):
-    """Turn each (column, rank) bracket into the exact order statistic."""
-    pending = dict(wanted)
-    for _round in range(64):
-        if not pending:
-            return
-        # ---- counts below / inside every bracket (one job) -------------------
-        aggs = []
-        keys = list(pending)
-        for t, (i, k) in enumerate(keys):
-            lo, hi = pending[(i, k)][:2]
-            x = exprs[names[i]]
-            aggs.append(F.count_if(x < F.lit(lo)).alias(f"b{t}"))
-            aggs.append(F.count_if((x >= F.lit(lo)) & (x <= F.lit(hi))).alias(f"c{t}"))
-        cnt = df.agg(*aggs).collect()[0]
-        small, big = [], []
-        for t, key in enumerate(keys):
-            i, k = key
-            b, c = cnt[f"b{t}"], cnt[f"c{t}"]
-            lo, hi = pending[key][:2]
-            if not (b <= k < b + c):  # sketch bracket missed: widen to the full range
-                pending[key] = [row[f"mn{i}"], row[f"mx{i}"], None, None]
-                continue
-            pending[key][2], pending[key][3] = b, c
-            if lo == hi:
-                results[key] = float(lo)
-            elif c <= collect_cap:
-                small.append(key)
+    row = df.agg(*_extremes(exprs)).collect()[0]
+    ranks = {n: {int(k) for k in ks if 0 <= k < row[f"n{i}"]} for i, (n, (_, ks)) in enumerate(targets.items())}
+    found = _select(df, exprs, ranks, row, collect_cap, bins)
+    return {n: [found.get((n, int(k))) for k in ks] for n, (_, ks) in targets.items()}
+
+
+def _extremes(exprs: dict[str, Column]) -> list[Column]:
+    return [e for i, x in enumerate(exprs.values()) for e in (F.count(x).alias(f"n{i}"), F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}"))]
+
+
+def _ranks(n: int, q: float) -> tuple[int, int, float]:
+    """The two order statistics around a quantile and the weight of the second."""
+    at = (n - 1) * q
+    low = int(math.floor(at))
+    return low, min(low + 1, n - 1) if at > low else low, at - low
+
+
+@dataclass(frozen=True)
+class _Bracket:
+    """Values ``lo`` to ``hi`` of a column: ``inside`` rows, ``below`` rows under them."""
+
+    name: str
+    lo: float
+    hi: float
+    below: int
+    inside: int
+    log: bool = False
+
+    def value(self, rank: int) -> float | None:
+        """The order statistic, where the extremes tell it."""
+        if self.lo == self.hi or rank == self.below:
+            return float(self.lo)
+        return float(self.hi) if rank == self.below + self.inside - 1 else None
+
+
+def _select(df: DataFrame, exprs: dict[str, Column], ranks: dict[str, set[int]], row, collect_cap: int, bins: int) -> dict:
+    """``{(name, rank): order statistic}``; ranks of one bracket share its counts."""
+    at = {n: i for i, n in enumerate(exprs)}
+    whole = {n: _Bracket(n, row[f"mn{at[n]}"], row[f"mx{at[n]}"], 0, row[f"n{at[n]}"]) for n in ranks if ranks[n]}
+    pending = {(n, k): whole[n] for n, ks in ranks.items() for k in ks}
+    found: dict = {}
+    while pending:
+        for key, b in list(pending.items()):
+            if (v := b.value(key[1])) is not None:
+                found[key] = v
+                del pending[key]
+        few = list({b for b in pending.values() if b.inside <= collect_cap})
+        many = list({b for b in pending.values() if b.inside > collect_cap})
+        fetched = _fetch(df, exprs, few) if few else {}
+        cut = _histogram(df, exprs, many, bins) if many else {}
+        for key, b in list(pending.items()):
+            if b in fetched:
+                found[key] = float(fetched[b][key[1] - b.below])
+                del pending[key]
             else:
-                big.append(key)
-        for key in list(pending):
-            if key in results:
-                pending.pop(key)
-        # ---- fetch small brackets (bounded rows), one scan for all targets --
-        if small:
-            items = [(t, exprs[names[key[0]]], *pending[key][:2]) for t, key in enumerate(small)]
-            by_t: dict[int, list] = {}
-            for r in _bracket_rows(df, items).collect():
-                by_t.setdefault(r["t"], []).append(r["x"])
-            for t, key in enumerate(small):
-                vals = sorted(by_t[t])
-                results[key] = float(vals[key[1] - pending[key][2]])
-                pending.pop(key)
-        # ---- narrow big brackets with one histogram job -----------------------
-        if big:
-            items = [(t, exprs[names[key[0]]], *pending[key][:2]) for t, key in enumerate(big)]
-            hist = (
-                _bracket_rows(df, items, bins)
-                .groupBy("t", "bin")
-                .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-                .collect()
-            )
-            by_t = {}
-            for r in hist:
-                by_t.setdefault(r["t"], []).append((r["bin"], r["n"], r["lo"], r["hi"]))
-            for t, key in enumerate(big):
-                below = pending[key][2]
-                for _bin, n_b, lo_b, hi_b in sorted(by_t[t]):
-                    if key[1] < below + n_b:
-                        pending[key] = [lo_b, hi_b, None, None]
-                        break
-                    below += n_b
-    raise RuntimeError("quantile selection did not converge")
-
-
-def _bracket_rows(df: DataFrame, items: list, bins: int | None = None) -> DataFrame:
+                pending[key] = next(c for c in cut[b] if key[1] < c.below + c.inside)
+    return found
+
+
+def _fetch(df: DataFrame, exprs: dict[str, Column], brackets: list[_Bracket]) -> dict:
+    values: dict = {b: [] for b in brackets}
+    for r in _bracket_rows(df, exprs, brackets).collect():
+        values[brackets[r["t"]]].append(r["x"])
+    return {b: sorted(v) for b, v in values.items()}
+
+
+def _histogram(df: DataFrame, exprs: dict[str, Column], brackets: list[_Bracket], bins: int) -> dict:
+    """Every bracket's bins that hold rows, as brackets in ascending order."""
+    counts = _bracket_rows(df, exprs, brackets, bins).groupBy("t", "bin")
+    by_t: dict[int, list] = {}
+    for r in counts.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect():
+        by_t.setdefault(r["t"], []).append((r["bin"], r["n"], r["lo"], r["hi"]))
+    out: dict = {}
+    for t, b in enumerate(brackets):
+        below, out[b] = b.below, []
+        for _, n, lo, hi in sorted(by_t[t]):
+            # most rows in one bin: the next round takes logarithmic bins
+            out[b].append(_Bracket(b.name, lo, hi, below, n, not b.log and 8 * n > b.inside))
+            below += n
+    return out
+
+
+def _magnitude(x: Column) -> Column:
+    """Rising function of a double with even steps per power of two; 0 stays 0."""
+    return F.when(x == 0, F.lit(0.0)).otherwise(F.signum(x) * (F.log2(F.abs(x)) + F.lit(1080.0)))
+
+
+def _bin(x: Column, b: _Bracket, bins: int) -> Column:
+    """Number of ``x``'s bin: 0 holds ``lo``; ``hi`` is in another bin unless the bins are logarithmic."""
+    if b.log:
+        level = _magnitude(x)
+        low, high = (math.copysign(math.log2(abs(v)) + 1080.0, v) if v else 0.0 for v in (b.lo, b.hi))
+        step = F.floor((level - F.lit(low)) / F.lit((high - low) / bins or 1.0))
+    elif math.isinf(b.hi - b.lo):
+        width = b.hi / bins - b.lo / bins
+        step = F.floor(x / F.lit(width) - F.lit(b.lo / width))
+    else:
+        step = F.floor((x - F.lit(b.lo)) / F.lit((b.hi - b.lo) / bins or b.hi - b.lo))
+    return F.greatest(F.least(step, F.lit(bins - 1)), F.lit(0)).cast("int")
+
+
+def _bracket_rows(df: DataFrame, exprs: dict[str, Column], brackets: list[_Bracket], bins: int | None = None) -> DataFrame:
     """One scan emitting ``(t, x[, bin])`` for every value inside bracket ``t``."""
+    names = list(dict.fromkeys(b.name for b in brackets))
+    slim = df.select(*[exprs[n].cast("double").alias(f"x{i}") for i, n in enumerate(names)])
     elems = []
-    for t, x, lo, hi in items:
+    for t, b in enumerate(brackets):
+        x = F.col(f"x{names.index(b.name)}")
         fields = [F.lit(t).alias("t"), x.alias("x")]
         if bins is not None:
-            width = (hi - lo) / bins
-            b = F.least(F.floor((x - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("int")
-            fields.append(b.alias("bin"))
-        elems.append(F.when((x >= F.lit(lo)) & (x <= F.lit(hi)), F.struct(*fields)))
-    arr = F.filter(F.array(*elems), lambda e: e.isNotNull()) if len(elems) > 1 else F.array(*elems)
-    out = df.select(F.explode(arr).alias("e")).where(F.col("e").isNotNull())
-    return out.select("e.*")
+            fields.append(_bin(x, b, bins).alias("bin"))
+        elems.append(F.when((x >= F.lit(float(b.lo))) & (x <= F.lit(float(b.hi))), F.struct(*fields)))
+    if len(elems) == 1:
+        return slim.select(elems[0].alias("e")).where("e is not null").select("e.*")
+    return slim.select(F.explode(F.array(*elems)).alias("e")).where("e is not null").select("e.*")
 
 
 def safe_scale(value, fallback) -> float:

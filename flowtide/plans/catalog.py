@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.columns import round_doubles
 from ..operators import clean, features as feat_ops
+from ..operators.partitioning import spread
 from ..sources import (
     FLOW_KEYS,
     FLOW_ORDER,
@@ -49,9 +50,6 @@ _FEATURE_CACHE: dict = {}
 
 
 def lineitem(spark, d):
-    from ..operators.partitioning import spread
-
-    # a single-split input (one small file) would run every query on one core
     return spread(read_table(spark, d, "lineitem"))
 
 
@@ -75,13 +73,7 @@ def features(spark, d) -> DataFrame:
 
 
 def states(spark, d) -> DataFrame:
-    from ..operators.partitioning import spread
-
-    # the projections below are CPU-heavy per row: make sure every core gets rows
-    from ..operators.partitioning import spread
-
-    # the projections below are CPU-heavy per row: make sure every core gets rows
-    return spread(states_from_features(features(spark, d), prob="risk"))
+    return states_from_features(features(spark, d), prob="risk")
 
 
 def telemetry(spark, d):
@@ -587,7 +579,7 @@ def stratified_split_q(spark, d):
 
 # ---- towers -------------------------------------------------------------------------
 
-TOWER_SQL = f""", tq AS (SELECT quantile_cont(throughput, {tw.tercile_levels()[1]!r}) AS e1, quantile_cont(throughput, {tw.tercile_levels()[2]!r}) AS e2 FROM feat),
+TOWER_SQL = f""", tq AS (SELECT quantile_cont(throughput, 0.33333333333333326) AS e1, quantile_cont(throughput, 0.6666666666666665) AS e2 FROM feat),
 tws AS (SELECT feat.*, CASE WHEN throughput <= e1 THEN 'A' WHEN throughput <= e2 THEN 'B' ELSE 'C' END AS tower FROM feat, tq),
 tsum AS (SELECT tower, count(*) AS records, avg(CAST(congestion AS DOUBLE)) AS rate FROM tws GROUP BY tower),
 trank AS (SELECT tower, records, rate, rate * 100 AS pct, row_number() OVER (ORDER BY rate * 100 DESC, tower) AS rank FROM tsum)"""
@@ -837,11 +829,22 @@ _BIN_FIELDS = {
 }
 
 
+#: Lowest and highest value of each field in six even bins, stated apart from the operator.
+_BIN_SQL_RANGES = {
+    "latency": (5, 5000),
+    "throughput": (10, 1000),
+    "packet_loss": (0, 1),
+    "tower_load": (0, 100),
+    "congestion_probability": (0, 1),
+}
+
+
 def _bins_sql() -> str:
-    edges = sc.bin_edges()
     parts = []
     for key, c in _BIN_FIELDS.items():
-        parts.append("(" + " + ".join(f"CAST({c} >= {e!r} AS INTEGER)" for e in edges[key]) + f") AS bin_{key}")
+        lo, hi = _BIN_SQL_RANGES[key]
+        edges = [f"CAST({c} >= {lo}::DOUBLE + {k} * (({hi}::DOUBLE - {lo}) / 6) AS INTEGER)" for k in range(1, 6)]
+        parts.append(f"({' + '.join(edges)}) AS bin_{key}")
     return ", ".join(parts)
 
 
@@ -1178,23 +1181,19 @@ from ..operators import explain as ex  # noqa: E402
 
 
 def _attribution_sql() -> str:
-    bgcols = {"latency": "bl", "throughput": "bt", "packet_loss": "bp"}
-    v = {}
-    for m in ex.MASKS:
-        args = [c if present else bgcols[c] for c, present in zip(K.FEATURES, m)]
-        v[m] = S.risk(*args)
-    phis = []
-    for i, c in enumerate(K.FEATURES):
-        terms = []
-        for m in ex.MASKS:
-            if m[i] == 1:
-                continue
-            with_i = tuple(1 if j == i else m[j] for j in range(3))
-            terms.append(f"{ex._weight(m, i)!r} * ({v[with_i]} - {v[m]})")
-        phis.append(S.r(" + ".join(terms), f"phi_{c}"))
+    """Shapley values spelled out: v_abc has the row's latency / throughput / loss where a / b / c is 1, else the mean."""
+    names = [("latency", "bl"), ("throughput", "bt"), ("packet_loss", "bp")]
+    v = {m: S.risk(*[n[0] if bit == "1" else n[1] for n, bit in zip(names, m)]) for m in ("000", "001", "010", "011", "100", "101", "110", "111")}
+    pairs = {
+        "latency": [("100", "000"), ("110", "010"), ("101", "001"), ("111", "011")],
+        "throughput": [("010", "000"), ("110", "100"), ("011", "001"), ("111", "101")],
+        "packet_loss": [("001", "000"), ("101", "100"), ("011", "010"), ("111", "110")],
+    }
+    shares = ("1/3.0", "1/6.0", "1/6.0", "1/3.0")
+    phis = [S.r(" + ".join(f"({w}) * ({v[x]} - {v[y]})" for w, (x, y) in zip(shares, pairs[c])), f"phi_{c}") for c in pairs]
     return (
         ", bg AS (SELECT avg(latency) AS bl, avg(throughput) AS bt, avg(packet_loss) AS bp FROM feat),\n"
-        f"la AS (SELECT {KEYS_SQL}, {', '.join(phis)}, {S.r(v[(0, 0, 0)], 'base_value')}, {S.r(v[(1, 1, 1)], 'f_x')} FROM feat, bg)\n"
+        f"la AS (SELECT {KEYS_SQL}, {', '.join(phis)}, {S.r(v['000'], 'base_value')}, {S.r(v['111'], 'f_x')} FROM feat, bg)\n"
     )
 
 
@@ -1224,13 +1223,12 @@ _MODEL_CACHE: dict = {}
 
 
 def _training(spark, d):
+    """Kept training rows, test rows and the selected model of a session and folder."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _MODEL_CACHE:
-        data = ml.with_class_weights(ml.assemble(features(spark, d)))
-        train, test = ml.split(data, FLOW_KEYS)
-        model = ml.fit_forest(train, K.RF_CANDIDATES[0])
-        _MODEL_CACHE[key] = (train, test, model)
-    return _MODEL_CACHE[key]
+        _MODEL_CACHE[key] = ml.fit_selected(features(spark, d), FLOW_KEYS)
+    fitted = _MODEL_CACHE[key]
+    return fitted.train, fitted.test, fitted.model
 
 
 @register("forest_scores")
@@ -1288,9 +1286,66 @@ def logistic_scores_q(spark, d):
 
 @register("candidate_report")
 def candidate_report_q(spark, d):
-    train, test, _model = _training(spark, d)
-    tr, valid = ml.split(train, FLOW_KEYS, seed=K.MODEL_SEED, test_fraction=0.2)
-    _m, _p, report = ml.candidate_ladder(tr, valid)
+    """The ladder of the selected model's fit."""
+    _training(spark, d)
+    report = _MODEL_CACHE[spark.sparkContext.applicationId, d].report
     schema = ("candidate int, num_trees int, max_depth int, min_instances int, accuracy double, precision double, recall double, f1 double, "
               "importance_latency double, importance_throughput double, importance_packet_loss double")
     return out(spark.createDataFrame(report, schema))
+
+
+@register("importance_floors")
+def importance_floors_q(spark, d):
+    _train, _test, model = _training(spark, d)
+    return out(ml.importance_floors(spark, model))
+
+
+@register("model_local_attribution")
+def model_local_attribution_q(spark, d):
+    """Shapley values of the selected forest for every test row."""
+    _train, test, model = _training(spark, d)
+    a = ex.model_attribution(test.select(*FLOW_KEYS, *K.FEATURES), model, ex.background(features(spark, d)))
+    return out(a.select(*FLOW_KEYS, *[f"phi_{c}" for c in K.FEATURES], "base_value", "f_x"))
+
+
+@register("model_global_attribution")
+def model_global_attribution_q(spark, d):
+    return out(ex.global_attribution(model_local_attribution_q(spark, d)))
+
+
+# ---- batch page ---------------------------------------------------------------------
+
+_BATCH_PAGE = f""", bsim AS (SELECT {KEYS_SQL}, prob AS scored, least(greatest(latency, 5), 5000) AS lat, least(greatest(throughput_mbps, 10), 1000) AS tp,
+               least(greatest(CASE WHEN packet_loss > 1 THEN packet_loss / 100 ELSE packet_loss END, 0), 1) AS loss,
+               70.0 AS load, least(greatest(prob, 0), 1) AS prob FROM st),
+bprio AS (SELECT *, {W._prios()} AS prios FROM bsim),
+bpage AS (SELECT {KEYS_SQL}, scored, {_tier_sql('scored')} AS alert_level, {_state_sql('scored')} AS network_state,
+                 CAST(scored > 0.5 AS INTEGER) AS congested, CASE WHEN prob < 0.08 THEN 'do_nothing' ELSE prios[1] END AS first_action FROM bprio)"""
+
+
+def _batch_page(spark, d) -> DataFrame:
+    s = sc.alert_tiers(states(spark, d).withColumn("tower_load", F.lit(K.BATCH_TOWER_LOAD)))
+    s = s.withColumn("congested", (F.col("prob") > K.CONGESTED_ABOVE).cast("int"))
+    t = wi.priority_action(_sim_cols(wi.simulator_state(s, "latency", "throughput_mbps", "packet_loss", "tower_load", "prob")))
+    return t.select(*FLOW_KEYS, "prob", "alert_level", "network_state", "congested", F.col("_act").alias("first_action"))
+
+
+@register(
+    "batch_scores",
+    ST_WITH + _BATCH_PAGE + f" SELECT {KEYS_SQL}, {S.r('scored', 'prob')}, alert_level, network_state, congested, first_action FROM bpage",
+)
+def batch_scores_q(spark, d):
+    """Every row scored, tiered and given its first action (default tower load), in one pass."""
+    return out(_batch_page(spark, d))
+
+
+@register(
+    "batch_score_summary",
+    ST_WITH
+    + _BATCH_PAGE
+    + """ SELECT alert_level, first_action, count(*) AS n_rows, CAST(sum(congested) AS BIGINT) AS congested_rows, round(avg(scored), 6) AS mean_prob
+FROM bpage GROUP BY alert_level, first_action""",
+)
+def batch_score_summary_q(spark, d):
+    g = _batch_page(spark, d).groupBy("alert_level", "first_action")
+    return out(g.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("congested").alias("congested_rows"), F.avg("prob").alias("mean_prob")))
