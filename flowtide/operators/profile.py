@@ -216,8 +216,7 @@ def _bracket_rows(df: DataFrame, exprs: dict[str, Column], brackets: list[_Brack
         if bins is not None:
             fields.append(_bin(x, b, bins).alias("bin"))
         elems.append(F.when((x >= F.lit(float(b.lo))) & (x <= F.lit(float(b.hi))), F.struct(*fields)))
-    if len(elems) == 1:
-        return slim.select(elems[0].alias("e")).where("e is not null").select("e.*")
+    # a filter on generated rows is not pushed down, so no formula is written out twice
     return slim.select(F.explode(F.array(*elems)).alias("e")).where("e is not null").select("e.*")
 
 
