@@ -84,7 +84,7 @@ def _pieces(path: str, capacity: int):
         for batch in batches:
             docs = batch.column(0).to_pylist()
             buf, offs = utf8(batch.column(1))
-            for i, j in slices(offs):
+            for i, j in slices(offs, 500_000):
                 ids, rows = enc.encode(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 for d, a, b in zip(docs[i:j], rows[:-1].tolist(), rows[1:].tolist()):
                     own = np.append(ids[a:b], np.uint32(END_ID)).astype("<u4")
