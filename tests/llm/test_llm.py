@@ -210,3 +210,46 @@ def test_pseudo_likelihood_prefers_corpus_like_text(spark):
     got = {r["doc_id"]: r for r in scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[0]["mean_log_likelihood"] > got[100]["mean_log_likelihood"] and got[0]["n_words"] == 60
     assert got[101]["n_words"] == 0 and got[101]["mean_log_likelihood"] is None and len(got) == len(rows)
+
+
+@pytest.mark.parametrize("chunk_bytes", [3_000_000, 300])
+def test_pseudo_likelihood_counts_all_words_and_pairs(spark, docs, chunk_bytes):
+    """With equal weights a score is the plain mixture, counted by hand; each chunk gets the whole corpus's counts."""
+    from flowtide.llm.pseudolikelihood import Gate, scores
+
+    gate = Gate()
+    gate.p = {k: np.zeros_like(x) for k, x in gate.p.items()}
+    texts = {i: _words(t) for i, t, *_ in _rows()}
+    two, n = Counter(), Counter(w for x in texts.values() for w in x)
+    for x in texts.values():
+        line = [None, None, *x, None, None]
+        for d in (1, 2):
+            two.update((d, a, b) for a, b in zip(line, line[d:]) if a or b)
+            n[d] += min(d, len(x))
+    total = sum(v for k, v in n.items() if isinstance(k, str))
+    distinct = len(n) - 2
+
+    def log_probability(line, at):
+        p = [1 / distinct, (n[line[at]] - 1) / (total - 1)]
+        for d in (1, 2):
+            for u, pair in ((line[at - d], (d, line[at - d], line[at])), (line[at + d], (d, line[at], line[at + d]))):
+                m = n[u] if u else n[d]
+                p.append((two[pair] - 1) / (m - 1) if m > 1 else p[1])
+        return np.log(sum(p) / 6)
+
+    got = {r["doc_id"]: r for r in scores(docs, gate, chunk_bytes).collect()}
+    assert len(got) == len(texts)
+    for i, x in texts.items():
+        want = sum(log_probability([None, None, *x, None, None], at) for at in range(2, len(x) + 2))
+        assert got[i]["n_words"] == len(x) and abs(got[i]["log_likelihood"] - want) < 1e-6 * (1 + abs(want))
+
+
+def test_pseudo_likelihood_predicts_words(spark):
+    """Far more words than classes: a rare word in its own place scores above another of equal count and length."""
+    from flowtide.llm.pseudolikelihood import scores
+
+    rows = [(i, " ".join(f"a{j:04d} b{j:04d} c{j:04d}" for j in range(i % 50, 3000, 50))) for i in range(200)]
+    rows += [(1000, "a0007 b0007 c0007"), (1001, "a0007 b0008 c0007"), (1002, None), (None, "a0007 b0007 c0007")]
+    got = {r["doc_id"]: r["log_likelihood"] for r in scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1000] > got[1001] + 1 and got[None] == pytest.approx(got[1000]) and got[1002] == 0
+    assert scores(_empty(spark)).count() == 0
