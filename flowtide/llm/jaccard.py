@@ -136,7 +136,8 @@ def part_keys(h: np.ndarray, at: np.ndarray, names: np.ndarray, t: Threshold) ->
         give = (count > 0) | tell[row]
         key = mix(low.astype(np.uint64) + mix(top.astype(np.uint64)) + mix((band[rows][row] << 32 | part).astype(np.uint64)))
         key = (key & ~np.uint64(63)) | (band[rows][row] & 63).astype(np.uint64)
-        need = np.where(tell, parts - d, parts - d - empty)
+        # a set that tells shares keys of empty parts only with others that tell; with the rest, one key at least
+        need = np.where(tell, 1, parts - d - empty)
         out.append((key[give].view(np.int64), names[rows][row[give]], need[row[give]]))
     return tuple(np.concatenate(c) for c in zip(*out))
 

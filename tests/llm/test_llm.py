@@ -78,6 +78,25 @@ def test_jaccard_empty_and_null_ids(spark):
     assert sorted((r["doc_id"] or -1, r["component_id"]) for r in classes(rows).collect()) == [(-1, None), (7, 7), (7, 7)]
 
 
+@pytest.mark.parametrize("k, num, n_words", [(4, 85, 9), (5, 80, 8)])
+def test_jaccard_keeps_links_of_sets_with_empty_parts(spark, k, num, n_words):
+    """All shingles of the shorter set in one of three parts, the longer one's last in another: one shared key."""
+    import pyarrow as pa
+
+    from flowtide.llm.jaccard import classes, sets_of
+    from flowtide.llm.textnum import utf8
+
+    long = [" ".join(f"w{i}x{j}" for j in range(n_words + 1)) for i in range(4000)]
+    h, at, _ = sets_of(*utf8(pa.array([" ".join(t.split()[:-1]) for t in long])), k)
+    h2, at2, _ = sets_of(*utf8(pa.array(long)), k)
+    part = lambda x: {int(v) for v in (x >> np.uint64(32)) * np.uint64(3) >> np.uint64(32)}
+    found = [i for i in range(len(long)) if len(part(h[at[i] : at[i + 1]])) == 1 and len(part(h2[at2[i] : at2[i + 1]])) == 2]
+    assert found
+    for i in found[:1]:  # alone in its size band
+        rows = spark.createDataFrame([(1, " ".join(long[i].split()[:-1])), (2, long[i])], "doc_id long, text string")
+        assert [r["component_id"] for r in classes(rows, k=k, num=num, den=100).collect()] == [1, 1]
+
+
 def test_packing(spark, docs):
     from flowtide.llm.packing import best_fit, pack
 
