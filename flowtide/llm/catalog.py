@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read, scratch
+from .common import cut, read, scratch
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -98,11 +98,30 @@ def op10_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards_by_bytes(read(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefixtrie import grafted, sequences, trie
+
+    return trie(grafted(cut(sequences(read(spark, sf_dir, "conversations")))))
+
+
+def op12_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pivots import near_copies
+
+    return near_copies(read(spark, sf_dir, "embeddings"))
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repair import damaged, repair
+
+    return repair(damaged(read(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_rule_quality, op2_token_index, op3_fixity_audit, op4_one_permutation, op5_url_rules,
         op6_pseudo_likelihood, op7_packing, op8_simhash_windows, op9_jaccard_join, op10_byte_shards,
+        op11_prefix_trie, op12_pivot_index, op13_structure_repair,
     )
 }
 

@@ -3,30 +3,24 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ensure_checkpoint_dir
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``.
+    """The folder named in ``spark.checkpoint.dir``, which executors and driver both see.
 
-    Executors and driver both see it.  Only where the setting is absent (local
-    runs and tests) is a folder made here.
+    Without that setting a local session gets a folder of its own; on a cluster
+    its absence is an error.
     """
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="flowtide-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(named)
-    return named.rstrip("/")
+    return ensure_checkpoint_dir(spark).rstrip("/")
 
 
 def scratch(spark: SparkSession, what: str) -> str:

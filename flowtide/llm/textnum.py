@@ -117,7 +117,7 @@ def shingles(w: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     i = np.arange(len(w))
     b = multipliers(k + 1, 11)
     acc = np.zeros(len(w), np.uint64)
-    for j in range(k):
+    for j in range(min(k, len(w))):
         acc[: len(w) - j] += np.where(i[: len(w) - j] + j < end[: len(w) - j], w[j:] * b[j], np.uint64(0))
     short = count < k
     own = i + k <= end
