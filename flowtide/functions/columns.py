@@ -43,11 +43,13 @@ def is_finite(c: str | Column) -> Column:
 def to_number(c: str | Column) -> Column:
     """Coerce anything to double; unparsable text becomes null (never raises).
 
-    Java's number suffixes (``12d``, ``3f``) are no numbers here.
+    Java's number suffixes (``12d``, ``3f``) are no numbers here.  Only text is
+    searched for them: the type is known when the plan is made, so the test is
+    folded away for numeric columns.
     """
     c = col(c)
     suffixed = F.rlike(c.cast("string"), F.lit(r"[0-9.]\s*[dDfF]\s*$"))
-    return nan_to_null(F.when(~F.coalesce(suffixed, F.lit(False)), c.try_cast("double")))
+    return nan_to_null(F.when((F.typeof(c) == "string") & F.coalesce(suffixed, F.lit(False)), F.lit(None)).otherwise(c.try_cast("double")))
 
 
 def clip(c: str | Column, lo: float | Column | None = None, hi: float | Column | None = None) -> Column:

@@ -67,29 +67,21 @@ def label_column(df: DataFrame) -> str | None:
 def fit_feature_profile(kpis: DataFrame, method: str = "exact") -> Profile:
     """Scalars the feature projection needs, in one quantile pass."""
     loss_col = direct_loss_column(kpis)
-    targets = {
-        "lat": ("raw_latency", [K.SCALE_Q]),
-        "tp": ("raw_throughput", [K.SCALE_Q]),
-    }
-    extra = {
-        "lat_max": F.max(nan_to_null(F.col("raw_latency"))),
-        "tp_max": F.max(nan_to_null(F.col("raw_throughput"))),
-    }
+    targets = {"lat": ("raw_latency", [K.SCALE_Q]), "tp": ("raw_throughput", [K.SCALE_Q])}
     if loss_col is None:
         targets["fwd"] = ("fwd_packets", [K.FWD_CONFIDENCE_Q])
-        extra["fwd_max"] = F.max(nan_to_null(F.col("fwd_packets")))
     else:
-        extra["loss_max"] = F.max(to_number(_c(loss_col)))
-    q = quantiles(kpis, targets, method=method, extra=extra)
+        targets["loss"] = (to_number(_c(loss_col)), [])
+    q = quantiles(kpis, targets, method=method)
     prof = {
-        "latency_clip": safe_scale(q["lat"][0], q["lat_max"]),
-        "throughput_clip": safe_scale(q["tp"][0], q["tp_max"]),
+        "latency_clip": safe_scale(q["lat"][0], q["lat__max"]),
+        "throughput_clip": safe_scale(q["tp"][0], q["tp__max"]),
         "loss_column": loss_col,
     }
     if loss_col is None:
-        prof["fwd_scale"] = safe_scale(q["fwd"][0], q["fwd_max"])
+        prof["fwd_scale"] = safe_scale(q["fwd"][0], q["fwd__max"])
     else:
-        prof["loss_is_percent"] = q["loss_max"] is not None and q["loss_max"] > 1
+        prof["loss_is_percent"] = q["loss__max"] is not None and q["loss__max"] > 1
     return Profile(prof)
 
 

@@ -2,38 +2,40 @@
 
 Many rules compare each row with a quantile of the whole table (p99 clip,
 p75 target, p90 spike threshold ...).  The quantiles are fitted once into a
-small ``Profile`` of Python floats and inlined as literals, so the row-level
-plan stays one scan + projection and the same profile can be applied to a
-streaming DataFrame later.
+small ``Profile`` of named scalars, which can be stored, applied to other tables
+and to streams, and read back as a one-row table that a plan joins lazily.
 
 Exact quantiles use linear interpolation between order statistics
 (``(n-1)*q``), the definition of pandas ``quantile`` and DuckDB
 ``quantile_cont``.  Spark's built-in exact ``percentile`` keeps a value->count
 map per group and merges it in a single task, which does not survive 100 TB.
-``method="exact"`` therefore *selects* the needed order statistics:
-
-1. one aggregate gives every column's count and extremes: the first bracket of
-   each wanted rank;
-2. grouped counts over ``bins`` bins of each bracket (one scan for all, partial
-   counts on every executor) give the bin that holds the rank.  Its extremes and
-   count are the next bracket, so ties collapse it to a single value.  A round
-   that left most rows in one bin is followed by one with logarithmic bins;
-3. when at most ``collect_cap`` rows are left in a bracket they are fetched.
-
-Every job returns O(targets x bins) rows, and the counts meet by hash of
-(bracket, bin); nothing unbounded reaches the driver or a single task.
+``method="exact"`` therefore *selects* the needed order statistics in at most two
+scans of the table, whatever the number of columns and quantiles:
+
+1. one grouped count over fixed bins (``BINS`` to each power of two, so the bins
+   need no extremes first and partial counts merge) of all columns.  Each rank's
+   bin, with its least and greatest value, brackets the order statistic; ties and
+   extremes are known from that alone;
+2. the values inside the brackets, well below a hundredth of a column each.  Few
+   are fetched; more are written once to the checkpoint folder and cut further
+   there (linear bins of the brackets), without the table.
+
+``grouped_quantiles`` does the same for any number of groups with brackets as
+rows.  What reaches the driver is a number of bins that does not follow the data.
 ``method="approx"`` is one aggregate with Spark's quantile sketch.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, finite
+from ..session import ensure_checkpoint_dir
 
 
 @dataclass
@@ -59,59 +61,66 @@ def _lerp(lo: float, hi: float, frac: float) -> float:
     return lo + (hi - lo) * frac
 
 
+#: Bins to each power of two in the first scan.
+BINS = 64
+#: Bins of a bracket in later rounds, which no longer read the table.
+PARTS = 4096
+
+
 def quantiles(
     df: DataFrame,
     targets: dict[str, tuple[str | Column, list[float]]],
     method: str = "exact",
     accuracy: int = 100_000,
-    collect_cap: int = 2_000,
-    bins: int = 4096,
-    extra: dict[str, Column] | None = None,
+    collect_cap: int = 20_000,
+    bins: int = BINS,
 ) -> dict:
-    """Quantiles of several columns in as few Spark jobs as possible.
+    """Quantiles of several columns in at most two scans.
 
     ``targets`` maps a name to ``(column, [q, ...])``; NaN/Inf/null are ignored
     (pandas drops them).  Returns ``{name: [value per q]}`` plus ``{name}__n``
-    (non-null count), ``{name}__min``, ``{name}__max`` and the ``extra``
-    aggregates by their names.  A column with no finite value yields ``None``.
-    ``accuracy`` is that of the sketch of ``method="approx"``.
+    (non-null count), ``{name}__min``, ``{name}__max`` and, for the exact method,
+    ``{name}__steps``: per q the two order statistics and the weight of the second.
+    A column with no finite value yields ``None``.  ``accuracy`` is that of the
+    sketch of ``method="approx"``.
     """
-    extra = extra or {}
-    names = list(targets)
     exprs = {n: finite(col(c)) for n, (c, _) in targets.items()}
-    aggs = _extremes(exprs)
     if method == "approx":
-        aggs += [F.percentile_approx(exprs[n], [float(q) for q in targets[n][1]], accuracy).alias(f"ap{i}") for i, n in enumerate(names)]
-    row = df.agg(*aggs, *[e.alias(f"extra_{k}") for k, e in extra.items()]).collect()[0]
-
-    out: dict = {k: row[f"extra_{k}"] for k in extra}
-    plan: dict[str, list] = {}
-    for i, n in enumerate(names):
-        cnt, qs = row[f"n{i}"], targets[n][1]
-        out |= {n + "__n": cnt, n + "__min": row[f"mn{i}"], n + "__max": row[f"mx{i}"]}
-        if cnt == 0:
-            out[n] = [None] * len(qs)
-        elif method == "approx":
-            out[n] = [float(v) for v in row[f"ap{i}"]]
-        else:
-            plan[n] = [_ranks(cnt, float(q)) for q in qs]
-    found = _select(df, exprs, {n: {k for k0, k1, _ in p for k in (k0, k1)} for n, p in plan.items()}, row, collect_cap, bins)
-    for n, p in plan.items():
-        out[n] = [_lerp(found[n, k0], found[n, k1], frac) for k0, k1, frac in p]
+        return _approximate(df, targets, exprs, accuracy)
+    counted = _histograms(df, exprs, bins)
+    out, plan, ranks = {}, {}, {}
+    for n, (_, qs) in targets.items():
+        cells = counted[n]
+        total = cells[-1].below + cells[-1].inside if cells else 0
+        out |= {n + "__n": total, n + "__min": cells[0].lo if cells else None, n + "__max": cells[-1].hi if cells else None, n: [None] * len(qs)}
+        if cells:
+            plan[n] = [_ranks(total, float(q)) for q in qs]
+            ranks[n] = {k for k0, k1, _ in plan[n] for k in (k0, k1)}
+    found = _select(df, exprs, counted, ranks, collect_cap)
+    for n, steps in plan.items():
+        out[n + "__steps"] = [(found[n, k0], found[n, k1], frac) for k0, k1, frac in steps]
+        out[n] = [_lerp(*s) for s in out[n + "__steps"]]
     return out
 
 
-def order_statistics(df: DataFrame, targets: dict[str, tuple[str | Column, list[int]]], collect_cap: int = 2_000, bins: int = 4096) -> dict:
+def order_statistics(df: DataFrame, targets: dict[str, tuple[str | Column, list[int]]], collect_cap: int = 20_000, bins: int = BINS) -> dict:
     """Exact k-th smallest values (0-based ranks over non-null finite values)."""
     exprs = {n: finite(col(c)) for n, (c, _) in targets.items()}
-    row = df.agg(*_extremes(exprs)).collect()[0]
-    ranks = {n: {int(k) for k in ks if 0 <= k < row[f"n{i}"]} for i, (n, (_, ks)) in enumerate(targets.items())}
-    found = _select(df, exprs, ranks, row, collect_cap, bins)
+    counted = _histograms(df, exprs, bins)
+    size = {n: cells[-1].below + cells[-1].inside if cells else 0 for n, cells in counted.items()}
+    ranks = {n: {int(k) for k in ks if 0 <= k < size[n]} for n, (_, ks) in targets.items()}
+    found = _select(df, exprs, counted, ranks, collect_cap)
     return {n: [found.get((n, int(k))) for k in ks] for n, (_, ks) in targets.items()}
 
 
-def _extremes(exprs: dict[str, Column]) -> list[Column]:
-    return [e for i, x in enumerate(exprs.values()) for e in (F.count(x).alias(f"n{i}"), F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}"))]
+def _approximate(df: DataFrame, targets: dict, exprs: dict[str, Column], accuracy: int) -> dict:
+    aggs = [e for i, x in enumerate(exprs.values()) for e in (F.count(x).alias(f"n{i}"), F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}"))]
+    aggs += [F.percentile_approx(exprs[n], [float(q) for q in qs], accuracy).alias(f"ap{i}") for i, (n, (_, qs)) in enumerate(targets.items()) if qs]
+    row, out = df.agg(*aggs).first(), {}
+    for i, (n, (_, qs)) in enumerate(targets.items()):
+        out |= {n + "__n": row[f"n{i}"], n + "__min": row[f"mn{i}"], n + "__max": row[f"mx{i}"]}
+        out[n] = [float(v) for v in row[f"ap{i}"]] if qs and row[f"n{i}"] else [None] * len(qs)
+    return out
 
 
 def _ranks(n: int, q: float) -> tuple[int, int, float]:
@@ -130,7 +139,6 @@ class _Bracket:
     hi: float
     below: int
     inside: int
-    log: bool = False
 
     def value(self, rank: int) -> float | None:
         """The order statistic, where the extremes tell it."""
@@ -139,85 +147,151 @@ class _Bracket:
         return float(self.hi) if rank == self.below + self.inside - 1 else None
 
 
-def _select(df: DataFrame, exprs: dict[str, Column], ranks: dict[str, set[int]], row, collect_cap: int, bins: int) -> dict:
-    """``{(name, rank): order statistic}``; ranks of one bracket share its counts."""
-    at = {n: i for i, n in enumerate(exprs)}
-    whole = {n: _Bracket(n, row[f"mn{at[n]}"], row[f"mx{at[n]}"], 0, row[f"n{at[n]}"]) for n in ranks if ranks[n]}
-    pending = {(n, k): whole[n] for n, ks in ranks.items() for k in ks}
-    found: dict = {}
-    while pending:
-        for key, b in list(pending.items()):
-            if (v := b.value(key[1])) is not None:
-                found[key] = v
-                del pending[key]
-        few = list({b for b in pending.values() if b.inside <= collect_cap})
-        many = list({b for b in pending.values() if b.inside > collect_cap})
-        fetched = _fetch(df, exprs, few) if few else {}
-        cut = _histogram(df, exprs, many, bins) if many else {}
-        for key, b in list(pending.items()):
-            if b in fetched:
-                found[key] = float(fetched[b][key[1] - b.below])
-                del pending[key]
-            else:
-                pending[key] = next(c for c in cut[b] if key[1] < c.below + c.inside)
-    return found
-
-
-def _fetch(df: DataFrame, exprs: dict[str, Column], brackets: list[_Bracket]) -> dict:
-    values: dict = {b: [] for b in brackets}
-    for r in _bracket_rows(df, exprs, brackets).collect():
-        values[brackets[r["t"]]].append(r["x"])
-    return {b: sorted(v) for b, v in values.items()}
-
-
-def _histogram(df: DataFrame, exprs: dict[str, Column], brackets: list[_Bracket], bins: int) -> dict:
-    """Every bracket's bins that hold rows, as brackets in ascending order."""
-    counts = _bracket_rows(df, exprs, brackets, bins).groupBy("t", "bin")
-    by_t: dict[int, list] = {}
-    for r in counts.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect():
-        by_t.setdefault(r["t"], []).append((r["bin"], r["n"], r["lo"], r["hi"]))
-    out: dict = {}
-    for t, b in enumerate(brackets):
-        below, out[b] = b.below, []
-        for _, n, lo, hi in sorted(by_t[t]):
-            # most rows in one bin: the next round takes logarithmic bins
-            out[b].append(_Bracket(b.name, lo, hi, below, n, not b.log and 8 * n > b.inside))
-            below += n
+def magnitude(x: Column, bins: int = BINS) -> Column:
+    """Number of a double's fixed bin: rising, ``bins`` to each power of two; 0 has its own."""
+    return F.when(x == 0, F.lit(0).cast("long")).otherwise(F.floor(F.signum(x) * (F.log2(F.abs(x)) + F.lit(1080.0)) * F.lit(float(bins))))
+
+
+def _tall(df: DataFrame, exprs: dict[str, Column]) -> DataFrame:
+    """(t, x): the finite values of all columns, ``t`` counting the columns.
+
+    A filter on generated rows is not pushed down, so no formula is written out twice.
+    """
+    cells = [x.cast("double") for x in exprs.values()]
+    if len(cells) == 1:
+        return df.select(F.lit(0).alias("t"), cells[0].alias("x")).where("x is not null")
+    return df.select(F.array(*cells).alias("v")).select(F.posexplode("v").alias("t", "x")).where("x is not null")
+
+
+def _histograms(df: DataFrame, exprs: dict[str, Column], bins: int = BINS) -> dict[str, list[_Bracket]]:
+    """Every column's bins that hold rows, ascending (one scan)."""
+    names = list(exprs)
+    got: dict[str, list] = {n: [] for n in names}
+    counts = _tall(df, exprs).groupBy("t", magnitude(F.col("x"), bins).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    for r in counts.collect():
+        got[names[r["t"]]].append((r["bin"], r["lo"], r["hi"], r["n"]))
+    return {n: _stacked(n, cells) for n, cells in got.items()}
+
+
+def _stacked(name: str, cells: list[tuple], below: int = 0) -> list[_Bracket]:
+    out = []
+    for _, lo, hi, n in sorted(cells):
+        out.append(_Bracket(name, lo, hi, below, n))
+        below += n
     return out
 
 
-def _magnitude(x: Column) -> Column:
-    """Rising function of a double with even steps per power of two; 0 stays 0."""
-    return F.when(x == 0, F.lit(0.0)).otherwise(F.signum(x) * (F.log2(F.abs(x)) + F.lit(1080.0)))
-
-
-def _bin(x: Column, b: _Bracket, bins: int) -> Column:
-    """Number of ``x``'s bin: 0 holds ``lo``; ``hi`` is in another bin unless the bins are logarithmic."""
-    if b.log:
-        level = _magnitude(x)
-        low, high = (math.copysign(math.log2(abs(v)) + 1080.0, v) if v else 0.0 for v in (b.lo, b.hi))
-        step = F.floor((level - F.lit(low)) / F.lit((high - low) / bins or 1.0))
-    elif math.isinf(b.hi - b.lo):
-        width = b.hi / bins - b.lo / bins
-        step = F.floor(x / F.lit(width) - F.lit(b.lo / width))
-    else:
-        step = F.floor((x - F.lit(b.lo)) / F.lit((b.hi - b.lo) / bins or b.hi - b.lo))
-    return F.greatest(F.least(step, F.lit(bins - 1)), F.lit(0)).cast("int")
-
-
-def _bracket_rows(df: DataFrame, exprs: dict[str, Column], brackets: list[_Bracket], bins: int | None = None) -> DataFrame:
-    """One scan emitting ``(t, x[, bin])`` for every value inside bracket ``t``."""
-    names = list(dict.fromkeys(b.name for b in brackets))
-    slim = df.select(*[exprs[n].cast("double").alias(f"x{i}") for i, n in enumerate(names)])
-    elems = []
-    for t, b in enumerate(brackets):
-        x = F.col(f"x{names.index(b.name)}")
-        fields = [F.lit(t).alias("t"), x.alias("x")]
-        if bins is not None:
-            fields.append(_bin(x, b, bins).alias("bin"))
-        elems.append(F.when((x >= F.lit(float(b.lo))) & (x <= F.lit(float(b.hi))), F.struct(*fields)))
-    # a filter on generated rows is not pushed down, so no formula is written out twice
-    return slim.select(F.explode(F.array(*elems)).alias("e")).where("e is not null").select("e.*")
+def _select(df: DataFrame, exprs: dict[str, Column], counted: dict[str, list[_Bracket]], ranks: dict[str, set[int]], collect_cap: int) -> dict:
+    """``{(name, rank): order statistic}``; the table is read once more, if at all."""
+    pending = {(n, k): next(b for b in counted[n] if k < b.below + b.inside) for n, ks in ranks.items() for k in ks}
+    found, names, kept = {}, list(exprs), None
+    while True:
+        for (n, k), b in list(pending.items()):
+            if (v := b.value(k)) is not None:
+                found[n, k] = v
+                del pending[n, k]
+        if not pending:
+            return found
+        brackets = list(dict.fromkeys(pending.values()))
+        few = sum(b.inside for b in brackets) <= collect_cap
+        inside = _inside(_tall(df, exprs) if kept is None else kept, names, brackets)
+        if few:
+            values: dict[int, list] = {}
+            for r in inside.collect():
+                values.setdefault(r["t"], []).append(r["x"])
+            for t in values:
+                values[t].sort()
+            for (n, k), b in pending.items():
+                own = values[names.index(n)]
+                found[n, k] = float(own[bisect_left(own, b.lo) + k - b.below])
+            return found
+        if kept is None:
+            ensure_checkpoint_dir(df.sparkSession)
+            kept = inside = inside.checkpoint()
+        cut = _cut(inside, names, brackets)
+        for (n, k), b in pending.items():
+            pending[n, k] = next(c for c in cut[b] if k < c.below + c.inside)
+
+
+def _inside(tall: DataFrame, names: list[str], brackets: list[_Bracket]) -> DataFrame:
+    keep = F.lit(False)
+    for b in brackets:
+        keep = keep | ((F.col("t") == names.index(b.name)) & F.col("x").between(float(b.lo), float(b.hi)))
+    return tall.where(keep)
+
+
+def _cut(kept: DataFrame, names: list[str], brackets: list[_Bracket]) -> dict:
+    """Every bracket's linear bins that hold rows, as brackets in ascending order."""
+    of, step = F.lit(None).cast("int"), F.lit(None).cast("long")
+    for i, b in enumerate(brackets):
+        here = (F.col("t") == names.index(b.name)) & F.col("x").between(float(b.lo), float(b.hi))
+        of = F.when(here, F.lit(i)).otherwise(of)
+        step = F.when(here, _step(F.col("x"), F.lit(float(b.lo)), F.lit(float(b.hi)))).otherwise(step)
+    cells: dict[int, list] = {}
+    counts = kept.select(of.alias("b"), step.alias("bin"), "x").groupBy("b", "bin").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("n"))
+    for r in counts.collect():
+        cells.setdefault(r["b"], []).append((r["bin"], r["lo"], r["hi"], r["n"]))
+    return {b: _stacked(b.name, cells[i], b.below) for i, b in enumerate(brackets)}
+
+
+def _step(x: Column, lo: Column, hi: Column) -> Column:
+    """Number of ``x``'s linear bin of the bracket: 0 holds ``lo``, another one ``hi``."""
+    width = F.when((hi - lo) / F.lit(float(PARTS)) > 0, (hi - lo) / F.lit(float(PARTS))).otherwise(hi - lo)
+    return F.least(F.floor((x - lo) / width), F.lit(PARTS - 1).cast("long"))
+
+
+def grouped_quantiles(df: DataFrame, by: list[str], value: str | Column, qs: list[float], window_rows: int = 10_000) -> DataFrame:
+    """One row per group: its columns, ``n`` and ``q0``, ``q1``, ... (exact, interpolated).
+
+    Two scans of the table for any number of groups and quantiles; brackets are
+    rows that join on the group and bin, and no side is broadcast by hint.  A group
+    is cut into bins before anything of it is sorted, so a hot group is no single
+    task: windows see at most ``window_rows`` values, or one row per bin.  Rows
+    with a null group column or no finite value are left out.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    whole = None
+    for c in by:
+        whole = F.col(c).isNotNull() if whole is None else whole & F.col(c).isNotNull()
+    rows = df.where(whole).select(*by, finite(col(value)).alias("x")).where("x is not null").withColumn("cell", magnitude(F.col("x")).cast("string"))
+    bins = rows.groupBy(*by, "cell").agg(F.count(F.lit(1)).alias("inside"), F.min("x").alias("lo"), F.max("x").alias("hi")).checkpoint()
+    totals = bins.groupBy(*by).agg(F.sum("inside").alias("n"))
+    at = [(F.col("n") - 1) * F.lit(float(q)) for q in qs]
+    wanted = F.array_distinct(F.concat(*[F.array(F.floor(a), F.ceil(a)) for a in at]))
+    bins = bins.join(totals.select(*by, wanted.alias("wanted")), by).withColumn("start", F.lit(0).cast("long"))
+    found = []
+    while True:
+        order = Window.partitionBy(*by, "start").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
+        cells = bins.withColumn("below", F.col("start") + F.coalesce(F.sum("inside").over(order), F.lit(0)))
+        mine = F.filter("wanted", lambda k: (k >= F.col("below")) & (k < F.col("below") + F.col("inside")))
+        cells = cells.withColumn("wanted", mine).where(F.size("wanted") > 0).checkpoint()
+        end = F.col("below") + F.col("inside") - 1
+        value_of = F.when((F.col("lo") == F.col("hi")) | (F.col("k") == F.col("below")), F.col("lo")).when(F.col("k") == F.col("end"), F.col("hi"))
+        told = cells.select(*by, F.explode("wanted").alias("k"), "lo", "hi", "below", end.alias("end")).select(*by, "k", value_of.alias("v"))
+        found.append(told.where("v is not null"))
+        inner = F.filter("wanted", lambda k: (k > F.col("below")) & (k < end))
+        open_ = cells.where("lo < hi").withColumn("wanted", inner).where(F.size("wanted") > 0)
+        most = open_.agg(F.max("inside")).first()[0]
+        if most is None:
+            break
+        brackets = open_.select(*by, "cell", "lo", "hi", "below", "wanted")
+        rows = rows.select(*by, "cell", "x").join(brackets, [*by, "cell"])
+        if most <= window_rows:
+            place = Window.partitionBy(*by, "cell").orderBy("x")
+            ranked = rows.withColumn("k", F.col("below") + F.row_number().over(place) - 1)
+            found.append(ranked.where(F.array_contains("wanted", F.col("k"))).select(*by, "k", F.col("x").alias("v")))
+            break
+        rows = rows.withColumn("cell", F.concat_ws(":", "cell", _step(F.col("x"), F.col("lo"), F.col("hi")).cast("string"))).checkpoint()
+        bins = rows.groupBy(*by, "cell", F.col("below").alias("start"), "wanted").agg(F.count(F.lit(1)).alias("inside"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    values = found[0]
+    for more in found[1:]:
+        values = values.unionByName(more)
+    known = totals.join(values.groupBy(*by).agg(F.map_from_entries(F.collect_set(F.struct("k", "v"))).alias("at")), by)
+    out = []
+    for i, a in enumerate(at):
+        low, high = F.element_at("at", F.floor(a)), F.element_at("at", F.ceil(a))
+        out.append(F.when(low == high, low).otherwise(low + (high - low) * (a - F.floor(a))).alias(f"q{i}"))
+    return known.select(*by, "n", *out)
 
 
 def safe_scale(value, fallback) -> float:
