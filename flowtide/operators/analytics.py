@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.columns import class_label, clip, finite, is_finite
+from ..session import ensure_checkpoint_dir
 from .clean import drop_non_finite
-from .profile import quantiles
+from .profile import grouped_quantiles, lerp, quantiles
 from .quality import _stack
 
 
@@ -34,62 +35,62 @@ def correlation_matrix(df: DataFrame, features: list[str] | None = None) -> Data
 
 def kpi_summary(df: DataFrame, method: str = "exact") -> DataFrame:
     """Rows, missing cells, congestion rate %, means of p99-clipped latency and
-    throughput, and p75 latency / p25 throughput taken after the clip."""
+    throughput, and p75 latency / p25 throughput taken after the clip.
+
+    One fit and one aggregate: clipping keeps the order, so an order statistic of
+    the clipped column is the clipped order statistic of the column.
+    """
     cols = K.FEATURES + ["congestion"]
-    missing = sum(F.sum(F.when(F.col(c).isNull() | F.isnan(F.col(c).cast("double")), 1).otherwise(0)) for c in cols)
-    clean = drop_non_finite(df, cols)
-    q = quantiles(clean, {"l": ("latency", [K.SCALE_Q]), "t": ("throughput", [K.SCALE_Q])}, method=method)
+    whole = F.lit(True)
+    for c in cols:
+        whole = whole & is_finite(F.col(c).cast("double"))
+    q = quantiles(df.where(whole), {"l": ("latency", [K.SCALE_Q, 0.75]), "t": ("throughput", [K.SCALE_Q, 0.25])}, method=method)
     l99, t99 = q["l"][0], q["t"][0]
-    clipped = clean.withColumns({"latency": clip("latency", None, l99), "throughput": clip("throughput", None, t99)})
-    q2 = quantiles(clipped, {"l": ("latency", [0.75]), "t": ("throughput", [0.25])}, method=method)
-    miss = df.agg(missing.cast("long").alias("missing_values"))
-    one = clipped.agg(
-        F.count(F.lit(1)).alias("rows"),
-        (F.avg(F.col("congestion").cast("double")) * 100).alias("congestion_rate"),
-        F.avg("latency").alias("avg_latency"),
-        F.avg("throughput").alias("avg_throughput"),
-    )
-    return one.crossJoin(miss).select(
-        "rows",
+    own = lambda x: F.when(F.col("_whole"), x)
+    missing = sum(F.sum(F.when(F.col(c).isNull() | F.isnan(F.col(c).cast("double")), 1).otherwise(0)) for c in cols)
+    return df.withColumn("_whole", whole).agg(
+        F.count_if("_whole").alias("rows"),
         F.lit(len(K.FEATURES)).alias("features"),
-        "missing_values",
-        "congestion_rate",
-        "avg_latency",
-        "avg_throughput",
-        F.lit(q2["l"][0]).cast("double").alias("latency_threshold"),
-        F.lit(q2["t"][0]).cast("double").alias("throughput_threshold"),
+        F.coalesce(missing, F.lit(0)).cast("long").alias("missing_values"),
+        (F.avg(own(F.col("congestion").cast("double"))) * 100).alias("congestion_rate"),
+        F.avg(own(clip("latency", None, l99))).alias("avg_latency"),
+        F.avg(own(clip("throughput", None, t99))).alias("avg_throughput"),
+        F.lit(_clipped(q, "l", l99)).cast("double").alias("latency_threshold"),
+        F.lit(_clipped(q, "t", t99)).cast("double").alias("throughput_threshold"),
     )
 
 
-def boxplot_stats(df: DataFrame, value: str = "log_latency", by: str = "congestion", groups=(0, 1), method: str = "exact") -> DataFrame:
-    """Five-number summary with 1.5*IQR whiskers per class (what a box plot draws)."""
-    targets = {f"g{g}": (F.when(F.col(by) == g, F.col(value)), [0.25, 0.5, 0.75]) for g in groups}
-    q = quantiles(df, targets, method=method)
-    parts = []
-    for g in groups:
-        q1, med, q3 = q[f"g{g}"]
-        if q1 is None:
-            continue
-        iqr = q3 - q1
-        lo_f, hi_f = q1 - 1.5 * iqr, q3 + 1.5 * iqr
-        x = F.when(F.col(by) == g, finite(F.col(value)))
-        parts.append(
-            df.agg(
-                F.lit(g).cast("int").alias(by),
-                F.count(x).alias("n"),
-                F.lit(q1).alias("q1"),
-                F.lit(med).alias("median"),
-                F.lit(q3).alias("q3"),
-                F.lit(iqr).alias("iqr"),
-                F.min(F.when(x >= lo_f, x)).alias("whisker_low"),
-                F.max(F.when(x <= hi_f, x)).alias("whisker_high"),
-                F.count_if((x < lo_f) | (x > hi_f)).alias("outliers"),
-            )
-        )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("label", class_label(F.col(by)))
+def _clipped(q: dict, name: str, most: float | None) -> float | None:
+    """The second quantile of ``name`` after a clip at ``most``."""
+    if most is None:
+        return None
+    if name + "__steps" not in q:
+        return min(q[name][1], most)
+    low, high, frac = q[name + "__steps"][1]
+    return lerp(min(low, most), min(high, most), frac)
+
+
+def boxplot_stats(df: DataFrame, value: str = "log_latency", by: str = "congestion") -> DataFrame:
+    """Five-number summary with 1.5*IQR whiskers per class (what a box plot draws).
+
+    Any number of classes: one grouped fit, then one aggregate joined on the
+    class.  Rows without a class or a finite value are left out.
+    """
+    q = grouped_quantiles(df, [by], value, [0.25, 0.5, 0.75]).withColumnRenamed("n", "_n")
+    iqr = F.col("q2") - F.col("q0")
+    fences = q.select(by, "q0", "q1", "q2", iqr.alias("iqr"), (F.col("q0") - 1.5 * iqr).alias("_low"), (F.col("q2") + 1.5 * iqr).alias("_high"))
+    rows = df.select(by, finite(F.col(value)).alias("_x")).where("_x is not null")
+    x, low, high = F.col("_x"), F.col("_low"), F.col("_high")
+    out = rows.join(fences, by).groupBy(by, "q0", "q1", "q2", "iqr").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min(F.when(x >= low, x)).alias("whisker_low"),
+        F.max(F.when(x <= high, x)).alias("whisker_high"),
+        F.count_if((x < low) | (x > high)).alias("outliers"),
+    )
+    return out.select(
+        by, "n", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"), "iqr", "whisker_low", "whisker_high", "outliers",
+        class_label(F.col(by)).alias("label"),
+    )
 
 
 def _bin(x: Column, lo: float, hi: float, bins: int) -> Column:
@@ -141,49 +142,24 @@ def density_by_class(
 
     Bandwidth is Scott's rule (sample std x n^-1/5).  Rows are first reduced to
     a ``prebins``-bin histogram per class (one grouped count), so the kernel sum
-    costs grid x prebins per class regardless of the row count.
+    costs grid x prebins per class regardless of the row count.  Any number of
+    classes: the class statistics join on the class, without a broadcast hint.
     """
-    x = finite(F.col(value))
-    stats = (
-        df.where(x.isNotNull())
-        .groupBy(by)
-        .agg(F.count(x).alias("n"), F.stddev_samp(x).alias("sd"), F.min(x).alias("mn"), F.max(x).alias("mx"))
-        .where(F.col("n") >= 2)
-    )
-    stats = stats.withColumns(
-        {
-            "h": F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)),
-            "w": (F.col("mx") - F.col("mn")) / F.lit(prebins),
-        }
-    )
-    binned = (
-        df.where(x.isNotNull())
-        .join(F.broadcast(stats.select(by, "mn", "mx", "w")), by)
-        .withColumn(
-            "b",
-            F.when(F.col("w") > 0, F.least(F.floor((x - F.col("mn")) / F.col("w")), F.lit(prebins - 1))).otherwise(F.lit(0)).cast("int"),
-        )
-        .groupBy(by, "b")
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
-    grid_df = df.sparkSession.range(grid).withColumnRenamed("id", "g")
-    pts = stats.crossJoin(grid_df).withColumn(
-        "grid_x", F.col("mn") + (F.col("mx") - F.col("mn")) * F.col("g") / F.lit(grid - 1)
-    )
-    centers = binned.join(F.broadcast(stats.select(by, "mn", "w")), by).withColumn("center", F.col("mn") + (F.col("b") + 0.5) * F.col("w"))
-    kern = (
-        pts.select(by, "g", "grid_x", "h", "n")
-        .join(centers.select(by, "center", "c"), by)
-        .withColumn("k", F.col("c") * F.exp(-0.5 * F.pow((F.col("grid_x") - F.col("center")) / F.col("h"), 2)))
-        .groupBy(by, "g", "grid_x", "h", "n")
-        .agg(F.sum("k").alias("ks"))
-    )
-    return kern.select(
-        F.col(by).cast("int").alias(by),
-        F.col("g").cast("int").alias("point"),
-        "grid_x",
-        (F.col("ks") / (F.col("n") * F.col("h") * F.lit(math.sqrt(2 * math.pi)))).alias("density"),
-    ).withColumn("label", class_label(F.col(by)))
+    ensure_checkpoint_dir(df.sparkSession)
+    rows = df.select(by, finite(F.col(value)).alias("x")).where("x is not null")
+    # a row per class, kept so that the table is read twice in all
+    stats = rows.groupBy(by).agg(F.count("x").alias("n"), F.stddev_samp("x").alias("sd"), F.min("x").alias("mn"), F.max("x").alias("mx")).where("n >= 2")
+    wide = (F.col("mx") - F.col("mn")) / F.lit(prebins)
+    stats = stats.withColumns({"h": F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)), "w": wide}).checkpoint()
+    bin_ = F.when(F.col("w") > 0, F.least(F.floor((F.col("x") - F.col("mn")) / F.col("w")), F.lit(prebins - 1))).otherwise(F.lit(0)).cast("int")
+    binned = rows.join(stats.select(by, "mn", "w"), by).groupBy(by, bin_.alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    points = stats.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
+    points = points.withColumn("grid_x", F.col("mn") + (F.col("mx") - F.col("mn")) * F.col("g") / F.lit(grid - 1))
+    center = F.col("mn") + (F.col("b") + 0.5) * F.col("w")
+    kern = points.join(binned, by).withColumn("k", F.col("c") * F.exp(-0.5 * F.pow((F.col("grid_x") - center) / F.col("h"), 2)))
+    kern = kern.groupBy(by, "g", "grid_x", "h", "n").agg(F.sum("k").alias("ks"))
+    density = F.col("ks") / (F.col("n") * F.col("h") * F.lit(math.sqrt(2 * math.pi)))
+    return kern.select(by, F.col("g").alias("point"), "grid_x", density.alias("density"), class_label(F.col(by)).alias("label"))
 
 
 def class_distribution(df: DataFrame, target: str = "congestion") -> DataFrame:

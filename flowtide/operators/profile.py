@@ -55,7 +55,7 @@ class Profile:
         return self
 
 
-def _lerp(lo: float, hi: float, frac: float) -> float:
+def lerp(lo: float, hi: float, frac: float) -> float:
     if frac == 0.0 or lo == hi:
         return lo
     return lo + (hi - lo) * frac
@@ -87,29 +87,29 @@ def quantiles(
     exprs = {n: finite(col(c)) for n, (c, _) in targets.items()}
     if method == "approx":
         return _approximate(df, targets, exprs, accuracy)
-    counted = _histograms(df, exprs, bins)
-    out, plan, ranks = {}, {}, {}
+    counted = histograms(df, exprs, bins)
+    out, plan, wanted = {}, {}, {}
     for n, (_, qs) in targets.items():
         cells = counted[n]
         total = cells[-1].below + cells[-1].inside if cells else 0
         out |= {n + "__n": total, n + "__min": cells[0].lo if cells else None, n + "__max": cells[-1].hi if cells else None, n: [None] * len(qs)}
         if cells:
-            plan[n] = [_ranks(total, float(q)) for q in qs]
-            ranks[n] = {k for k0, k1, _ in plan[n] for k in (k0, k1)}
-    found = _select(df, exprs, counted, ranks, collect_cap)
+            plan[n] = [ranks(total, float(q)) for q in qs]
+            wanted[n] = {k for k0, k1, _ in plan[n] for k in (k0, k1)}
+    found = _select(df, exprs, counted, wanted, collect_cap)
     for n, steps in plan.items():
         out[n + "__steps"] = [(found[n, k0], found[n, k1], frac) for k0, k1, frac in steps]
-        out[n] = [_lerp(*s) for s in out[n + "__steps"]]
+        out[n] = [lerp(*s) for s in out[n + "__steps"]]
     return out
 
 
 def order_statistics(df: DataFrame, targets: dict[str, tuple[str | Column, list[int]]], collect_cap: int = 20_000, bins: int = BINS) -> dict:
     """Exact k-th smallest values (0-based ranks over non-null finite values)."""
     exprs = {n: finite(col(c)) for n, (c, _) in targets.items()}
-    counted = _histograms(df, exprs, bins)
+    counted = histograms(df, exprs, bins)
     size = {n: cells[-1].below + cells[-1].inside if cells else 0 for n, cells in counted.items()}
-    ranks = {n: {int(k) for k in ks if 0 <= k < size[n]} for n, (_, ks) in targets.items()}
-    found = _select(df, exprs, counted, ranks, collect_cap)
+    wanted = {n: {int(k) for k in ks if 0 <= k < size[n]} for n, (_, ks) in targets.items()}
+    found = _select(df, exprs, counted, wanted, collect_cap)
     return {n: [found.get((n, int(k))) for k in ks] for n, (_, ks) in targets.items()}
 
 
@@ -123,7 +123,7 @@ def _approximate(df: DataFrame, targets: dict, exprs: dict[str, Column], accurac
     return out
 
 
-def _ranks(n: int, q: float) -> tuple[int, int, float]:
+def ranks(n: int, q: float) -> tuple[int, int, float]:
     """The two order statistics around a quantile and the weight of the second."""
     at = (n - 1) * q
     low = int(math.floor(at))
@@ -163,7 +163,7 @@ def _tall(df: DataFrame, exprs: dict[str, Column]) -> DataFrame:
     return df.select(F.array(*cells).alias("v")).select(F.posexplode("v").alias("t", "x")).where("x is not null")
 
 
-def _histograms(df: DataFrame, exprs: dict[str, Column], bins: int = BINS) -> dict[str, list[_Bracket]]:
+def histograms(df: DataFrame, exprs: dict[str, Column], bins: int = BINS) -> dict[str, list[_Bracket]]:
     """Every column's bins that hold rows, ascending (one scan)."""
     names = list(exprs)
     got: dict[str, list] = {n: [] for n in names}
@@ -181,9 +181,9 @@ def _stacked(name: str, cells: list[tuple], below: int = 0) -> list[_Bracket]:
     return out
 
 
-def _select(df: DataFrame, exprs: dict[str, Column], counted: dict[str, list[_Bracket]], ranks: dict[str, set[int]], collect_cap: int) -> dict:
+def _select(df: DataFrame, exprs: dict[str, Column], counted: dict[str, list[_Bracket]], wanted: dict[str, set[int]], collect_cap: int) -> dict:
     """``{(name, rank): order statistic}``; the table is read once more, if at all."""
-    pending = {(n, k): next(b for b in counted[n] if k < b.below + b.inside) for n, ks in ranks.items() for k in ks}
+    pending = {(n, k): next(b for b in counted[n] if k < b.below + b.inside) for n, ks in wanted.items() for k in ks}
     found, names, kept = {}, list(exprs), None
     while True:
         for (n, k), b in list(pending.items()):

@@ -22,57 +22,51 @@ def _stack(df_one_row: DataFrame, key: str, rows: list[tuple[str, list]], cols:
     return df_one_row.select(F.inline(F.array(*structs)))
 
 
+def distinct_counts(df: DataFrame, columns: list[str], method: str = "exact") -> DataFrame:
+    """(feature, nunique): distinct finite values at ``NUNIQUE_DIGITS`` decimals.
+
+    Exact counts shuffle slim (feature, value) pairs, each once per map task, and
+    no other column; ``method="approx"`` is Spark's mergeable sketch, without a
+    shuffle of values.
+    """
+    cells = [F.round(finite(F.col(c)), NUNIQUE_DIGITS) for c in columns]
+    if method == "approx":
+        one = df.agg(*[F.approx_count_distinct(x).alias(c) for c, x in zip(columns, cells)])
+        return _stack(one, "feature", [(c, [F.col(c)]) for c in columns], ["nunique"])
+    tall = df.select(F.posexplode(F.array(*cells)).alias("t", "x")).where("x is not null")
+    counts = tall.groupBy("t", "x").agg(F.count(F.lit(1)).alias("n")).groupBy("t").agg(F.count(F.lit(1)).alias("nunique"))
+    names = F.array(*[F.lit(c) for c in columns])
+    return counts.select(F.element_at(names, F.col("t") + 1).alias("feature"), "nunique")
+
+
+def _with_distinct(rows: DataFrame, df: DataFrame, method: str) -> DataFrame:
+    """Report rows with their ``nunique`` (a row per feature on both sides)."""
+    return rows.join(distinct_counts(df, K.FEATURES, method), "feature", "left").withColumn("nunique", F.coalesce("nunique", F.lit(0)))
+
+
 def feature_distribution(df: DataFrame, method: str = "exact") -> DataFrame:
     """min, p01, median, p99, max, population std and distinct count per feature."""
     q = quantiles(df, {c: (c, [0.01, 0.5, 0.99]) for c in K.FEATURES}, method=method)
-    aggs = []
-    for c in K.FEATURES:
-        x = finite(F.col(c))
-        aggs += [
-            F.min(x).alias(f"{c}_min"),
-            F.max(x).alias(f"{c}_max"),
-            F.stddev_pop(x).alias(f"{c}_std"),
-            F.count_distinct(F.round(x, NUNIQUE_DIGITS)).alias(f"{c}_nunique"),
-        ]
-    one = df.agg(*aggs)
-    rows = []
-    for c in K.FEATURES:
-        p01, med, p99 = q[c]
-        rows.append(
-            (
-                c,
-                [
-                    F.col(f"{c}_min"),
-                    F.lit(p01).cast("double"),
-                    F.lit(med).cast("double"),
-                    F.lit(p99).cast("double"),
-                    F.col(f"{c}_max"),
-                    F.col(f"{c}_std"),
-                    F.col(f"{c}_nunique").cast("long"),
-                ],
-            )
-        )
-    return _stack(one, "feature", rows, ["min", "p01", "median", "p99", "max", "std", "nunique"])
-
-
-def feature_quality(df: DataFrame) -> DataFrame:
-    """Per feature: distinct count, std, rows out of the model range, ok flag."""
+    one = df.agg(*[F.stddev_pop(finite(F.col(c))).alias(c) for c in K.FEATURES])
+    number = lambda v: F.lit(v).cast("double")
+    rows = [(c, [number(q[c + "__min"]), *map(number, q[c]), number(q[c + "__max"]), F.col(c)]) for c in K.FEATURES]
+    return _with_distinct(_stack(one, "feature", rows, ["min", "p01", "median", "p99", "max", "std"]), df, method)
+
+
+def feature_quality(df: DataFrame, method: str = "exact") -> DataFrame:
+    """Per feature: distinct count, std, rows out of the model range, ok flag.
+
+    Two distinct values are told by ``min < max`` alone.
+    """
     bounds = {"latency": (0.0, K.LATENCY_MAX), "throughput": (0.0, K.THROUGHPUT_MAX), "packet_loss": (0.0, K.LOSS_MAX)}
-    aggs = []
+    aggs, rows = [], []
     for c in K.FEATURES:
-        x = finite(F.col(c))
+        x = F.round(finite(F.col(c)), NUNIQUE_DIGITS)
         lo, hi = bounds[c]
-        aggs += [
-            F.count_distinct(F.round(x, NUNIQUE_DIGITS)).alias(f"{c}_n"),
-            F.stddev_pop(x).alias(f"{c}_s"),
-            F.count_if((F.col(c) < lo) | (F.col(c) > hi)).alias(f"{c}_o"),
-        ]
-    one = df.agg(*aggs)
-    rows = []
-    for c in K.FEATURES:
-        ok = (F.col(f"{c}_n") >= 2) & (F.col(f"{c}_s") > K.QUALITY_MIN_STD) & (F.col(f"{c}_o") == 0)
-        rows.append((c, [F.col(f"{c}_n").cast("long"), F.col(f"{c}_s"), F.col(f"{c}_o").cast("long"), ok]))
-    return _stack(one, "feature", rows, ["nunique", "std", "out_of_range", "ok"])
+        aggs += [(F.min(x) < F.max(x)).alias(f"{c}_v"), F.stddev_pop(finite(F.col(c))).alias(f"{c}_s"), F.count_if((F.col(c) < lo) | (F.col(c) > hi)).alias(f"{c}_o")]
+        ok = F.col(f"{c}_v") & (F.col(f"{c}_s") > K.QUALITY_MIN_STD) & (F.col(f"{c}_o") == 0)
+        rows.append((c, [F.col(f"{c}_s"), F.col(f"{c}_o").cast("long"), F.coalesce(ok, F.lit(False))]))
+    return _with_distinct(_stack(df.agg(*aggs), "feature", rows, ["std", "out_of_range", "ok"]), df, method)
 
 
 def label_relationship(df: DataFrame, target: str = "congestion") -> DataFrame:
