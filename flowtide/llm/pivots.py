@@ -151,17 +151,31 @@ def _describe(index):
     return run
 
 
-def shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many pivots every row of ``a`` has in common with every row of ``b``."""
-    out = np.zeros((len(a), len(b)), np.uint8)
+def shared(a: np.ndarray, b: np.ndarray, long: int = 4096) -> np.ndarray:
+    """How many pivots every row of ``a`` has in common with every row of ``b``.
+
+    Postings of one pivot meet each other: long ones one pivot at a time, all
+    short ones in one go.
+    """
     lists = []
     for s in (a, b):
         order = np.argsort(s, axis=None, kind="stable")
-        pivot, first = np.unique(s.ravel()[order], return_index=True)
-        lists.append(dict(zip(pivot.tolist(), np.split(order // s.shape[1], first[1:]))))
-    for p, rows in lists[0].items():
-        if p in lists[1]:
-            out[np.ix_(rows, lists[1][p])] += 1
+        pivot, first, size = np.unique(s.ravel()[order], return_index=True, return_counts=True)
+        lists.append((order // s.shape[1], pivot, first, size))
+    (rows_a, pivot_a, first_a, size_a), (rows_b, pivot_b, first_b, size_b) = lists
+    _, x, y = np.intersect1d(pivot_a, pivot_b, assume_unique=True, return_indices=True)
+    pairs = size_a[x] * size_b[y]
+    out = np.zeros((len(a), len(b)), np.uint8)
+    for i, j in zip(x[pairs > long], y[pairs > long]):
+        out[np.ix_(rows_a[first_a[i] : first_a[i] + size_a[i]], rows_b[first_b[j] : first_b[j] + size_b[j]])] += 1
+    x, y, pairs = x[pairs <= long], y[pairs <= long], pairs[pairs <= long]
+    for k in range(0, len(x), 1000):
+        i, j, n = x[k : k + 1000], y[k : k + 1000], pairs[k : k + 1000]
+        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        wide = np.repeat(size_b[j], n)
+        left = rows_a[np.repeat(first_a[i], n) + at // wide]
+        right = rows_b[np.repeat(first_b[j], n) + at % wide]
+        out += np.bincount(left * len(b) + right, minlength=out.size).reshape(out.shape).astype(np.uint8)
     return out
 
 
