@@ -8,15 +8,13 @@ chains both and adds the congestion target.
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.columns import clip, finite, is_finite, nan_to_null, risk_score, to_number
 from .clean import drop_non_finite, min_max_scale
-from .profile import Profile, order_statistics, quantiles, safe_scale
+from .profile import Profile, RowProfile, quantiles, safe_scale
 from .window import IDX, ordered_index, rolling, rolling_mean
 
 
@@ -85,17 +83,17 @@ def fit_feature_profile(kpis: DataFrame, method: str = "exact") -> Profile:
     return Profile(prof)
 
 
-def direct_packet_loss(df: DataFrame, loss_col: str, is_percent: bool) -> DataFrame:
+def direct_packet_loss(df: DataFrame, loss_col: str, is_percent: bool | Column) -> DataFrame:
     v = to_number(_c(loss_col))
-    if is_percent:
-        v = v / 100
+    v = F.when(is_percent if isinstance(is_percent, Column) else F.lit(bool(is_percent)), v / 100).otherwise(v)
     return df.withColumn("packet_loss", v).withColumn("packet_loss", clip("packet_loss", 0.0, 1.0))
 
 
-def inferred_packet_loss(df: DataFrame, fwd_scale: float) -> DataFrame:
+def inferred_packet_loss(df: DataFrame, fwd_scale: float | Column) -> DataFrame:
     """Forward deficit (fwd-bwd)+/(fwd+1) weighted by log-volume confidence."""
     fwd, bwd = F.col("fwd_packets"), F.col("bwd_packets")
-    out = df.withColumns({"_gap": fwd - bwd, "_conf": F.log1p(fwd) / F.lit(math.log1p(fwd_scale))})
+    scale = fwd_scale if isinstance(fwd_scale, Column) else F.lit(float(fwd_scale))
+    out = df.withColumns({"_gap": fwd - bwd, "_conf": F.log1p(fwd) / F.log1p(scale)})
     out = out.withColumns({"_gap": clip("_gap", 0.0), "_conf": clip("_conf", 0.0, 1.0)})
     out = out.withColumn("_deficit", F.col("_gap") / (fwd + 1))
     out = out.withColumn("_deficit", clip("_deficit", 0.0, 1.0))
@@ -103,21 +101,24 @@ def inferred_packet_loss(df: DataFrame, fwd_scale: float) -> DataFrame:
     return out.withColumn("packet_loss", clip("packet_loss", 0.0, 1.0)).drop("_gap", "_conf", "_deficit")
 
 
-def apply_feature_profile(kpis: DataFrame, prof: Profile) -> DataFrame:
-    """Scaled features from a fitted profile; rows with a non-finite feature drop."""
-    lc, tc = prof["latency_clip"], prof["throughput_clip"]
-    out = kpis.withColumns({"latency": clip("raw_latency", 0.0, lc), "throughput": clip("raw_throughput", 0.0, tc)})
+def apply_feature_profile(kpis: DataFrame, prof: Profile | RowProfile) -> DataFrame:
+    """Scaled features from a fitted profile; rows with a non-finite feature drop.
+
+    A ``Profile`` gives literals, a ``RowProfile`` joins its row: no job either way.
+    """
+    lc, tc = prof.column("latency_clip"), prof.column("throughput_clip")
+    out = prof.attach(kpis).withColumns({"latency": clip("raw_latency", 0.0, lc), "throughput": clip("raw_throughput", 0.0, tc)})
     out = out.withColumns(
         {
-            "latency": F.col("latency") / F.lit(lc) * F.lit(K.LATENCY_MAX),
-            "throughput": F.log1p(F.col("throughput")) / F.lit(math.log1p(tc)),
+            "latency": F.col("latency") / lc * F.lit(K.LATENCY_MAX),
+            "throughput": F.log1p(F.col("throughput")) / F.log1p(tc),
         }
     )
-    if prof["loss_column"] is None:
-        out = inferred_packet_loss(out, prof["fwd_scale"])
+    if "fwd_scale" in prof:
+        out = inferred_packet_loss(out, prof.column("fwd_scale"))
     else:
-        out = direct_packet_loss(out, prof["loss_column"], prof["loss_is_percent"])
-    return drop_non_finite(out, K.FEATURES)
+        out = direct_packet_loss(out, direct_loss_column(kpis), prof.column("loss_is_percent"))
+    return drop_non_finite(prof.detach(out), K.FEATURES)
 
 
 def prepare_features(df: DataFrame) -> DataFrame:
@@ -157,30 +158,47 @@ def risk_components(df: DataFrame) -> DataFrame:
     )
 
 
-def risk_target(df: DataFrame, score_col: str = "congestion_score", tie_col: str | list[str] | None = None, method: str = "exact") -> DataFrame:
-    """Binary target from the risk score.
+def fit_target(df: DataFrame, score_col: str = "congestion_score", method: str = "exact") -> dict:
+    """The rule that splits the score in two classes.
 
-    >= p75 (0.5 if p75 is null or <= 0); if that leaves one class, > median;
-    if still one class, exactly the top 25 % rows by score (ties broken by
-    ``tie_col``, one or more columns ascending; all columns where none is given).
-    Thresholds and extremes come from the quantile jobs alone.
+    >= p75 (0.5 if p75 is null or <= 0); if that leaves one class, > median; if
+    still one class, the top 25 % rows (``target_share``: that many).  Thresholds
+    and extremes come from the quantile jobs alone.
     """
-    s = F.col(score_col)
     q = quantiles(df, {"s": (score_col, [K.TARGET_Q, 0.5])}, method=method)
     n = q["s__n"]
     p75, med = q["s"]
     thr = p75 if p75 is not None and p75 > 0 else 0.5
     low, high = q["s__min"], q["s__max"]  # they tell whether a cut leaves two classes
     if n and low < thr <= high:
-        return df.withColumn("congestion", (s >= F.lit(thr)).cast("int"))
+        return {"target_cut": thr, "target_above": False}
     if n and low <= med < high:
-        return df.withColumn("congestion", (s > F.lit(med)).cast("int"))
+        return {"target_cut": med, "target_above": True}
     if n <= 1:
-        return df.withColumn("congestion", (s >= F.lit(thr)).cast("int"))
-    m = max(1, int(n * K.TOP_SHARE))
+        return {"target_cut": thr, "target_above": False}
+    return {"target_top": max(1, int(n * K.TOP_SHARE))}
+
+
+def apply_target(df: DataFrame, prof: Profile | RowProfile, score_col: str = "congestion_score") -> DataFrame:
+    """Target from a fitted cut: scores at the cut count unless the rule is strict."""
+    s = F.col(score_col)
+    cut = (s > prof.column("target_cut")) | ((s == prof.column("target_cut")) & ~prof.column("target_above"))
+    return prof.detach(prof.attach(df).withColumn("congestion", cut.cast("int")))
+
+
+def risk_target(df: DataFrame, score_col: str = "congestion_score", tie_col: str | list[str] | None = None, method: str = "exact", rule: dict | None = None) -> DataFrame:
+    """Binary target from the risk score by ``fit_target``'s rule.
+
+    Where no cut leaves two classes, exactly the top 25 % rows by score count
+    (ties broken by ``tie_col``, one or more columns ascending; all columns where
+    none is given).
+    """
+    rule = rule or fit_target(df, score_col, method)
+    if "target_cut" in rule:
+        return apply_target(df, Profile(rule), score_col)
     ties = [tie_col] if isinstance(tie_col, str) else list(tie_col or df.columns)
-    ranked, _ = ordered_index(df.withColumn("_falling", -s), ["_falling", *ties])
-    return ranked.withColumn("congestion", (F.col(IDX) < F.lit(m)).cast("int")).drop("_falling", IDX)
+    ranked, _ = ordered_index(df.withColumn("_falling", -F.col(score_col)), ["_falling", *ties])
+    return ranked.withColumn("congestion", (F.col(IDX) < F.lit(rule["target_top"])).cast("int")).drop("_falling", IDX)
 
 
 def label_target(df: DataFrame, label_col: str) -> DataFrame:
@@ -190,23 +208,39 @@ def label_target(df: DataFrame, label_col: str) -> DataFrame:
     return df.withColumn("congestion", (attack | (F.col("packet_loss") >= K.LABEL_LOSS_FLOOR)).cast("int"))
 
 
-def create_features(df: DataFrame, method: str = "exact", profile: Profile | None = None, tie_col: str | None = None) -> DataFrame:
+HELPERS = ["fwd_packets", "bwd_packets", "total_packets", "raw_latency", "raw_throughput"]
+
+
+def fit_profile(df: DataFrame, method: str = "exact") -> Profile:
+    """Everything that ``create_features`` needs to know of the whole table: scales and,
+    where the target comes from the score, its cut."""
+    kpis = raw_kpis(df)
+    prof = fit_feature_profile(kpis, method=method)
+    if _given_target(df) is None and label_column(df) is None:
+        prof.update(fit_target(with_risk_score(apply_feature_profile(kpis, prof)), method=method))
+    return prof
+
+
+def _given_target(df: DataFrame) -> str | None:
+    return next((c for c in ("congestion", "congestion_flag") if c in df.columns), None)
+
+
+def create_features(df: DataFrame, method: str = "exact", profile: Profile | RowProfile | None = None, tie_col: str | list[str] | None = None) -> DataFrame:
     """Raw flows -> latency/throughput/packet_loss + congestion target.
 
     Target precedence: ``congestion`` > ``congestion_flag`` > label > risk score.
+    With a profile that ``fit_profile`` made, no job is started.
     """
     kpis = raw_kpis(df)
-    profile = profile or fit_feature_profile(kpis, method=method)
-    feats = apply_feature_profile(kpis, profile).drop("fwd_packets", "bwd_packets", "total_packets", "raw_latency", "raw_throughput")
-    if "congestion" in df.columns:
-        feats = feats.withColumn("congestion", to_number(_c("congestion")).cast("int"))
-    elif "congestion_flag" in df.columns:
-        feats = feats.withColumn("congestion", to_number(_c("congestion_flag")).cast("int"))
+    profile = profile or fit_profile(df, method)
+    feats = apply_feature_profile(kpis, profile).drop(*HELPERS)
+    if (given := _given_target(df)) is not None:
+        feats = feats.withColumn("congestion", to_number(_c(given)).cast("int"))
     elif label_column(df) is not None:
         feats = label_target(feats, label_column(df))
     else:
         feats = with_risk_score(feats)
-        feats = risk_target(feats, tie_col=tie_col, method=method)
+        feats = apply_target(feats, profile) if "target_cut" in profile else risk_target(feats, tie_col=tie_col, method=method)
     return feats.where(F.col("congestion").isNotNull())
 
 
@@ -294,7 +328,7 @@ def feature_ok(df: DataFrame) -> DataFrame:
 
 
 __all__ = [
-    "apply_feature_profile", "build_features", "create_features", "direct_packet_loss", "feature_ok", "finite",
-    "fit_feature_profile", "inferred_packet_loss", "label_target", "legacy_engineered", "legacy_features",
+    "apply_feature_profile", "apply_target", "build_features", "create_features", "direct_packet_loss", "feature_ok", "finite",
+    "fit_feature_profile", "fit_profile", "fit_target", "inferred_packet_loss", "label_target", "legacy_engineered", "legacy_features",
     "prepare_features", "raw_kpis", "risk_components", "risk_target", "visual_features", "with_risk_score",
 ]

@@ -26,17 +26,19 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from .analytics import binary_metrics, hash_unit
 from .features import prepare_features
-from .profile import order_statistics
+from .forest import NODE_COLUMNS, node_table
+from .profile import Profile, order_statistics
 
 FIT_PARTITIONS = 16
 
 
 @dataclass
 class Fitted:
-    """The selected forest, its parameters, the ladder's report and the kept tables."""
+    """The selected forest, its parameters, the ladder's models and report, and the kept tables."""
 
     model: object
     params: dict
+    models: list
     report: list
     train: DataFrame
     test: DataFrame
@@ -122,30 +124,73 @@ def evaluate(model, test: DataFrame, target: str = "congestion", threshold: floa
 def candidate_ladder(train: DataFrame, valid: DataFrame, candidates=None, target: str = "congestion"):
     """Fit candidates in order; stop at the first with accuracy in the band or below it.
 
-    Returns (model, params, report rows)."""
+    Returns (chosen parameters, fitted models, report rows)."""
     candidates = candidates or K.RF_CANDIDATES
     lo, hi = K.ACCURACY_BAND
-    report, chosen = [], None
+    report, models = [], []
     for i, params in enumerate(candidates):
         model = fit_forest(train, params, target)
+        models.append(model)
         m = evaluate(model, valid, target)
         imp = dict(zip(K.FEATURES, model.featureImportances.toArray().tolist()))
         report.append((i, params["numTrees"], params["maxDepth"], params["minInstancesPerNode"], m["accuracy"], m["precision"], m["recall"], m["f1"],
                        imp["latency"], imp["throughput"], imp["packet_loss"]))
         if m["accuracy"] <= hi:
-            chosen = (model, params)
             break
-    if chosen is None:
-        chosen = (model, candidates[-1])
-    return chosen[0], chosen[1], report
+    return params, models, report
 
 
 def fit_selected(df: DataFrame, key_cols: list[str], candidates=None, target: str = "congestion", max_train_rows: int = K.MAX_TRAIN_ROWS) -> Fitted:
     """Choose a candidate on a validation split of the training rows, then fit it on all of them."""
     train, test = training_tables(df, key_cols, target, max_train_rows)
     part, valid = split(train, key_cols, seed=K.MODEL_SEED)
-    _, params, report = candidate_ladder(part, valid, candidates, target)
-    return Fitted(fit_forest(train, params, target), params, report, train, test)
+    params, models, report = candidate_ladder(part, valid, candidates, target)
+    return Fitted(fit_forest(train, params, target), params, models, report, train, test)
+
+
+#: Columns of the ladder's report, a row per candidate.
+REPORT = (
+    "candidate int, num_trees int, max_depth int, min_instances int, accuracy double, precision double, recall double, f1 double, "
+    "importance_latency double, importance_throughput double, importance_packet_loss double"
+)
+#: Number of the selected forest among the candidates' in a run's node table.
+SELECTED = -1
+
+
+def save_run(spark: SparkSession, fitted: Fitted, path: str, profile: Profile | None = None) -> None:
+    """A training run as a folder: the forest, all forests' nodes, the logistic
+    coefficients, the ladder's report, the training and test rows, the feature
+    means and, where given, the profile that made the features."""
+    fitted.train.write.parquet(f"{path}/train")
+    fitted.test.write.parquet(f"{path}/test")
+    save_model(fitted.model, f"{path}/model")
+    for i, model in enumerate(fitted.models):
+        save_model(model, f"{path}/candidates/{i}")
+    nodes = node_table(spark, f"{path}/model").withColumn("candidate", F.lit(SELECTED))
+    for i in range(len(fitted.models)):
+        nodes = nodes.unionByName(node_table(spark, f"{path}/candidates/{i}").withColumn("candidate", F.lit(i)))
+    nodes.write.parquet(f"{path}/nodes")
+    spark.createDataFrame(fitted.report, REPORT).write.parquet(f"{path}/report")
+    model, importance = fit_logistic(fitted.train)
+    terms = [float(model.intercept), *map(float, model.coefficients.toArray()), *[float(importance[c]) for c in K.FEATURES]]
+    names = ["intercept", *[f"coefficient_{c}" for c in K.FEATURES], *[f"importance_{c}" for c in K.FEATURES]]
+    spark.createDataFrame([tuple(terms)], ", ".join(f"{n} double" for n in names)).write.parquet(f"{path}/logistic")
+    if profile is not None:
+        profile.save(spark, f"{path}/profile")
+
+
+def run_nodes(spark: SparkSession, path: str, candidate: int = SELECTED) -> DataFrame:
+    return spark.read.parquet(f"{path}/nodes").where(F.col("candidate") == candidate).select(*NODE_COLUMNS)
+
+
+def logistic_probability(df: DataFrame, terms: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Class-1 probability from a stored row of coefficients; its importances come along."""
+    z = F.col("intercept")
+    for c in K.FEATURES:
+        z = z + F.col(f"coefficient_{c}") * F.col(c)
+    # one row by construction
+    out = df.crossJoin(F.broadcast(terms.limit(1))).withColumn("prob", 1 / (1 + F.exp(-z)))
+    return out.withColumn("pred", (F.col("prob") > threshold).cast("int"))
 
 
 def save_model(model, path: str) -> None:

@@ -31,7 +31,7 @@ import math
 from bisect import bisect_left
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, finite
@@ -40,7 +40,10 @@ from ..session import ensure_checkpoint_dir
 
 @dataclass
 class Profile:
-    """Named scalars fitted from a table (quantiles, extremes, counts)."""
+    """Named scalars fitted from a table (quantiles, extremes, rules).
+
+    A scalar is inlined as a literal.  ``save`` writes them as a one-row table.
+    """
 
     values: dict = field(default_factory=dict)
 
@@ -50,10 +53,62 @@ class Profile:
     def get(self, key, default=None):
         return self.values.get(key, default)
 
+    def __contains__(self, key) -> bool:
+        return self.values.get(key) is not None
+
     def update(self, other: dict) -> "Profile":
         self.values.update(other)
         return self
 
+    def attach(self, df: DataFrame) -> DataFrame:
+        return df
+
+    def detach(self, df: DataFrame) -> DataFrame:
+        return df
+
+    def column(self, key: str) -> Column:
+        return F.lit(self.values[key])
+
+    def row(self, spark: SparkSession) -> DataFrame:
+        """The scalars as a one-row table (missing ones are left out)."""
+        kinds = {bool: "boolean", int: "long", float: "double", str: "string"}
+        known = {k: v for k, v in self.values.items() if v is not None} | {"fitted": True}
+        return spark.createDataFrame([tuple(known.values())], ", ".join(f"`{k}` {kinds[type(v)]}" for k, v in known.items()))
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        self.row(spark).coalesce(1).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "Profile":
+        return cls({k: v for k, v in spark.read.parquet(path).first().asDict().items() if k != "fitted"})
+
+
+class RowProfile:
+    """A stored profile as a one-row table that plans join, without reading it first.
+
+    ``attach`` joins the row (one row by construction, so it is broadcast) and
+    ``column`` names a scalar of it; building a plan starts no job.
+    """
+
+    def __init__(self, row: DataFrame):
+        self.one = row
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "RowProfile":
+        return cls(spark.read.parquet(path))
+
+    def __contains__(self, key) -> bool:
+        return key in self.one.columns
+
+    def attach(self, df: DataFrame) -> DataFrame:
+        return df.crossJoin(F.broadcast(self.one.select([F.first(f"`{c}`").alias(f"_profile_{c}") for c in self.one.columns])))
+
+    def detach(self, df: DataFrame) -> DataFrame:
+        return df.drop(*[f"_profile_{c}" for c in self.one.columns])
+
+    def column(self, key: str) -> Column:
+        return F.col(f"_profile_{key}")
+
 
 def lerp(lo: float, hi: float, frac: float) -> float:
     if frac == 0.0 or lo == hi:
@@ -158,8 +213,6 @@ def _tall(df: DataFrame, exprs: dict[str, Column]) -> DataFrame:
     A filter on generated rows is not pushed down, so no formula is written out twice.
     """
     cells = [x.cast("double") for x in exprs.values()]
-    if len(cells) == 1:
-        return df.select(F.lit(0).alias("t"), cells[0].alias("x")).where("x is not null")
     return df.select(F.array(*cells).alias("v")).select(F.posexplode("v").alias("t", "x")).where("x is not null")
 
 

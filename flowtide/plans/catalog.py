@@ -17,6 +17,8 @@ from ..functions import constants as K
 from ..functions.columns import round_doubles
 from ..operators import clean, features as feat_ops
 from ..operators.partitioning import spread
+from ..operators.profile import RowProfile
+from ..operators.store import stored_folder, stored_table
 from ..sources import (
     FLOW_KEYS,
     FLOW_ORDER,
@@ -46,9 +48,6 @@ def register(name: str, sql: str | None = None):
 
 # ---- shared inputs -----------------------------------------------------------
 
-_FEATURE_CACHE: dict = {}
-
-
 def lineitem(spark, d):
     return spread(read_table(spark, d, "lineitem"))
 
@@ -57,19 +56,30 @@ def flows(spark, d, **kw):
     return flows_from_lineitem(lineitem(spark, d), **kw)
 
 
+def _inputs(d: str, *tables: str) -> list[str]:
+    return [f"{d}/{t}.parquet" for t in tables]
+
+
+def profile(spark, d):
+    """The scales and the target's cut of the flows, fitted once for the table as it is."""
+    path = stored_folder(spark, "profile", _inputs(d, "lineitem"), lambda at: feat_ops.fit_profile(flows(spark, d)).save(spark, at))
+    return RowProfile.load(spark, path)
+
+
 def features(spark, d) -> DataFrame:
     """Engineered flow features with the risk-score target.
 
-    The fitted profile (quantile scalars) is reused per session and folder,
-    like a saved model; the DataFrame itself stays a lazy scan + projection.
+    Fitted and computed once, then read by every query until the table's files
+    change (``operators.store``).
     """
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _FEATURE_CACHE:
+
+    def build():
         kpis = feat_ops.raw_kpis(flows(spark, d, with_label=True))
-        prof = feat_ops.fit_feature_profile(kpis)
+        prof = profile(spark, d)
         scored = feat_ops.with_risk_score(feat_ops.apply_feature_profile(kpis, prof))
-        _FEATURE_CACHE[key] = feat_ops.risk_target(scored)
-    return _FEATURE_CACHE[key].drop("fwd_packets", "bwd_packets", "total_packets", "raw_latency", "raw_throughput")
+        return feat_ops.apply_target(scored, prof).drop(*feat_ops.HELPERS)
+
+    return stored_table(spark, "features", _inputs(d, "lineitem"), build)
 
 
 def states(spark, d) -> DataFrame:
@@ -1215,45 +1225,55 @@ def global_attribution_q(spark, d):
     return out(ex.global_attribution(ex.local_attribution(features(spark, d))))
 
 
-# ---- model training and scoring (rows / invariants only) --------------------------------
+# ---- model training and scoring ----------------------------------------------------------
+# A fitted forest has no SQL form of its own; tests/test_forest_sql.py compares these keys row
+# by row with SQL that descends the stored node table (plans/sqlforest.py).
 
+from ..operators import forest as fo  # noqa: E402
 from ..operators import ml  # noqa: E402
 
-_MODEL_CACHE: dict = {}
 
+def training_run(spark, d) -> str:
+    """Folder of the training run of the flows as they are now (``ml.save_run``)."""
+
+    def build(path):
+        fitted = ml.fit_selected(features(spark, d), FLOW_KEYS)
+        ml.save_run(spark, fitted, path)
+        fitted.release()
 
-def _training(spark, d):
-    """Kept training rows, test rows and the selected model of a session and folder."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _MODEL_CACHE:
-        _MODEL_CACHE[key] = ml.fit_selected(features(spark, d), FLOW_KEYS)
-    fitted = _MODEL_CACHE[key]
-    return fitted.train, fitted.test, fitted.model
+    return stored_folder(spark, "forest", _inputs(d, "lineitem"), build, settings=K.RF_CANDIDATES)
+
+
+def _run(spark, d):
+    """Test rows and forest of the training run."""
+    path = training_run(spark, d)
+    return spark.read.parquet(f"{path}/test"), ml.load_model(f"{path}/model")
 
 
 @register("forest_scores")
 def forest_scores_q(spark, d):
-    _train, test, model = _training(spark, d)
+    test, model = _run(spark, d)
     return out(ml.predict(model, test).select(*FLOW_KEYS, "congestion", "prob", "pred"))
 
 
 @register("thresholded_predictions")
 def thresholded_predictions_q(spark, d):
-    _train, test, model = _training(spark, d)
-    frames = [ml.predict(model, test, t).select(*FLOW_KEYS, F.lit(t).alias("threshold"), "prob", "pred") for t in (0.3, 0.5, 0.7)]
-    return out(union_sources(frames))
+    test, model = _run(spark, d)
+    at = F.explode(F.array(*[F.lit(t) for t in (0.3, 0.5, 0.7)])).alias("threshold")
+    p = ml.predict(model, test).select(*FLOW_KEYS, "prob", at)
+    return out(p.select(*FLOW_KEYS, "threshold", "prob", (F.col("prob") > F.col("threshold")).cast("int").alias("pred")))
 
 
 @register("feature_importance")
 def feature_importance_q(spark, d):
-    _train, _test, model = _training(spark, d)
+    _test, model = _run(spark, d)
     rows = [(f, float(v), i + 1) for i, (f, v) in enumerate(ml.feature_importance(model))]
     return out(spark.createDataFrame(rows, "feature string, importance double, rank int"))
 
 
 @register("holdout_metrics")
 def holdout_metrics_q(spark, d):
-    _train, test, model = _training(spark, d)
+    test, model = _run(spark, d)
     return out(ml.binary_metrics(ml.predict(model, test), "congestion", "pred"))
 
 
@@ -1264,46 +1284,41 @@ def metric_gate_q(spark, d):
 
 @register("sensitivity_report")
 def sensitivity_report_q(spark, d):
-    _train, _test, model = _training(spark, d)
+    _test, model = _run(spark, d)
     return out(ml.sensitivity_probes(spark, model))
 
 
 @register("score_batch")
 def score_batch_q(spark, d):
     """Model probability with safety overrides for every scored row."""
-    _train, _test, model = _training(spark, d)
+    _test, model = _run(spark, d)
     scored = ml.predict(model, ml.assemble(features(spark, d)))
     return out(sc.safety_overrides(scored).select(*FLOW_KEYS, "prob", "pred", "final_prob", "final_pred"))
 
 
 @register("logistic_scores")
 def logistic_scores_q(spark, d):
-    train, test, _model = _training(spark, d)
-    model, imp = ml.fit_logistic(train)
-    p = ml.predict(model, test)
-    return out(p.select(*FLOW_KEYS, "prob", "pred", *[F.lit(imp[c]).alias(f"importance_{c}") for c in K.FEATURES]))
+    path = training_run(spark, d)
+    p = ml.logistic_probability(spark.read.parquet(f"{path}/test"), spark.read.parquet(f"{path}/logistic"))
+    return out(p.select(*FLOW_KEYS, "prob", "pred", *[f"importance_{c}" for c in K.FEATURES]))
 
 
 @register("candidate_report")
 def candidate_report_q(spark, d):
     """The ladder of the selected model's fit."""
-    _training(spark, d)
-    report = _MODEL_CACHE[spark.sparkContext.applicationId, d].report
-    schema = ("candidate int, num_trees int, max_depth int, min_instances int, accuracy double, precision double, recall double, f1 double, "
-              "importance_latency double, importance_throughput double, importance_packet_loss double")
-    return out(spark.createDataFrame(report, schema))
+    return out(spark.read.parquet(f"{training_run(spark, d)}/report"))
 
 
 @register("importance_floors")
 def importance_floors_q(spark, d):
-    _train, _test, model = _training(spark, d)
+    _test, model = _run(spark, d)
     return out(ml.importance_floors(spark, model))
 
 
 @register("model_local_attribution")
 def model_local_attribution_q(spark, d):
     """Shapley values of the selected forest for every test row."""
-    _train, test, model = _training(spark, d)
+    test, model = _run(spark, d)
     a = ex.model_attribution(test.select(*FLOW_KEYS, *K.FEATURES), model, ex.background(features(spark, d)))
     return out(a.select(*FLOW_KEYS, *[f"phi_{c}" for c in K.FEATURES], "base_value", "f_x"))
 
@@ -1313,6 +1328,38 @@ def model_global_attribution_q(spark, d):
     return out(ex.global_attribution(model_local_attribution_q(spark, d)))
 
 
+@register("forest_nodes")
+def forest_nodes_q(spark, d):
+    """The selected forest's nodes."""
+    return out(ml.run_nodes(spark, training_run(spark, d)))
+
+
+@register("node_scores")
+def node_scores_q(spark, d):
+    """Test rows scored by descending the stored node table."""
+    path = training_run(spark, d)
+    p = fo.score_nodes(spark.read.parquet(f"{path}/test"), ml.run_nodes(spark, path))
+    return out(p.select(*FLOW_KEYS, "congestion", "prob", "pred"))
+
+
+_IN_TEST = f"CAST(('0x' || substr({_MD5_KEY.format(seed=99)}, 1, 8)) AS BIGINT) / 4294967296.0 < 0.2"
+
+
+@register(
+    "forest_agreement",
+    FEAT_WITH
+    + f"""SELECT congestion, count(*) AS scored, CAST(0 AS BIGINT) AS apart, CAST(0 AS BIGINT) AS out_of_range
+FROM feat WHERE {_IN_TEST} GROUP BY congestion""",
+)
+def forest_agreement_q(spark, d):
+    """Test rows per class, and of them those that forest and node table score apart."""
+    path = training_run(spark, d)
+    p = ml.predict(ml.load_model(f"{path}/model"), spark.read.parquet(f"{path}/test")).withColumnRenamed("prob", "by_model")
+    both = fo.score_nodes(p, ml.run_nodes(spark, path)).groupBy("congestion")
+    apart, wild = F.abs(F.col("by_model") - F.col("prob")) > 1e-9, ~F.col("prob").between(0.0, 1.0)
+    return out(both.agg(F.count(F.lit(1)).alias("scored"), F.count_if(apart).alias("apart"), F.count_if(wild).alias("out_of_range")))
+
+
 # ---- batch page ---------------------------------------------------------------------
 
 _BATCH_PAGE = f""", bsim AS (SELECT {KEYS_SQL}, prob AS scored, least(greatest(latency, 5), 5000) AS lat, least(greatest(throughput_mbps, 10), 1000) AS tp,
