@@ -292,9 +292,9 @@ def legacy_engineered(df: DataFrame, order_cols: list[str], method: str = "exact
         return out.withColumn("congestion_flag", F.col("congestion").cast("int"))
     if "congestion_flag" in out.columns:
         return out
-    scored = with_risk_score(out, "_score")
-    thr = quantiles(scored, {"s": ("_score", [K.TARGET_Q])}, method=method)["s"][0]
-    return scored.withColumn("congestion_flag", (F.col("_score") >= F.lit(thr)).cast("int")).drop("_score")
+    # the score does not use the rolling columns, so its quantile is fitted without them
+    thr = quantiles(with_risk_score(df, "_score"), {"s": ("_score", [K.TARGET_Q])}, method=method)["s"][0]
+    return with_risk_score(out, "_score").withColumn("congestion_flag", (F.col("_score") >= F.lit(thr)).cast("int")).drop("_score")
 
 
 def build_features(df: DataFrame, order_cols: list[str], method: str = "exact") -> DataFrame:

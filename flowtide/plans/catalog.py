@@ -17,7 +17,7 @@ from ..functions import constants as K
 from ..functions.columns import round_doubles
 from ..operators import clean, features as feat_ops
 from ..operators.partitioning import spread
-from ..operators.profile import RowProfile
+from ..operators.profile import Profile
 from ..operators.store import stored_folder, stored_table
 from ..sources import (
     FLOW_KEYS,
@@ -60,26 +60,27 @@ def _inputs(d: str, *tables: str) -> list[str]:
     return [f"{d}/{t}.parquet" for t in tables]
 
 
-def profile(spark, d):
-    """The scales and the target's cut of the flows, fitted once for the table as it is."""
-    path = stored_folder(spark, "profile", _inputs(d, "lineitem"), lambda at: feat_ops.fit_profile(flows(spark, d)).save(spark, at))
-    return RowProfile.load(spark, path)
+def _profile(spark, d, name: str, fit) -> Profile:
+    return Profile.load(spark, stored_folder(spark, name, _inputs(d, "lineitem"), lambda at: fit().save(spark, at)))
 
 
-def features(spark, d) -> DataFrame:
-    """Engineered flow features with the risk-score target.
-
-    Fitted and computed once, then read by every query until the table's files
-    change (``operators.store``).
-    """
+def scored(spark, d) -> DataFrame:
+    """Engineered flow features and their risk score: scales fitted and rows computed once,
+    then read by every query until the table's files change (``operators.store``)."""
 
     def build():
         kpis = feat_ops.raw_kpis(flows(spark, d, with_label=True))
-        prof = profile(spark, d)
-        scored = feat_ops.with_risk_score(feat_ops.apply_feature_profile(kpis, prof))
-        return feat_ops.apply_target(scored, prof).drop(*feat_ops.HELPERS)
+        scales = _profile(spark, d, "scales", lambda: feat_ops.fit_feature_profile(kpis))
+        return feat_ops.with_risk_score(feat_ops.apply_feature_profile(kpis, scales)).drop(*feat_ops.HELPERS)
+
+    return stored_table(spark, "scored", _inputs(d, "lineitem"), build)
 
-    return stored_table(spark, "features", _inputs(d, "lineitem"), build)
+
+def features(spark, d) -> DataFrame:
+    """Scored features with the risk-score target."""
+    rows = scored(spark, d)
+    rule = _profile(spark, d, "target", lambda: Profile(feat_ops.fit_target(rows)))
+    return feat_ops.apply_target(rows, rule)
 
 
 def states(spark, d) -> DataFrame:
