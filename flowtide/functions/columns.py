@@ -124,6 +124,8 @@ def post_state(p: Column) -> Column:
 
 
 def class_label(c: Column) -> Column:
+    """Name of the classes 0 and 1; others have none."""
+    c = c.try_cast("int")
     return F.when(c == 0, "Normal").when(c == 1, "Congested")
 
 

@@ -146,20 +146,20 @@ def density_by_class(
     classes: the class statistics join on the class, without a broadcast hint.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    rows = df.select(by, finite(F.col(value)).alias("x")).where("x is not null")
+    rows = df.select(F.col(by).alias("_by"), finite(F.col(value)).alias("x")).where("x is not null")
     # a row per class, kept so that the table is read twice in all
-    stats = rows.groupBy(by).agg(F.count("x").alias("n"), F.stddev_samp("x").alias("sd"), F.min("x").alias("mn"), F.max("x").alias("mx")).where("n >= 2")
+    stats = rows.groupBy("_by").agg(F.count("x").alias("n"), F.stddev_samp("x").alias("sd"), F.min("x").alias("mn"), F.max("x").alias("mx")).where("n >= 2")
     wide = (F.col("mx") - F.col("mn")) / F.lit(prebins)
     stats = stats.withColumns({"h": F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)), "w": wide}).checkpoint()
     bin_ = F.when(F.col("w") > 0, F.least(F.floor((F.col("x") - F.col("mn")) / F.col("w")), F.lit(prebins - 1))).otherwise(F.lit(0)).cast("int")
-    binned = rows.join(stats.select(by, "mn", "w"), by).groupBy(by, bin_.alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    binned = rows.join(stats.select("_by", "mn", "w"), "_by").groupBy("_by", bin_.alias("b")).agg(F.count(F.lit(1)).alias("c"))
     points = stats.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
     points = points.withColumn("grid_x", F.col("mn") + (F.col("mx") - F.col("mn")) * F.col("g") / F.lit(grid - 1))
     center = F.col("mn") + (F.col("b") + 0.5) * F.col("w")
-    kern = points.join(binned, by).withColumn("k", F.col("c") * F.exp(-0.5 * F.pow((F.col("grid_x") - center) / F.col("h"), 2)))
-    kern = kern.groupBy(by, "g", "grid_x", "h", "n").agg(F.sum("k").alias("ks"))
+    kern = points.join(binned, "_by").withColumn("k", F.col("c") * F.exp(-0.5 * F.pow((F.col("grid_x") - center) / F.col("h"), 2)))
+    kern = kern.groupBy("_by", "g", "grid_x", "h", "n").agg(F.sum("k").alias("ks"))
     density = F.col("ks") / (F.col("n") * F.col("h") * F.lit(math.sqrt(2 * math.pi)))
-    return kern.select(by, F.col("g").alias("point"), "grid_x", density.alias("density"), class_label(F.col(by)).alias("label"))
+    return kern.select(F.col("_by").alias(by), F.col("g").alias("point"), "grid_x", density.alias("density"), class_label(F.col("_by")).alias("label"))
 
 
 def class_distribution(df: DataFrame, target: str = "congestion") -> DataFrame:

@@ -202,6 +202,9 @@ def load_model(path: str) -> RandomForestClassificationModel:
     return RandomForestClassificationModel.load(path)
 
 
+METRICS = "tp long, fp long, fn long, tn long, accuracy double, precision double, recall double, f1 double"
+
+
 def save_metrics(spark: SparkSession, metrics: dict, path: str) -> None:
     """Metrics as one JSON document in a folder (any file system Spark can write)."""
     spark.createDataFrame([(json.dumps(metrics, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
@@ -211,6 +214,27 @@ def load_metrics(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
+def metric_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored metrics of all runs under ``folder`` as one table.
+
+    A run is a sub-folder that ``save_metrics`` or a JSON writer filled.  The
+    schema is declared; a document that does not parse keeps its text in
+    ``malformed`` and has no metrics.
+    """
+    schema = f"{METRICS}, malformed string"
+    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "malformed").option("recursiveFileLookup", True).json(folder)
+    run = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    return rows.select(run.alias("run"), *rows.columns)
+
+
+def gate_runs(runs: DataFrame, min_accuracy: float = K.MIN_ACCURACY) -> DataFrame:
+    """Every stored run with its verdict: a run without a readable accuracy is
+    reported as such and does not pass."""
+    known = F.col("accuracy").isNotNull()
+    problem = F.when(F.col("malformed").isNotNull(), F.lit("malformed")).when(~known, F.lit("no accuracy"))
+    return metric_gate(runs, min_accuracy).withColumn("passed", known & F.col("malformed").isNull() & F.coalesce(F.col("passed"), F.lit(False))).withColumn("problem", problem)
+
+
 def validate_metrics(metrics: dict, min_accuracy: float = K.MIN_ACCURACY) -> None:
     """Raise where stored metrics miss the gate."""
     if metrics["accuracy"] < min_accuracy:

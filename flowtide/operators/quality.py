@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.columns import finite
+from ..functions.columns import finite, nan_to_null
 from .features import prepare_features
 from .profile import quantiles
 
@@ -63,7 +63,7 @@ def feature_quality(df: DataFrame, method: str = "exact") -> DataFrame:
     for c in K.FEATURES:
         x = F.round(finite(F.col(c)), NUNIQUE_DIGITS)
         lo, hi = bounds[c]
-        aggs += [(F.min(x) < F.max(x)).alias(f"{c}_v"), F.stddev_pop(finite(F.col(c))).alias(f"{c}_s"), F.count_if((F.col(c) < lo) | (F.col(c) > hi)).alias(f"{c}_o")]
+        aggs += [(F.min(x) < F.max(x)).alias(f"{c}_v"), F.stddev_pop(finite(F.col(c))).alias(f"{c}_s"), F.count_if((nan_to_null(c) < lo) | (nan_to_null(c) > hi)).alias(f"{c}_o")]
         ok = F.col(f"{c}_v") & (F.col(f"{c}_s") > K.QUALITY_MIN_STD) & (F.col(f"{c}_o") == 0)
         rows.append((c, [F.col(f"{c}_s"), F.col(f"{c}_o").cast("long"), F.coalesce(ok, F.lit(False))]))
     return _with_distinct(_stack(df.agg(*aggs), "feature", rows, ["std", "out_of_range", "ok"]), df, method)

@@ -62,6 +62,11 @@ def stored_table(spark: SparkSession, name: str, inputs: list[str], build: Calla
     return spark.read.parquet(stored_folder(spark, name, inputs, lambda path: build().write.parquet(path), settings))
 
 
+def scratch_folder(spark: SparkSession, what: str) -> str:
+    """A fresh folder (not yet made) that executors and driver share."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
 def _manifest(spark: SparkSession, place: str) -> str | None:
     try:
         return spark.read.text(f"{place}/manifest").agg(F.min("value")).first()[0]

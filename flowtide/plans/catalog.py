@@ -1397,3 +1397,76 @@ FROM bpage GROUP BY alert_level, first_action""",
 def batch_score_summary_q(spark, d):
     g = _batch_page(spark, d).groupBy("alert_level", "first_action")
     return out(g.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("congested").alias("congested_rows"), F.avg("prob").alias("mean_prob")))
+
+
+# ---- uploads and stored metrics -------------------------------------------------------
+
+from ..operators.store import scratch_folder  # noqa: E402
+from ..sources.flows import accepted, quarantined, read_upload, write_report  # noqa: E402
+
+
+def _upload(spark, d) -> DataFrame:
+    """Model inputs as CSV files with damaged lines, read back as an upload."""
+    m = model_inputs_from_lineitem(lineitem(spark, d))
+    kind = F.col("l_orderkey") % 50
+    latency = F.when(kind == 7, F.lit("n/a")).otherwise(F.col("latency").cast("string"))
+    loss = F.when(kind == 11, F.lit("")).when(kind == 13, F.concat(F.col("packet_loss").cast("string"), F.lit(",1"))).otherwise(F.col("packet_loss").cast("string"))
+    path = scratch_folder(spark, "upload")
+    lines = m.select(*[F.col(c).cast("string").alias(c) for c in FLOW_KEYS], latency.alias(" latency"), F.col("throughput").cast("string").alias("throughput "), loss.alias("packet_loss"))
+    lines.write.option("header", True).option("quote", "").option("emptyValue", "").csv(path)
+    return read_upload(spark, path, K.FEATURES, {"tower_load": K.BATCH_TOWER_LOAD})
+
+
+_KIND = "CASE l_orderkey % 50 WHEN 7 THEN 'no number: latency' WHEN 11 THEN 'no number: packet_loss' WHEN 13 THEN 'malformed line' END"
+
+
+@register(
+    "upload_quarantine",
+    f"SELECT {_KIND} AS problem, count(*) AS n_lines FROM lineitem WHERE l_orderkey % 50 IN (7, 11, 13) GROUP BY 1",
+)
+def upload_quarantine_q(spark, d):
+    """Bad lines of an upload by what is wrong with them."""
+    return out(quarantined(_upload(spark, d)).groupBy("problem").agg(F.count("raw_line").alias("n_lines")))
+
+
+@register(
+    "upload_report",
+    S.with_ctes(S.MODEL_INPUTS, f"up AS (SELECT *, {S.risk()} AS p FROM mip WHERE l_orderkey % 50 NOT IN (7, 11, 13))")
+    + f"SELECT {KEYS_SQL}, {S.r('p', 'risk_score')}, {_tier_sql('p')} AS alert_level, 70.0 AS tower_load FROM up",
+)
+def upload_report_q(spark, d):
+    """Good lines of an upload scored, written as a report and read back."""
+    good = feat_ops.with_risk_score(feat_ops.prepare_features(accepted(_upload(spark, d))), "risk_score")
+    path = scratch_folder(spark, "report")
+    rows = good.select(*[F.col(c).cast("long").alias(c) for c in FLOW_KEYS], "risk_score", alert_tier(F.col("risk_score")).alias("alert_level"), "tower_load")
+    write_report(rows, path, "csv")
+    kinds = ", ".join(f"{c} long" for c in FLOW_KEYS)
+    return out(spark.read.csv(path, header=True, schema=f"{kinds}, risk_score double, alert_level string, tower_load double"))
+
+
+_RUNS = (0.3, 0.5, 0.7)
+
+
+@register(
+    "metric_runs",
+    FEAT_WITH
+    + f""", rl AS (SELECT {LABEL_PRED} AS y, congestion_score AS s FROM feat),
+rm AS ("""
+    + " UNION ALL ".join(
+        f"""SELECT 'score_{int(t * 100)}' AS run, count(*) FILTER (WHERE y = 1 AND s > {t}) AS tp, count(*) FILTER (WHERE y = 0 AND s > {t}) AS fp,
+  count(*) FILTER (WHERE y = 1 AND s <= {t}) AS fn, count(*) FILTER (WHERE y = 0 AND s <= {t}) AS tn FROM rl"""
+        for t in _RUNS
+    )
+    + """)
+SELECT run, tp, fp, fn, tn, round((tp + tn) / CAST(tp + fp + fn + tn AS DOUBLE), 6) AS accuracy, (tp + tn) / CAST(tp + fp + fn + tn AS DOUBLE) >= 0.8 AS passed, NULL AS problem FROM rm
+UNION ALL SELECT 'torn', NULL, NULL, NULL, NULL, NULL, false, 'malformed'""",
+)
+def metric_runs_q(spark, d):
+    """Metrics of the score at several thresholds stored as runs, one torn file among them, and the gate over all."""
+    f = feat_ops.label_target(features(spark, d).drop("congestion"), "label").select("congestion", "congestion_score")
+    root = scratch_folder(spark, "runs")
+    for t in _RUNS:
+        m = an.binary_metrics(f.withColumn("pred", (F.col("congestion_score") > t).cast("int")), "congestion", "pred")
+        m.coalesce(1).write.json(f"{root}/score_{int(t * 100)}")
+    spark.createDataFrame([('{"accuracy": 0.9', )], "value string").coalesce(1).write.text(f"{root}/torn")
+    return out(ml.gate_runs(ml.metric_runs(spark, root)).select("run", "tp", "fp", "fn", "tn", "accuracy", "passed", "problem"))
