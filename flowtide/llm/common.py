@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,21 +28,47 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/flowtide-{what}-{uuid.uuid4().hex}"
 
 
+#: Spark then removes an execution's shuffle files when it ends, not when the driver happens to collect garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def cleaning(spark: SparkSession):
+    """Plans made inside remove their shuffle files once they have run."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there."""
+    """Write ``df`` to the shared checkpoint folder and go on from there; its shuffle files go."""
     shared_dir(df.sparkSession)
-    release(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with cleaning(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files and checkpoints that nothing refers to any more.
+class Steps:
+    """Tables that a job writes between its steps and drops when they are used up.
 
-    It does so only when the driver's JVM collects garbage, which an idle driver
-    may not do for half an hour, while a chain of rounds fills the disks.
+    A table is Parquet in a folder of its own under the shared folder.  ``drop``
+    overwrites it with nothing, through Spark, so it works on any file system.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+
+    def __init__(self, spark: SparkSession, what: str):
+        self.spark, self.what, self.paths = spark, what, {}
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        self.paths[name] = path = scratch(self.spark, f"{self.what}-{name}")
+        with cleaning(self.spark):
+            df.select("*").write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for n in names:
+            self.spark.createDataFrame([], "dropped int").coalesce(1).write.mode("overwrite").parquet(self.paths.pop(n))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

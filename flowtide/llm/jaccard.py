@@ -42,14 +42,15 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_partitions
+from .common import Steps, cut, shuffle_partitions
 from .components import connected
 from .textnum import distinct, lower_ascii, mix, shingles, slices, utf8, word_hashes, words
 
@@ -142,8 +143,34 @@ def part_keys(h: np.ndarray, at: np.ndarray, names: np.ndarray, t: Threshold) ->
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
-_KEYED = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("need", pa.int32()), ("met", pa.bool_())])
-KEYED = "key long, a long, need int, met boolean"
+_KEYED = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("need", pa.int32())])
+KEYED = "key long, a long, need int"
+_PACKED = pa.schema([("bucket", pa.int32()), ("met", pa.bool_()), ("blob", pa.binary())])
+PACKED = "bucket int, met boolean, blob binary"
+
+
+def pack(key: np.ndarray, a: np.ndarray, need: np.ndarray) -> bytes:
+    """Rows in ascending order of key as bytes.
+
+    The keys' bytes are laid out by significance (the high ones of neighbours are
+    alike and compress); each set is named once and numbered in its rows.
+    """
+    pair = np.rec.fromarrays([a, need], names="a,need")
+    sets, at = np.unique(pair, return_inverse=True)
+    at = at.astype(np.uint16 if len(sets) <= 1 << 16 else np.uint32)
+    head = np.array([len(key), len(sets)], "<u4")
+    planes = np.ascontiguousarray(key.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return b"".join((head.tobytes(), planes.tobytes(), at.tobytes(), sets["a"].astype("<i8").tobytes(), sets["need"].astype("<i4").tobytes()))
+
+
+def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, m = np.frombuffer(blob, "<u4", 2).tolist()
+    key = np.ascontiguousarray(np.frombuffer(blob, np.uint8, 8 * n, 8).reshape(8, n).T).view("<u8").ravel()
+    kind = np.dtype("<u2" if m <= 1 << 16 else "<u4")
+    place = 8 + 8 * n
+    at = np.frombuffer(blob, kind, n, place)
+    place += kind.itemsize * n
+    return key, np.frombuffer(blob, "<i8", m, place)[at], np.frombuffer(blob, "<i4", m, place + 8 * m)[at]
 
 
 def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,29 +181,43 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.repeat(np.diff(np.append(at, len(key))), np.diff(np.append(at, len(key))))
 
 
-def _emit(k: int, t: Threshold, flush: int = 250_000):
-    """Keys of all sets.  Rows whose key has met another set in this task are
-    marked; only the first of them goes on to look for sets of other tasks."""
+def _once(key: np.ndarray, a: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in order of key, each (key, set) once."""
+    order = np.lexsort((a, key))
+    key, a, need = key[order], a[order], need[order]
+    own = np.ones(len(key), bool)
+    own[1:] = (key[1:] != key[:-1]) | (a[1:] != a[:-1])
+    return key[own], a[own], need[own]
+
+
+def _emit(k: int, t: Threshold, buckets: int, flush: int = 250_000):
+    """Keys of all sets, packed by bucket (a range of keys).
+
+    Rows whose key has met another set in this task are marked and dealt by key
+    and set; only the first of them goes on to look for sets of other tasks.
+    """
 
     def out(cols):
-        key, a, need = (np.concatenate(c) for c in zip(*cols))
-        order = np.lexsort((a, key))
-        key, a, need = key[order], a[order], need[order]
-        own = np.ones(len(key), bool)
-        own[1:] = (key[1:] != key[:-1]) | (a[1:] != a[:-1])
-        key, a, need = key[own], a[own], need[own].astype(np.int32)
+        key, a, need = _once(*(np.concatenate(c) for c in zip(*cols)))
         first, length = _runs(key)
         for rows, met in ((first, False), (length > 1, True)):
-            part = [pa.array(key[rows]), pa.array(a[rows]), pa.array(need[rows]), pa.array(np.full(int(rows.sum()), met))]
-            yield from pa.Table.from_arrays(part, schema=_KEYED).to_batches(100_000)
+            x, y, z = key[rows], a[rows], need[rows]
+            bucket = (mix(x ^ y.view(np.uint64)) if met else x) >> np.uint64(32)
+            bucket = (bucket * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            bucket, x, y, z = bucket[order], x[order], y[order], z[order]
+            start = np.flatnonzero(_runs(bucket)[0])
+            blobs = [pack(x[i:j], y[i:j], z[i:j]) for i, j in zip(start.tolist(), [*start[1:].tolist(), len(x)])] if len(x) else []
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[start]), pa.array(np.full(len(start), met)), pa.array(blobs, pa.binary())], schema=_PACKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols, held = [], 0
         for batch in batches:
             buf, offs = utf8(batch.column(0))
             for i, j in slices(offs, SLICE):
-                cols.append(part_keys(*sets_of(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], k), t))
-                held += len(cols[-1][0])
+                key, a, need = part_keys(*sets_of(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], k), t)
+                cols.append((key.view(np.uint64), a, need.astype(np.int32)))
+                held += len(key)
             if held > flush:
                 yield from out(cols)
                 cols, held = [], 0
@@ -187,31 +228,30 @@ def _emit(k: int, t: Threshold, flush: int = 250_000):
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a partition's rows, those whose key more than one set has."""
-    got = pa.Table.from_batches(list(batches), schema=_KEYED)
-    if not got.num_rows:
-        return
-    met = got.column("met").to_numpy()
-    yield from got.filter(pa.array(met)).to_batches(100_000)
-    rest = got.filter(pa.array(~met))
-    key, a = rest.column("key").to_numpy(), rest.column("a").to_numpy()
-    order = np.lexsort((a, key))
-    _, length = _runs(key[order])
-    yield from rest.take(pa.array(order[length > 1])).to_batches(100_000)
+    """Of sorted buckets' rows, those whose key more than one set has; a bucket at a time."""
 
+    def rows():
+        for b in batches:
+            yield from zip(b.column("bucket").to_pylist(), b.column("met").to_pylist(), b.column("blob").to_pylist())
 
-def shared_keys(rows: DataFrame, k: int, t: Threshold, rounds: int = 1) -> DataFrame:
-    """(key, a) of all sets that share enough keys to have a link."""
+    for (_, met), group in groupby(rows(), key=lambda r: r[:2]):
+        key, a, need = _once(*(np.concatenate(c) for c in zip(*(unpack(r[2]) for r in group))))
+        if not met:
+            many = _runs(key)[1] > 1
+            key, a, need = key[many], a[many], need[many]
+        table = pa.Table.from_arrays([pa.array(key.view(np.int64)), pa.array(a), pa.array(need)], schema=_KEYED)
+        yield from table.to_batches(100_000)
+
+
+def shared_keys(steps: Steps, rows: DataFrame, k: int, t: Threshold) -> DataFrame:
+    """(key, a) of all sets that share enough keys to have a link.
+
+    A row may come twice, which only counts in favour of its set.
+    """
     parts = shuffle_partitions(rows.sparkSession)
-    at = F.when(F.col("met"), F.xxhash64("key", "a")).otherwise(F.col("key"))
-    now = cut(rows.select("text").mapInArrow(_emit(k, t), KEYED).repartition(parts, at).mapInArrow(_meet, KEYED).groupBy("key", "a").agg(F.max("need").alias("need")))
-    for _ in range(rounds):
-        band = F.col("key").bitwiseAND(F.lit(63))
-        many = now.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-        now = now.join(many, "key")
-        enough = now.groupBy("a", band.alias("band")).agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("n")).where("c >= n").select("a", "band")
-        now = cut(now.join(enough, (now["a"] == enough["a"]) & (band == enough["band"]), "left_semi"))
-    return now.select("key", "a")
+    met = rows.select("text").mapInArrow(_emit(k, t, 4 * parts), PACKED).repartition(parts, "bucket").sortWithinPartitions("bucket", "met").mapInArrow(_meet, KEYED)
+    own = Window.partitionBy("a", F.col("key").bitwiseAND(F.lit(63)))
+    return steps.keep("keys", met.withColumns({"c": F.count(F.lit(1)).over(own), "n": F.max("need").over(own)}).where("c >= n").select("key", "a"))
 
 
 # ---- signature trees --------------------------------------------------------
@@ -442,26 +482,30 @@ def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, group_se
     least ``doc_id`` that can be reached over links, the own one included.
     """
     t = Threshold(num, den)
+    steps = Steps(docs.sparkSession, "jaccard")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keys = shared_keys(rows, k, t)
+    keys = shared_keys(steps, rows, k, t)
     hubs = keys.groupBy("key").agg(F.min("a").alias("b"))
-    ties = cut(keys.join(hubs, "key").where("a <> b").select("a", "b").distinct())
-    group = cut(connected(ties, "a", "b").select(F.col("node").alias("name"), F.col("root").alias("grp")))
-    named = cut(rows.mapInArrow(_named(k), "doc_id long, n_shingles long, name long"))
+    ties = steps.keep("ties", keys.join(hubs, "key").where("a <> b").select("a", "b").distinct())
+    steps.drop("keys")
+    group = steps.keep("groups", connected(ties, "a", "b").select(F.col("node").alias("name"), F.col("root").alias("grp")))
+    named = steps.keep("names", rows.mapInArrow(_named(k), "doc_id long, n_shingles long, name long"))
     # of every set that is in a group: one row that has it
     one = named.where("doc_id is not null").join(group, "name").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.first("grp").alias("grp"), F.first("n_shingles").alias("n"))
-    one = cut(one)
+    one = steps.keep("one", one)
     weight = one.groupBy("grp").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("weight"))
     heavy = (F.col("members") > group_sets) | (F.col("weight") > group_shingles)
     one = one.join(weight.where("members > 1").select("grp", heavy.alias("large")), "grp")
     # one pass over the texts for all groups
     texts = rows.join(one, "doc_id").dropDuplicates(["doc_id", "name", "text"]).select("name", "grp", "large", "text")
-    sets = cut(texts.mapInArrow(_with_sets(k), SETS))
+    sets = steps.keep("sets", texts.mapInArrow(_with_sets(k), SETS))
     links = sets.where("not large").groupBy("grp").applyInPandas(_tree_group(t), "a long, b long")
     if one.where("large").limit(1).count():
         inside = ties.join(one.where("large").select(F.col("name").alias("a")), "a", "left_semi")
         links = links.unionByName(_large_links(sets.where("large"), inside, t, group_sets))
-    label = connected(cut(links), "a", "b")
+    links = steps.keep("links", links)
+    steps.drop("sets", "ties", "groups", "one")
+    label = connected(links, "a", "b")
     full = named.join(label, F.col("name") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("root", "name").alias("class"))
     counted = F.col("n_shingles") > 0
     least = full.where(counted).groupBy("class").agg(F.min("doc_id").alias("least"))
