@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import sqlchecks
 from .common import cut, read, scratch
 
 WORD_BPE = "word_bpe_49k.json"
@@ -126,6 +127,10 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op10_byte_shards": sqlchecks.BYTE_SHARDS,
+    "op11_prefix_trie": sqlchecks.PREFIX_TRIE,
+    "op12_pivot_index": sqlchecks.PIVOT_INDEX,
+    "op13_structure_repair": sqlchecks.STRUCTURE_REPAIR,
     "op3_fixity_audit": "select page_id, true as differs, true as range_fits from pages where page_id % 97 = 13",
     "op5_url_rules": """
 with cut as (
