@@ -8,7 +8,9 @@ that hashes their digests and covers their offset range, up to one root a file.
 
 An audit joins the roots of two replicas and goes down a level at a time through
 the children of nodes that differ, so sound branches are not looked at again.
-Files that one side lacks and records that are cut off show as differences.
+Records that are cut off show as differences.  A replica's own files and their
+true sizes are leaves as well, each after its file's records: bytes behind the
+last record and files that only one side has make the roots differ too.
 
 Rows: null urls and html are written as empty; null and repeated page ids are
 records like any other.  An empty table gives no files and no differences.
@@ -102,7 +104,7 @@ def copy_files(index: DataFrame, source: str, target: str, damage) -> DataFrame:
 
 
 def digests(index: DataFrame, folder: str) -> DataFrame:
-    """Leaves: every indexed range of a replica with the sha256 of what is there."""
+    """Leaves: every indexed range of a replica with the sha256 of what is there, and every file's size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = filesystem(folder)
@@ -120,7 +122,25 @@ def digests(index: DataFrame, folder: str) -> DataFrame:
                 out.append(hashlib.sha256(got).hexdigest())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "hash"])
 
-    return index.repartition(shuffle_partitions(index.sparkSession), "file").sortWithinPartitions("file", "offset").mapInArrow(run, INDEX + ", hash string")
+    spark = index.sparkSession
+    # twice as many partitions as files were written by: few files share one
+    records = index.repartition(2 * shuffle_partitions(spark), "file").sortWithinPartitions("file", "offset").mapInArrow(run, INDEX + ", hash string")
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), "length")
+    ends = index.groupBy("file").agg(F.count(F.lit(1)).alias("number"), F.max(F.col("offset") + F.col("length")).alias("offset"))
+    found = listed.join(ends, "file", "left").select(
+        "file", F.coalesce("number", F.lit(0)).alias("number"), F.coalesce("offset", F.lit(0)).alias("offset"), F.col("length").alias("size"), F.lit(None).cast("long").alias("page_id")
+    )
+    sizes = found.withColumns({"length": F.col("size") - F.col("offset"), "hash": F.sha2(F.concat(F.lit("size "), F.col("size").cast("string")), 256)}).drop("size")
+    return records.unionByName(sizes)
+
+
+def _above(level: DataFrame, fanout: int) -> DataFrame:
+    child = F.sort_array(F.collect_list(F.struct("node", "hash")))  # at most ``fanout`` of them
+    return cut(
+        level.groupBy("file", F.floor(F.col("node") / fanout).alias("node")).agg(
+            F.min("low").alias("low"), F.max("high").alias("high"), F.sha2(F.array_join(F.transform(child, lambda c: c["hash"]), ""), 256).alias("hash")
+        )
+    )
 
 
 def tree(leaves: DataFrame, fanout: int = FANOUT) -> list[DataFrame]:
@@ -128,25 +148,26 @@ def tree(leaves: DataFrame, fanout: int = FANOUT) -> list[DataFrame]:
     level = cut(leaves.select("file", F.col("number").alias("node"), F.col("offset").alias("low"), (F.col("offset") + F.col("length")).alias("high"), "hash"))
     levels = [level]
     while level.where("node > 0").limit(1).count():
-        child = F.sort_array(F.collect_list(F.struct("node", "hash")))  # at most ``fanout`` of them
-        level = cut(
-            level.groupBy("file", F.floor(F.col("node") / fanout).alias("node")).agg(
-                F.min("low").alias("low"), F.max("high").alias("high"), F.sha2(F.array_join(F.transform(child, lambda c: c["hash"]), ""), 256).alias("hash")
-            )
-        )
+        level = _above(level, fanout)
         levels.append(level)
     return levels
 
 
 def differences(a: list[DataFrame], b: list[DataFrame], fanout: int = FANOUT) -> DataFrame:
-    """Leaf ranges in which two replicas differ: file, node, low, high, hash_a, hash_b."""
-    if len(a) != len(b):
-        raise ValueError("trees over different indexes")
+    """Leaf ranges in which two replicas differ: file, node, low, high, hash_a, hash_b.
+
+    A file of one replica alone, and a size, show as leaves after the records.
+    """
+    a, b = list(a), list(b)
+    for short, long in ((a, b), (b, a)):  # a lost large file makes a tree lower
+        while len(short) < len(long):
+            short.append(_above(short[-1], fanout))
     open_ = None
     for x, y in zip(reversed(a), reversed(b)):
         if open_ is not None:  # only children of nodes that differ
             x, y = (z.withColumn("up", F.floor(F.col("node") / fanout)).join(open_, ["file", "up"], "left_semi").drop("up") for z in (x, y))
-        both = x.select("file", "node", "low", "high", F.col("hash").alias("hash_a")).join(y.select("file", "node", F.col("hash").alias("hash_b")), ["file", "node"], "full_outer")
+        both = x.select("file", "node", "low", "high", F.col("hash").alias("hash_a")).join(y.select("file", "node", F.col("low").alias("l"), F.col("high").alias("h"), F.col("hash").alias("hash_b")), ["file", "node"], "full_outer")
+        both = both.select("file", "node", F.coalesce("low", "l").alias("low"), F.coalesce("high", "h").alias("high"), "hash_a", "hash_b")
         found = both.where(~F.col("hash_a").eqNullSafe(F.col("hash_b")))
         open_ = cut(found.select("file", F.col("node").alias("up")))
     return found

@@ -175,4 +175,5 @@ def fingerprints(docs: DataFrame, k: int = WORDS) -> DataFrame:
         return rows.where(F.lit(False)).mapInArrow(_sweep(k), OUT)
     sent = rows.mapInArrow(_deal(lows), "block long, extra int, doc_id long, tie binary, packed binary")
     order = ["block", "extra", F.col("doc_id").asc_nulls_first(), "tie"]
-    return sent.repartition(n, "block").sortWithinPartitions(*order).select("block", "extra", "doc_id", "packed").mapInArrow(_sweep(k), OUT)
+    # n blocks by hash into three times as many partitions: few of them share one
+    return sent.repartition(3 * n, "block").sortWithinPartitions(*order).select("block", "extra", "doc_id", "packed").mapInArrow(_sweep(k), OUT)

@@ -205,12 +205,16 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_FIT_ROWS) -> RuleModel:
-    """Fit on at most ``max_rows`` labelled rows that are not held out."""
+    """Fit on at most ``max_rows`` labelled rows that are not held out.
+
+    One text stands for each sampled ``doc_id``: the one of least hash.
+    """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label).cast("int").alias("y"))
     sample = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     near = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")  # max_rows rows of two numbers
     names = NAMES
-    rows = near.select("y", statistics(F.col("text")).alias("s")).limit(4 * max_rows).select("y", "s.*").toPandas()
+    one = near.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("m"))
+    rows = one.select("y", statistics(F.col("m.text")).alias("s")).select("y", "s.*").toPandas()
     rows = rows.sort_values([*names, "y"])
     return fit(names, rows[names].to_numpy(float).reshape(-1, len(names)), rows["y"].to_numpy(float))
 

@@ -255,7 +255,11 @@ def _lookup(lows: np.ndarray, paths: list[str], bases: list[int]):
                     shard, opened = Shard(paths[s]), s
                 asked = keys[near == s]
                 for key, row, count in zip(asked.tolist(), *(x.tolist() for x in shard.find(asked))):
-                    out += [(key, *shard.facts(bases[s], r)) for r in range(row, row + count)]
+                    for r in range(row, row + count):
+                        out.append((key, *shard.facts(bases[s], r)))
+                        if len(out) >= 10_000:
+                            yield _facts(out)
+                            out = []
             if out:
                 yield _facts(out)
 
@@ -280,7 +284,9 @@ def lookup(keys: DataFrame, shards: DataFrame) -> DataFrame:
             at = np.maximum(0, np.searchsorted(lows, b.column(0).to_numpy(), side="right") - 1)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at)], ["doc_id", "shard"])
 
-    routed = asked.mapInArrow(route, "doc_id long, shard long").repartition("shard").sortWithinPartitions("shard", "doc_id")
+    # a number of its own keeps adaptive execution from merging these small partitions into one task
+    parts = 2 * shuffle_partitions(keys.sparkSession)
+    routed = asked.mapInArrow(route, "doc_id long, shard long").repartition(parts, "shard").sortWithinPartitions("shard", "doc_id")
     return routed.mapInArrow(_lookup(lows, [r["path"] for r in known], [r["base"] for r in known]), _FACTS)
 
 
@@ -291,6 +297,7 @@ def unkeyed(shards: DataFrame) -> DataFrame:
         for b in batches:
             for path, n, base in zip(*(b.column(c).to_pylist() for c in ("path", "n_null", "base"))):
                 shard = Shard(path)
-                yield _facts([(None, *shard.facts(base, r)) for r in range(n)])
+                for at in range(0, n, 10_000):
+                    yield _facts([(None, *shard.facts(base, r)) for r in range(at, min(at + 10_000, n))])
 
     return shards.where("n_null > 0").select("path", "n_null", "base").mapInArrow(run, _FACTS)
