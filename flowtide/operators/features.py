@@ -306,29 +306,36 @@ def build_features(df: DataFrame, order_cols: list[str], method: str = "exact")
     return legacy_engineered(base, order_cols, method=method)
 
 
-def visual_features(df: DataFrame, method: str = "exact") -> DataFrame:
-    """Plot-ready features: p99-clipped latency/throughput, clipped loss, log1p."""
-    clean = drop_non_finite(df, K.FEATURES)
-    q = quantiles(clean, {"l": ("latency", [K.SCALE_Q]), "t": ("throughput", [K.SCALE_Q])}, method=method)
-    lat = clip(F.col("latency"), 0.0, q["l"][0])
-    tp = clip(F.col("throughput"), 0.0, q["t"][0])
-    return clean.withColumns(
-        {
-            "latency": lat,
-            "throughput": tp,
-            "packet_loss": clip(F.col("packet_loss"), 0.0, 1.0),
-            "log_latency": F.log1p(lat),
-            "log_throughput": F.log1p(tp),
-        }
-    )
+def fit_visual(df: DataFrame, method: str = "exact") -> Profile:
+    """The p99 of latency and throughput over rows with all features."""
+    q = quantiles(drop_non_finite(df, K.FEATURES), {"l": ("latency", [K.SCALE_Q]), "t": ("throughput", [K.SCALE_Q])}, method=method)
+    return Profile({"latency_p99": q["l"][0], "throughput_p99": q["t"][0]})
 
 
-def feature_ok(df: DataFrame) -> DataFrame:
-    return df.where(is_finite("latency") & is_finite("throughput") & is_finite("packet_loss"))
+def visual_features(df: DataFrame, method: str = "exact", profile: Profile | RowProfile | None = None) -> DataFrame:
+    """Plot-ready features: p99-clipped latency/throughput, clipped loss, log1p.
+
+    With a profile that ``fit_visual`` made, no job is started.
+    """
+    profile = profile or fit_visual(df, method)
+    clean = profile.attach(drop_non_finite(df, K.FEATURES))
+    lat = clip(F.col("latency"), 0.0, profile.column("latency_p99") if "latency_p99" in profile else None)
+    tp = clip(F.col("throughput"), 0.0, profile.column("throughput_p99") if "throughput_p99" in profile else None)
+    return profile.detach(
+        clean.withColumns(
+            {
+                "latency": lat,
+                "throughput": tp,
+                "packet_loss": clip(F.col("packet_loss"), 0.0, 1.0),
+                "log_latency": F.log1p(lat),
+                "log_throughput": F.log1p(tp),
+            }
+        )
+    )
 
 
 __all__ = [
-    "apply_feature_profile", "apply_target", "build_features", "create_features", "direct_packet_loss", "feature_ok", "finite",
-    "fit_feature_profile", "fit_profile", "fit_target", "inferred_packet_loss", "label_target", "legacy_engineered", "legacy_features",
+    "apply_feature_profile", "apply_target", "build_features", "create_features", "direct_packet_loss", "finite",
+    "fit_feature_profile", "fit_profile", "fit_target", "fit_visual", "inferred_packet_loss", "label_target", "legacy_engineered", "legacy_features",
     "prepare_features", "raw_kpis", "risk_components", "risk_target", "visual_features", "with_risk_score",
 ]

@@ -32,7 +32,7 @@ FOLDER = "spark.flowtide.store"
 def _code() -> str:
     """A hash of the package's sources that make stored results."""
     here, h = Path(__file__).resolve().parent.parent, hashlib.sha256()
-    for f in sorted(p for part in ("functions", "operators", "sources") for p in (here / part).glob("*.py")):
+    for f in sorted(p for part in ("functions", "operators", "plans", "sources") for p in (here / part).glob("*.py")):
         h.update(f.name.encode() + f.read_bytes())
     return h.hexdigest()
 

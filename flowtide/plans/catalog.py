@@ -327,7 +327,7 @@ def legacy_engineered_q(spark, d):
        {S.r('log_latency', 'log_latency')}, {S.r('log_throughput', 'log_throughput')} FROM vis""",
 )
 def visual_features_q(spark, d):
-    v = feat_ops.visual_features(features(spark, d))
+    v = visual(spark, d)
     return out(v.select(*FLOW_KEYS, "latency", "throughput", "packet_loss", "log_latency", "log_throughput"))
 
 
@@ -425,7 +425,8 @@ VIS_WITH = S.with_ctes(*S.FEAT_CTES, S.VISUAL)
 
 
 def visual(spark, d):
-    return feat_ops.visual_features(features(spark, d))
+    f = features(spark, d)
+    return feat_ops.visual_features(f, profile=_profile(spark, d, "visual", lambda: feat_ops.fit_visual(f)))
 
 
 _PAIRS = [(a, b) for a in K.FEATURES for b in K.FEATURES]
@@ -681,12 +682,16 @@ TEL_WITH = S.with_ctes(S.TELEMETRY)
 
 
 def trend(spark, d):
-    return tl.rolling_trend(telemetry(spark, d), ["ts"])
+    """The rolling trend, computed once for the events as they are, and its row count and spike threshold."""
+    rows = stored_table(spark, "trend", _inputs(d, "events"), lambda: tl.rolling_trend(telemetry(spark, d), ["ts"])[0])
+    fit = lambda: Profile({"rows": rows.count(), "spike_threshold": tl.spike_threshold(rows)})
+    known = Profile.load(spark, stored_folder(spark, "spikes", _inputs(d, "events"), lambda at: fit().save(spark, at)))
+    return rows, known["rows"], known.get("spike_threshold")
 
 
 @register("rolling_congestion", TEL_WITH + f"SELECT event_id, {S.r('rolling_congestion', 'rolling_congestion')} FROM trend")
 def rolling_congestion_q(spark, d):
-    t, _n = trend(spark, d)
+    t, _n, _thr = trend(spark, d)
     return out(t.select("event_id", "rolling_congestion"))
 
 
@@ -696,7 +701,7 @@ def rolling_congestion_q(spark, d):
     + f"SELECT event_id, {S.r('rolling_congestion', 'rolling_congestion')}, {S.r('rolling_mean', 'rolling_mean')}, {S.r('latency_rolling', 'latency_rolling')} FROM trend",
 )
 def rolling_trend_q(spark, d):
-    t, _n = trend(spark, d)
+    t, _n, _thr = trend(spark, d)
     return out(t.select("event_id", "rolling_congestion", "rolling_mean", "latency_rolling"))
 
 
@@ -706,8 +711,7 @@ def rolling_trend_q(spark, d):
     + f"SELECT event_id, {S.r('rolling_congestion', 'rolling_congestion')}, {S.r('thr', 'spike_threshold')} FROM trend, spk WHERE rolling_congestion > thr",
 )
 def congestion_spikes_q(spark, d):
-    t, _n = trend(spark, d)
-    thr = tl.spike_threshold(t)
+    t, _n, thr = trend(spark, d)
     return out(tl.congestion_spikes(t, thr).select("event_id", "rolling_congestion", "spike_threshold"))
 
 
@@ -719,8 +723,7 @@ def congestion_spikes_q(spark, d):
 FROM trend, spk WHERE idx >= n - 50""",
 )
 def recent_spike_status_q(spark, d):
-    t, n = trend(spark, d)
-    thr = tl.spike_threshold(t)
+    t, n, thr = trend(spark, d)
     return out(tl.recent_spike_status(t, n, thr))
 
 
@@ -772,6 +775,10 @@ def safety_overrides_q(spark, d):
     return out(sc.safety_overrides(f).select(*FLOW_KEYS, "final_pred", "final_prob", "override_prob"))
 
 
+def diagnosis(spark, d, f) -> dict:
+    return _profile(spark, d, "diagnosis", lambda: Profile(sc.diagnosis_thresholds(f))).values
+
+
 DIAG_SQL = """, dq AS (SELECT quantile_cont(latency, 0.75) AS lt, quantile_cont(throughput, 0.25) AS tt, quantile_cont(packet_loss, 0.9) AS pt FROM feat),
 dg AS (SELECT feat.*, (packet_loss > 0.3 OR packet_loss > pt) AS f_loss, latency > lt AS f_lat, throughput < tt AS f_tp FROM feat, dq)"""
 
@@ -786,7 +793,7 @@ SELECT {KEYS_SQL}, CASE WHEN found <> '' THEN found WHEN congestion = 1 THEN '{K
 )
 def root_causes_q(spark, d):
     f = features(spark, d)
-    th = sc.diagnosis_thresholds(f)
+    th = diagnosis(spark, d, f)
     r = sc.root_causes(f, th)
     return out(r.select(*FLOW_KEYS, F.array_join("root_causes", " | ").alias("root_causes")))
 
@@ -803,7 +810,7 @@ SELECT {KEYS_SQL}, CASE WHEN s <> '' THEN s ELSE '{K.SUGGEST_NORMAL}' END AS sug
 )
 def suggestions_q(spark, d):
     f = features(spark, d)
-    th = sc.diagnosis_thresholds(f)
+    th = diagnosis(spark, d, f)
     r = sc.suggestions(f, th, prob="congestion_score")
     return out(r.select(*FLOW_KEYS, F.array_join("suggestions", " | ").alias("suggestions")))
 
