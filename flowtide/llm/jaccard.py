@@ -496,8 +496,8 @@ def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, group_se
     weight = one.groupBy("grp").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("weight"))
     heavy = (F.col("members") > group_sets) | (F.col("weight") > group_shingles)
     one = one.join(weight.where("members > 1").select("grp", heavy.alias("large")), "grp")
-    # one pass over the texts for all groups
-    texts = rows.join(one, "doc_id").dropDuplicates(["doc_id", "name", "text"]).select("name", "grp", "large", "text")
+    # one pass over the texts for all groups; the same plan at every size
+    texts = rows.join(one.hint("merge"), "doc_id").dropDuplicates(["doc_id", "name", "text"]).select("name", "grp", "large", "text")
     sets = steps.keep("sets", texts.mapInArrow(_with_sets(k), SETS))
     links = sets.where("not large").groupBy("grp").applyInPandas(_tree_group(t), "a long, b long")
     if one.where("large").limit(1).count():
