@@ -15,7 +15,7 @@ in order and holds one batch.
 
 Rows: a null text is empty.  A text without words has the empty fingerprint;
 two of those have likeness 1, one and another text 0.  Null ids come first; rows
-of equal id are ordered by text.  A lone document is its own successor.  An
+of equal id are ordered by a hash of their text.  A lone document is its own successor.  An
 empty table gives no rows.
 """
 
