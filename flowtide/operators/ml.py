@@ -24,12 +24,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..session import ensure_checkpoint_dir
 from .analytics import binary_metrics, hash_unit
 from .features import prepare_features
 from .forest import NODE_COLUMNS, node_table
 from .profile import Profile, order_statistics
 
 FIT_PARTITIONS = 16
+#: The cap's hash is apart from both splits': by one of theirs it would keep rows of one side only.
+CAP_SEED = "cap"
 
 
 @dataclass
@@ -65,7 +68,7 @@ def split(df: DataFrame, key_cols: list[str], seed: int = K.SPLIT_SEED, test_fra
     return df.where(u >= test_fraction), df.where(u < test_fraction)
 
 
-def stratified_cap(df: DataFrame, key_cols: list[str], max_rows: int, target: str = "congestion", seed: int = K.MODEL_SEED) -> DataFrame:
+def stratified_cap(df: DataFrame, key_cols: list[str], max_rows: int, target: str = "congestion", seed: int | str = CAP_SEED) -> DataFrame:
     """At most ``max_rows`` rows with the classes' shares kept (a sampling operator).
 
     Each class keeps its rows of least key hash, below an exact order statistic
@@ -89,14 +92,23 @@ def stratified_cap(df: DataFrame, key_cols: list[str], max_rows: int, target: st
 
 
 def training_tables(df: DataFrame, key_cols: list[str], target: str = "congestion", max_train_rows: int = K.MAX_TRAIN_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Training and test rows with assembled features; the bounded training rows are kept."""
+    """Training and test rows with assembled features; the bounded training rows are kept.
+
+    Class weights are counted on the kept rows, not by further scans of the table.
+    """
     train, test = split(assemble(df), key_cols)
-    train = with_class_weights(stratified_cap(train, key_cols, max_train_rows, target), target)
-    train = train.repartition(FIT_PARTITIONS, *key_cols).sortWithinPartitions(*key_cols)
-    return train.persist(StorageLevel.MEMORY_AND_DISK), test
+    capped = stratified_cap(train, key_cols, max_train_rows, target).repartition(FIT_PARTITIONS, *key_cols).sortWithinPartitions(*key_cols)
+    capped = capped.persist(StorageLevel.MEMORY_AND_DISK)
+    train = with_class_weights(capped, target).persist(StorageLevel.MEMORY_AND_DISK)
+    train.count()
+    capped.unpersist()
+    return train, test
 
 
 def fit_forest(train: DataFrame, params: dict, target: str = "congestion"):
+    """A forest; each row's node of every tree is kept between levels, so a level costs the same
+    at any depth (without that, every level sends every row down all trees from the root)."""
+    ensure_checkpoint_dir(train.sparkSession)
     rf = RandomForestClassifier(
         featuresCol="features",
         labelCol=target,
@@ -105,6 +117,7 @@ def fit_forest(train: DataFrame, params: dict, target: str = "congestion"):
         maxDepth=params["maxDepth"],
         minInstancesPerNode=params["minInstancesPerNode"],
         featureSubsetStrategy="sqrt",
+        cacheNodeIds=True,
         seed=K.MODEL_SEED,
     )
     return rf.fit(train)
