@@ -11,7 +11,7 @@ from ..functions import constants as K
 from ..functions.columns import class_label, clip, finite, is_finite
 from ..session import ensure_checkpoint_dir
 from .clean import drop_non_finite
-from .profile import grouped_quantiles, lerp, quantiles
+from .profile import grouped_quantiles, join_groups, lerp, quantiles
 from .quality import _stack
 
 
@@ -78,10 +78,10 @@ def boxplot_stats(df: DataFrame, value: str = "log_latency", by: str = "congesti
     """
     q = grouped_quantiles(df, [by], value, [0.25, 0.5, 0.75]).withColumnRenamed("n", "_n")
     iqr = F.col("q2") - F.col("q0")
-    fences = q.select(by, "q0", "q1", "q2", iqr.alias("iqr"), (F.col("q0") - 1.5 * iqr).alias("_low"), (F.col("q2") + 1.5 * iqr).alias("_high"))
+    fences = q.select(by, "q0", "q1", "q2", iqr.alias("iqr"), (F.col("q0") - 1.5 * iqr).alias("_low"), (F.col("q2") + 1.5 * iqr).alias("_high")).checkpoint()
     rows = df.select(by, finite(F.col(value)).alias("_x")).where("_x is not null")
     x, low, high = F.col("_x"), F.col("_low"), F.col("_high")
-    out = rows.join(fences, by).groupBy(by, "q0", "q1", "q2", "iqr").agg(
+    out = join_groups(rows, fences, [by], "_x").groupBy(by, "q0", "q1", "q2", "iqr").agg(
         F.count(F.lit(1)).alias("n"),
         F.min(F.when(x >= low, x)).alias("whisker_low"),
         F.max(F.when(x <= high, x)).alias("whisker_high"),
@@ -152,7 +152,7 @@ def density_by_class(
     wide = (F.col("mx") - F.col("mn")) / F.lit(prebins)
     stats = stats.withColumns({"h": F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)), "w": wide}).checkpoint()
     bin_ = F.when(F.col("w") > 0, F.least(F.floor((F.col("x") - F.col("mn")) / F.col("w")), F.lit(prebins - 1))).otherwise(F.lit(0)).cast("int")
-    binned = rows.join(stats.select("_by", "mn", "w"), "_by").groupBy("_by", bin_.alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    binned = join_groups(rows, stats.select("_by", "mn", "w"), ["_by"], "x").groupBy("_by", bin_.alias("b")).agg(F.count(F.lit(1)).alias("c"))
     points = stats.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
     points = points.withColumn("grid_x", F.col("mn") + (F.col("mx") - F.col("mn")) * F.col("g") / F.lit(grid - 1))
     center = F.col("mn") + (F.col("b") + 0.5) * F.col("w")

@@ -293,6 +293,23 @@ def _step(x: Column, lo: Column, hi: Column) -> Column:
     return F.least(F.floor((x - lo) / width), F.lit(PARTS - 1).cast("long"))
 
 
+#: Groups that are sent to every executor; more are joined by shuffle, each hot group cut in ``SALTS``.
+BROADCAST_GROUPS = 100_000
+SALTS = 32
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], value: str) -> DataFrame:
+    """``rows`` with the columns of their group (``groups``: kept rows, few to each key).
+
+    A group's rows never meet in one task: a table of few groups is broadcast, whose
+    size is counted first, and a larger one is repeated for the salts of ``value``.
+    """
+    if groups.count() <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(groups), on)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int"))
+    return salted.join(groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*on, "_salt"]).drop("_salt")
+
+
 def grouped_quantiles(df: DataFrame, by: list[str], value: str | Column, qs: list[float], window_rows: int = 10_000) -> DataFrame:
     """One row per group: its columns, ``n`` and ``q0``, ``q1``, ... (exact, interpolated).
 
@@ -328,7 +345,7 @@ def grouped_quantiles(df: DataFrame, by: list[str], value: str | Column, qs: lis
         if most is None:
             break
         brackets = open_.select(*by, "cell", "lo", "hi", "below", "wanted")
-        rows = rows.select(*by, "cell", "x").join(brackets, [*by, "cell"])
+        rows = join_groups(rows.select(*by, "cell", "x"), brackets, [*by, "cell"], "x")
         if most <= window_rows:
             place = Window.partitionBy(*by, "cell").orderBy("x")
             ranked = rows.withColumn("k", F.col("below") + F.row_number().over(place) - 1)

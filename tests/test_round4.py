@@ -28,3 +28,23 @@ def test_forests_keep_the_rows_nodes_between_levels(spark, monkeypatch):
     monkeypatch.setattr(ml, "RandomForestClassifier", Spy)
     ml.fit_forest(spark.range(1), ml.K.RF_CANDIDATES[0])
     assert seen["kept"] and spark.sparkContext.getCheckpointDir()
+
+
+def test_a_class_is_not_joined_in_one_task(spark, monkeypatch):
+    from flowtide.operators import analytics, profile
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(4000).select((F.col("id") % 4 == 0).cast("int").alias("congestion"), F.log1p(F.col("id") % 1000).alias("log_latency"))
+        df = df.withColumn("log_throughput", F.col("log_latency"))
+        box, density = analytics.boxplot_stats(df), analytics.density_by_class(df)
+        joins = [line for d in (box, density) for line in d._jdf.queryExecution().toString().splitlines() if "Join" in line]
+        assert any("BroadcastHashJoin" in line for line in joins[:20])
+        assert "SortMergeJoin" not in box._jdf.queryExecution().executedPlan().toString()
+        want = [sorted(map(tuple, d.collect())) for d in (box, density)]
+        monkeypatch.setattr(profile, "BROADCAST_GROUPS", 0)  # as if there were many groups
+        got = [sorted(map(tuple, d.collect())) for d in (analytics.boxplot_stats(df), analytics.density_by_class(df))]
+        assert got[0] == want[0] and len(got[1]) == len(want[1]) == 200
+        assert all(abs(a[3] - b[3]) < 1e-9 for a, b in zip(got[1], want[1]))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
