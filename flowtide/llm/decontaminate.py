@@ -4,10 +4,10 @@ DataFrame functions only.
 
 1. Texts are lower-cased words of letters and digits; ``k``-word shingles are
    64-bit hashes, in order, as an array.
-2. A window can be similar to an item only if they share a shingle.  Every
-   shared shingle at position ``p`` of a document and ``o`` of an item proposes
-   the window of the item's size that starts at ``p - o`` (moved inside the text
-   at its ends).
+2. Of two shingle multisets of sizes ``n`` and ``m`` that are ``similarity`` alike,
+   ``similarity (n + m) / (1 + similarity)`` are common.  Every window of an item's size
+   that holds so many shingles of items of this size is looked at, wherever it starts
+   and however they are ordered; no other window can be similar to one.
 3. Each window's and item's SimHash has 300 bits: for each of five hashes of the
    shingles 64 counters, four in each of 16 longs, summed with multiplicity; 60 of
    the 64 bits are used.
@@ -110,13 +110,26 @@ def candidates(windows: DataFrame, items: DataFrame) -> DataFrame:
     return near.join(index, ["size", "block", "value"]).select("window", "item").distinct()
 
 
+def starts(similarity: float) -> Column:
+    """Starts of all windows of ``size`` shingles that hold enough of the places ``at`` (ascending) of a text of ``total``."""
+    at, size, total = F.col("at"), F.col("size"), F.col("total")
+    need = F.greatest(F.lit(1), F.ceil((size + F.least(size, total)) * F.lit(similarity / (1 + similarity)) - F.lit(1e-9)).cast("int"))
+
+    def first(j: Column) -> Column:  # the windows whose first held place is the j-th
+        low = F.greatest(F.lit(0), F.coalesce(F.get(at, j - 1), F.lit(-1)) + 1, F.get(at, j + need - 1) - size + 1)
+        high = F.least(F.get(at, j), F.greatest(F.lit(0), total - size))
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    return F.when(F.size(at) >= need, F.flatten(F.transform(F.sequence(F.lit(0), F.size(at) - need), first))).otherwise(F.array().cast("array<int>"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, k: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """Windows of documents that repeat a benchmark item.
 
     Rows: doc_id, item_id, start_word and n_words (of the best window), hamming,
     similarity.  Reads ``doc_id, text`` and ``item_id, text`` only.
     """
-    items, windows = fingerprints(docs, benchmark, k)
+    items, windows = fingerprints(docs, benchmark, k, similarity)
     far = hamming(F.col("w.fp"), F.col("i.fp"))
     both = candidates(windows, items).join(windows.alias("w"), "window").join(items.alias("i"), "item").where(far <= RADIUS)
     x, y = F.col("w.sh"), F.col("i.sh")
@@ -129,18 +142,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = WORDS, similarity: flo
     )
 
 
-def fingerprints(docs: DataFrame, benchmark: DataFrame, k: int = WORDS) -> tuple[DataFrame, DataFrame]:
+def fingerprints(docs: DataFrame, benchmark: DataFrame, k: int = WORDS, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Items (item, item_id, size, sh, fp) and windows (window, doc_id, start, size, sh, fp)."""
     known = with_shingles(benchmark.where("item_id is not null"), "item_id", k).where(F.size("sh") > 0).distinct()
     items = cut(fingerprinted(known).select(F.monotonically_increasing_id().alias("item"), "item_id", "sh", "fp", F.size("sh").alias("size")))
-    marks = items.select(F.posexplode("sh").alias("o", "h"), F.col("size")).groupBy("h", "o", "size").agg(F.lit(1).alias("x")).drop("x")
+    marks = items.select(F.explode("sh").alias("h"), F.col("size")).groupBy("h", "size").agg(F.lit(1).alias("x")).drop("x")
     if marks.count() <= BROADCAST_SHINGLES:
         marks = F.broadcast(marks)
     own = with_shingles(docs.where("doc_id is not null"), "doc_id", k)
     places = own.select("doc_id", F.size("sh").alias("total"), F.posexplode_outer("sh").alias("p", "h"))
-    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("o"), F.col("total") - F.col("size")))
-    proposed = cut(places.join(marks, "h").select("doc_id", "size", start.alias("start")).distinct())
+    held = places.join(marks, "h").groupBy("doc_id", "total", "size").agg(F.array_sort(F.collect_set("p")).alias("at"))
+    proposed = cut(held.select("doc_id", "total", "size", F.explode(starts(similarity)).alias("start")))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    hit = with_shingles(texts.join(proposed.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id", k)
-    cuts = hit.join(proposed, "doc_id").select("doc_id", "start", "size", F.slice("sh", F.col("start") + 1, F.col("size")).alias("sh")).where(F.size("sh") > 0)
+    hit = with_shingles(texts.join(proposed.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id", k).withColumn("total", F.size("sh"))
+    cuts = hit.join(proposed, ["doc_id", "total"]).select("doc_id", "start", "size", F.slice("sh", F.col("start") + 1, F.col("size")).alias("sh")).where(F.size("sh") > 0)
     return items, cut(fingerprinted(cuts).withColumn("window", F.monotonically_increasing_id()))
