@@ -67,35 +67,50 @@ def _reward(action: Column, p_old: Column, p_new: Column, lat_old, lat_new, tp_o
     )
 
 
-def priority_list(lat: Column, tp: Column, loss: Column, load: Column) -> Column:
-    found = F.filter(
-        F.array(
-            F.when(loss > K.PRIORITY_LOSS_ABOVE, F.lit("reduce_load")),
-            F.when(lat > K.PRIORITY_LATENCY_ABOVE, F.lit("reroute_traffic")),
-            F.when(tp < K.PRIORITY_MBPS_BELOW, F.lit("increase_bandwidth")),
-            F.when(load > K.PRIORITY_LOAD_ABOVE, F.lit("rebalance_towers")),
-        ),
-        lambda x: x.isNotNull(),
-    )
-    return F.when(F.size(found) > 0, found).otherwise(F.array(*[F.lit(a) for a in K.PRIORITY_FALLBACK]))
+def _priorities(lat: Column, tp: Column, loss: Column, load: Column) -> list[tuple[str, Column]]:
+    """The actions that a state may call for, by falling priority, each with its test."""
+    wants = [
+        ("reduce_load", loss > K.PRIORITY_LOSS_ABOVE),
+        ("reroute_traffic", lat > K.PRIORITY_LATENCY_ABOVE),
+        ("increase_bandwidth", tp < K.PRIORITY_MBPS_BELOW),
+        ("rebalance_towers", load > K.PRIORITY_LOAD_ABOVE),
+    ]
+    return [(a, F.coalesce(w, F.lit(False))) for a, w in wants]
 
 
 def priority_action(df: DataFrame) -> DataFrame:
-    """``_act`` from the priority policy with the per-row history (_h1, _h2, _n)."""
-    t = df.withColumn("_prios", priority_list(F.col("_lat"), F.col("_tp"), F.col("_loss"), F.col("_load")))
-    recent = F.when(F.col("_n") >= 2, F.array(F.col("_h1"), F.col("_h2"))).otherwise(F.array().cast("array<string>"))
-    t = t.withColumn("_fresh", F.filter(F.col("_prios"), lambda a: ~F.array_contains(recent, a)))
-    rot = F.element_at(F.col("_prios"), (F.col("_n") % F.size(F.col("_prios"))) + 1)
-    chosen = F.when(F.size(F.col("_fresh")) > 0, F.element_at(F.col("_fresh"), 1)).otherwise(rot)
-    t = t.withColumn("_act", F.when(F.col("_prob") < K.IDLE_BELOW, F.lit("do_nothing")).otherwise(chosen))
+    """``_act`` from the priority policy with the per-row history (_h1, _h2, _n).
+
+    The list of wanted actions is never built: plain flags name its first action
+    that is not recent, else the one whose turn it is.
+    """
+    wants = _priorities(F.col("_lat"), F.col("_tp"), F.col("_loss"), F.col("_load"))
+    t = df.withColumns({f"_w{i}": w for i, (_, w) in enumerate(wants)})
+    flags = [F.col(f"_w{i}") for i in range(len(wants))]
+    nothing = ~flags[0]
+    for w in flags[1:]:
+        nothing = nothing & ~w
+    listed = [(a, w) for (a, _), w in zip(wants, flags)] + [(a, F.col("_none")) for a in K.PRIORITY_FALLBACK]
+    ones = [w.cast("int") for w in flags]
+    t = t.withColumns({"_none": nothing, "_size": F.when(nothing, F.lit(len(K.PRIORITY_FALLBACK))).otherwise(sum(ones[1:], ones[0]))})
+    t = t.withColumn("_turn", F.col("_n") % F.col("_size"))
+    recent = lambda a: F.coalesce((F.col("_n") >= 2) & ((F.col("_h1") == a) | (F.col("_h2") == a)), F.lit(False))
+    fresh = turn = None
+    before = F.lit(0)
+    for a, w in listed:
+        first, due = w & ~recent(a), w & (F.col("_turn") == before)
+        fresh = F.when(first, F.lit(a)) if fresh is None else fresh.when(first, F.lit(a))
+        turn = F.when(due, F.lit(a)) if turn is None else turn.when(due, F.lit(a))
+        before = before + w.cast("int")
     idle = F.col("_prob") < K.IDLE_BELOW
+    t = t.withColumn("_act", F.when(idle, F.lit("do_nothing")).otherwise(F.coalesce(fresh, turn)))
     return t.withColumns(
         {
             "_h1": F.when(idle, F.lit(None).cast("string")).otherwise(F.col("_h2")),
             "_h2": F.when(idle, F.lit(None).cast("string")).otherwise(F.col("_act")),
             "_n": F.when(idle, F.lit(0)).otherwise(F.least(F.col("_n") + 1, F.lit(K.HISTORY_CAP))),
         }
-    ).drop("_prios", "_fresh")
+    ).drop(*[f"_w{i}" for i in range(len(wants))], "_none", "_size", "_turn")
 
 
 def rule_action_expr(lat: Column, tp: Column, loss: Column, load: Column, prob: Column) -> Column:
@@ -162,7 +177,7 @@ def _step(df: DataFrame, step: int) -> DataFrame:
         F.col("_load_b").alias("tower_load_before"),
         F.col("_prob_b").alias("congestion_prob_before"),
     )
-    t = t.withColumns({f"_log{step}": log, "_total_reward": F.col("_total_reward") + F.col("_rew")})
+    t = t.withColumns({f"_log{step}": log, f"_act{step}": F.col("_act"), "_total_reward": F.col("_total_reward") + F.col("_rew")})
     return t.drop("_lat_b", "_tp_b", "_loss_b", "_load_b", "_prob_b", "_rew", "_act")
 
 
@@ -209,8 +224,7 @@ def project(
         else:
             t = t.withColumn("_act", F.lit("do_nothing"))
         t = _step(t, s)
-    logs = F.array(*[F.col(f"_log{s}") for s in range(1, steps + 1)])
-    t = t.withColumn("log", logs)
+    t = t.withColumn("log", F.array(*[F.col(f"_log{s}") for s in range(1, steps + 1)]))
     t = t.withColumns(
         {
             "final_latency": F.col("_lat"),
@@ -219,10 +233,11 @@ def project(
             "final_tower_load": F.col("_load"),
             "final_prob": F.col("_prob"),
             "total_reward": F.col("_total_reward"),
-            "actions": F.transform(F.col("log"), lambda e: e["action"]),
+            # beside the log, which is not made where only the actions are read
+            "actions": F.array(*[F.col(f"_act{s}") for s in range(1, steps + 1)]),
         }
     )
-    return t.drop(*STATE, "_h1", "_h2", "_n", "_total_reward", *[f"_log{s}" for s in range(1, steps + 1)])
+    return t.drop(*STATE, "_h1", "_h2", "_n", "_total_reward", *[f"_{kind}{s}" for kind in ("log", "act") for s in range(1, steps + 1)])
 
 
 def simulator_state(df: DataFrame, lat: str, mbps: str, loss: str, load: str, prob: str | None = None) -> DataFrame:

@@ -48,3 +48,36 @@ def test_a_class_is_not_joined_in_one_task(spark, monkeypatch):
         assert all(abs(a[3] - b[3]) < 1e-9 for a, b in zip(got[1], want[1]))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_priority_action_against_plain_python(spark):
+    import random
+
+    from flowtide.functions import constants as K
+    from flowtide.operators import whatif as wi
+
+    rng = random.Random(4)
+    acts = ["reduce_load", "reroute_traffic", "increase_bandwidth", "rebalance_towers"]
+    rows = []
+    for i in range(1500):
+        n = rng.randrange(5)
+        rows.append((i, rng.uniform(0, 2.5) * K.PRIORITY_LATENCY_ABOVE, rng.uniform(0.2, 2) * K.PRIORITY_MBPS_BELOW, rng.choice([None, 0.0, 2.0]), rng.uniform(0, 100), rng.choice([0.01, 0.9]), rng.choice(acts) if n > 1 else None, rng.choice(acts) if n else None, n))
+    df = spark.createDataFrame(rows, "id int, _lat double, _tp double, _loss double, _load double, _prob double, _h1 string, _h2 string, _n int")
+    got = {r["id"]: r for r in wi.priority_action(df).collect()}
+    for i, lat, tp, loss, load, prob, h1, h2, n in rows:
+        tests = [loss is not None and loss > K.PRIORITY_LOSS_ABOVE, lat > K.PRIORITY_LATENCY_ABOVE, tp < K.PRIORITY_MBPS_BELOW, load > K.PRIORITY_LOAD_ABOVE]
+        found = [a for a, t in zip(acts, tests) if t] or list(K.PRIORITY_FALLBACK)
+        fresh = [a for a in found if n < 2 or a not in (h1, h2)]
+        act = "do_nothing" if prob < K.IDLE_BELOW else (fresh or [found[n % len(found)]])[0]
+        assert got[i]["_act"] == act
+        assert got[i]["_n"] == (0 if act == "do_nothing" else min(n + 1, K.HISTORY_CAP))
+
+
+def test_action_lists_need_no_step_logs(spark):
+    from flowtide.operators import whatif as wi
+
+    df = spark.createDataFrame([(900.0, 200.0, 0.4, 80.0, 0.7)], "a double, b double, c double, d double, e double")
+    p = wi.project(df, *"abcde", steps=3)
+    assert "reward_before" not in p.columns and "latency_before" not in p.select("actions")._jdf.queryExecution().optimizedPlan().toString()
+    row = p.select("actions", "log").first()
+    assert row["actions"] == [s["action"] for s in row["log"]]
