@@ -16,8 +16,9 @@ the sum of the conditional log-probabilities scores the document.
    word's share says.
 3. The network (a tanh layer, a softmax over the experts) weighs the experts by
    how often each neighbour occurs.  It never sees the masked word, so the
-   mixture is a distribution over words.  Its size is fixed; it is trained on
-   about ``WINDOWS`` windows of about ``CHUNKS`` chunks.
+   mixture is a distribution over words.  Its size is fixed; it learns from every
+   window of the corpus: each chunk trains the same start on its own windows, and
+   the chunks' weights are averaged by their windows.
 4. Each chunk's texts are scored beside its totals.
 
 Words: runs of characters other than 0x20, 0x09-0x0D, with A-Z lower-cased; a
@@ -43,7 +44,7 @@ CHUNK_BYTES = 3_000_000
 REACH = 2
 EXPERTS = 2 + 2 * REACH
 HIDDEN = 16
-WINDOWS, CHUNKS = 100_000, 32
+BATCH, LEAST_STEPS = 2048, 150
 KEY_BITS = 56
 EDGE = np.uint64(0x5851F42D4C957F2D)
 
@@ -228,40 +229,59 @@ class Gate:
         out = [np.log((self.forward(seen[i : i + step])[1] * p[i : i + step]).sum(axis=1)) for i in range(0, len(p), step)]
         return np.concatenate([np.zeros(0), *out])
 
-    def train(self, seen: np.ndarray, p: np.ndarray, steps: int = 150, rate: float = 0.05) -> Gate:
-        """Full-batch gradient steps (Adam) on the mean log-probability."""
-        m, v = {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}
-        for t in range(1, steps + 1 if len(p) else 1):
-            h, weight = self.forward(seen)
-            share = weight * p
+    def train(self, seen: np.ndarray, p: np.ndarray, batch: int = BATCH, least: int = LEAST_STEPS, rate: float = 0.05) -> Gate:
+        """Gradient steps (Adam, falling rate) on the mean log-probability of batches that each spread over all windows.
+
+        Every window is seen once, and again only where that makes fewer than ``least`` steps.
+        """
+        seen, p = seen.astype(np.float32), p.astype(np.float32)
+        net = {k: x.astype(np.float32) for k, x in self.p.items()}
+        m, v = ({k: np.zeros_like(x) for k, x in net.items()} for _ in range(2))
+        each = -(-len(p) // batch)
+        steps = each * -(-least // each) if each else 0
+        for t in range(1, steps + 1):
+            x, q = seen[t % each :: each], p[t % each :: each]
+            h = np.tanh(x @ net["v"] + net["a"])
+            weight = h @ net["w"] + net["b"]
+            weight = np.exp(weight - weight.max(axis=1, keepdims=True))
+            weight /= weight.sum(axis=1, keepdims=True)
+            share = weight * q
             share /= share.sum(axis=1, keepdims=True)
-            d = (weight - share) / len(p)
-            dh = (d @ self.p["w"].T) * (1 - h * h)
-            grad = {"w": h.T @ d, "b": d.sum(axis=0), "v": seen.T @ dh, "a": dh.sum(axis=0)}
+            d = (weight - share) / np.float32(len(q))
+            dh = (d @ net["w"].T) * (1 - h * h)
+            grad = {"w": h.T @ d, "b": d.sum(axis=0), "v": x.T @ dh, "a": dh.sum(axis=0)}
+            now = rate * (1 - (t - 1) / steps)
             for k, g in grad.items():
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.999 * v[k] + 0.001 * g * g
-                self.p[k] = self.p[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+                net[k] = (net[k] - now * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
+        self.p = {k: x.astype(float) for k, x in net.items()}
+        return self
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in self.p.values()])
+
+    def fill(self, values: np.ndarray) -> Gate:
+        ends = np.cumsum([x.size for x in self.p.values()])[:-1]
+        self.p = {k: part.reshape(x.shape) for (k, x), part in zip(self.p.items(), np.split(values, ends))}
         return self
 
 
 def trained(chunks: DataFrame, totals: DataFrame, distinct: int, all_words: int) -> Gate:
-    """A network fitted on windows chosen by a hash of their words."""
-    some = [r["chunk"] for r in chunks.select("chunk").orderBy(F.xxhash64("chunk"), "chunk").limit(CHUNKS).collect()]
-    few = lambda df: df.where(F.col("chunk").isin(some))
-    share = min(1.0, WINDOWS * chunks.count() / max(1, all_words * len(some)))
-    names = [f"x{i}" for i in range(2 * REACH + EXPERTS)]
+    """The mean of the networks that all chunks train on all their windows, weighed by how many those are."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        _, w, seen, p = _of_chunk(left, right, distinct, all_words)
-        first = w.cuts[2]
-        pick = mix(w.all[first + w.at - 1] ^ mix(w.all[first + w.at].copy())) < np.uint64(min(2**64 - 1, int(share * 2**64)))
-        return pa.Table.from_arrays([pa.array(c) for c in np.concatenate([seen[pick], p[pick]], axis=1, dtype=float).T], names=names)
+        _, _, seen, p = _of_chunk(left, right, distinct, all_words)
+        own = Gate().train(seen, p).flat()
+        return pa.table({"place": pa.array(range(len(own)), pa.int32()), "windows": pa.array([len(p)] * len(own), pa.int64()), "value": own * len(p)})
 
     with cleaning(chunks.sparkSession):
-        got = few(chunks).groupBy("chunk").cogroup(few(totals).groupBy("chunk")).applyInArrow(run, ", ".join(f"{x} double" for x in names)).toPandas()
-    x = got.sort_values(names)[names].to_numpy(float)
-    return Gate().train(x[:, : 2 * REACH], x[:, 2 * REACH :])
+        each = chunks.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(run, "place int, windows long, value double")
+        # decimals: their sum does not depend on the order of the chunks
+        got = each.groupBy("place").agg(F.sum("windows").alias("n"), F.sum(F.col("value").cast("decimal(30,10)")).alias("s")).orderBy("place").collect()  # a row per weight
+    if not got or not got[0]["n"]:
+        return Gate()
+    return Gate().fill(np.array([float(r["s"]) / r["n"] for r in got]))
 
 
 OUT = "doc_id long, n_words long, log_likelihood double, mean_log_likelihood double"

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -272,3 +273,22 @@ def test_pseudo_likelihood_predicts_words(spark):
     got = {r["doc_id"]: r["log_likelihood"] for r in scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1000] > got[1001] + 1 and got[None] == pytest.approx(got[1000]) and got[1002] == 0
     assert scores(_empty(spark)).count() == 0
+
+
+def test_pseudo_likelihood_network_learns_from_every_chunk(spark):
+    """The network is the mean of all chunks' networks by their windows, however many chunks there are."""
+    from flowtide.llm import pseudolikelihood as pl
+
+    rows = [(i, " ".join(f"w{i * j % 17}" for j in range(5 + i % 9))) for i in range(120)]
+    chunks, totals = pl.counted(spark.createDataFrame(rows, "doc_id long, text string"), 60)
+    size = totals.groupBy().sum("distinct_words", "words").first()
+    want, windows, n = 0, 0, 0
+    parts = totals.toArrow().to_pandas()
+    for left in chunks.toArrow().to_batches():
+        for r in range(left.num_rows):
+            own = pa.Table.from_batches([left.slice(r, 1)])
+            right = pa.Table.from_pandas(parts[parts["chunk"] == own.column("chunk")[0].as_py()])
+            _, _, seen, p = pl._of_chunk(own, right, *size)
+            want, windows, n = want + pl.Gate().train(seen, p).flat() * len(p), windows + len(p), n + 1
+    assert n > 40 and windows == size[1]
+    assert pl.trained(chunks, totals, *size).flat() == pytest.approx(want / windows, abs=1e-6)
