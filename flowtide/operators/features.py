@@ -263,7 +263,7 @@ def legacy_features(df: DataFrame) -> DataFrame:
     return drop_non_finite(out.drop("_packets", "_bytes"), K.FEATURES)
 
 
-def legacy_engineered(df: DataFrame, order_cols: list[str], method: str = "exact", block_rows: int = 1_000_000) -> DataFrame:
+def legacy_engineered(df: DataFrame, order_cols: list[str], method: str = "exact", block_rows: int = 100_000) -> DataFrame:
     """Normalised features, rolling-3 means in row order, ratios and the 0/1 flag."""
     ext = df.agg(
         F.min(nan_to_null(F.col("latency"))).alias("lmn"),
@@ -292,8 +292,8 @@ def legacy_engineered(df: DataFrame, order_cols: list[str], method: str = "exact
         return out.withColumn("congestion_flag", F.col("congestion").cast("int"))
     if "congestion_flag" in out.columns:
         return out
-    # the score does not use the rolling columns, so its quantile is fitted without them
-    thr = quantiles(with_risk_score(df, "_score"), {"s": ("_score", [K.TARGET_Q])}, method=method)["s"][0]
+    # the score does not use the rolling columns, so its quantile is fitted without them, on the rows kept by the index
+    thr = quantiles(with_risk_score(indexed, "_score"), {"s": ("_score", [K.TARGET_Q])}, method=method)["s"][0]
     return with_risk_score(out, "_score").withColumn("congestion_flag", (F.col("_score") >= F.lit(thr)).cast("int")).drop("_score")
 
 

@@ -311,7 +311,9 @@ def legacy_features_q(spark, d):
        CAST(0 AS INTEGER) AS hour_of_day, CAST(score >= p75 AS INTEGER) AS congestion_flag FROM ln1, lq""",
 )
 def legacy_engineered_q(spark, d):
-    e = feat_ops.legacy_engineered(feat_ops.legacy_features(flows(spark, d)), FLOW_ORDER)
+    # the index keeps its rows: only the columns that are used
+    rows = feat_ops.legacy_features(flows(spark, d)).select(*dict.fromkeys([*FLOW_KEYS, *FLOW_ORDER, *K.FEATURES]))
+    e = feat_ops.legacy_engineered(rows, FLOW_ORDER)
     return out(
         e.select(
             *FLOW_KEYS, "latency_norm", "throughput_norm", "rolling_latency_mean", "rolling_throughput_mean", "load_ratio",
