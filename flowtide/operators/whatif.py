@@ -123,8 +123,11 @@ def rule_action_expr(lat: Column, tp: Column, loss: Column, load: Column, prob:
     )
 
 
-def greedy_action(df: DataFrame) -> DataFrame:
-    """``_act`` = action with the highest one-step reward; first in order wins ties."""
+def greedy_action(df: DataFrame, reward: str | None = None) -> DataFrame:
+    """``_act`` = action with the highest one-step reward; first in order wins ties.
+
+    ``reward`` names a column for that reward.
+    """
     lat, tp, loss, load, p = (F.col(c) for c in STATE)
     cols = {}
     for i, a in enumerate(K.ACTIONS):
@@ -143,6 +146,8 @@ def greedy_action(df: DataFrame) -> DataFrame:
         cond = F.col(f"_gr{i}") == F.col("_gbest")
         act = F.when(cond, F.lit(a)) if act is None else act.when(cond, F.lit(a))
     t = t.withColumn("_act", act)
+    if reward:
+        t = t.withColumn(reward, F.col("_gbest"))
     return t.drop(*[c for c in t.columns if c.startswith("_g")])
 
 

@@ -84,7 +84,7 @@ def features(spark, d) -> DataFrame:
 
 
 def states(spark, d) -> DataFrame:
-    return states_from_features(features(spark, d), prob="risk")
+    return states_from_features(scored(spark, d), prob="risk")  # no state depends on the target
 
 
 def telemetry(spark, d):
@@ -1152,15 +1152,8 @@ SELECT {KEYS_SQL}, {act} AS best_action, {S.r(best, 'best_reward')} FROM gb"""
 
 @register("best_single_action", ST_WITH + SIM_SRC + _best_sql())
 def best_single_action_q(spark, d):
-    t = _sim_cols(sim_state(spark, d))
-    lat, tp, loss, load, p = (F.col(c) for c in wi.STATE)
-    g = wi.greedy_action(t)
-    e = wi._effect(F.col("_act"), lat, tp, loss, load)
-    g = g.withColumns({"_nl": e["lat"], "_nt": e["tp"], "_ns": e["loss"]})
-    pn = wi._prob(F.col("_nl"), F.col("_ns"), F.col("_nt"))
-    g = g.withColumn("_np", pn)
-    rew = wi._reward(F.col("_act"), p, F.col("_np"), lat, F.col("_nl"), tp, F.col("_nt"))
-    return out(g.select(*FLOW_KEYS, F.col("_act").alias("best_action"), rew.alias("best_reward")))
+    g = wi.greedy_action(_sim_cols(sim_state(spark, d)), reward="best_reward")
+    return out(g.select(*FLOW_KEYS, F.col("_act").alias("best_action"), "best_reward"))
 
 
 def _strategy_sql() -> str:
