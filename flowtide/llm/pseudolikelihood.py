@@ -44,7 +44,7 @@ CHUNK_BYTES = 3_000_000
 REACH = 2
 EXPERTS = 2 + 2 * REACH
 HIDDEN = 16
-BATCH, LEAST_STEPS = 2048, 150
+BATCH, LEAST_STEPS = 512, 150
 KEY_BITS = 56
 EDGE = np.uint64(0x5851F42D4C957F2D)
 
