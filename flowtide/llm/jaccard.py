@@ -218,9 +218,10 @@ def _emit(k: int, t: Threshold, buckets: int, flush: int = 250_000):
                 key, a, need = part_keys(*sets_of(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], k), t)
                 cols.append((key.view(np.uint64), a, need.astype(np.int32)))
                 held += len(key)
-            if held > flush:
-                yield from out(cols)
-                cols, held = [], 0
+                # within a batch too: one batch of long texts has millions of keys
+                if held > flush:
+                    yield from out(cols)
+                    cols, held = [], 0
         if held:
             yield from out(cols)
 
