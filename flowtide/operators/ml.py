@@ -14,9 +14,13 @@ partitions, so a model depends neither on the number of cores nor on the files.
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Callable, Iterator
+from concurrent.futures import Future, ThreadPoolExecutor, wait
+from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -31,6 +35,9 @@ from .forest import NODE_COLUMNS, node_table
 from .profile import Profile, order_statistics
 
 FIT_PARTITIONS = 16
+#: Fits and writes that go on at once.  One fit has fewer tasks a level than a cluster has cores,
+#: and none between levels; what a second one adds fills the gap.
+AT_ONCE = 2
 #: The cap's hash is apart from both splits': by one of theirs it would keep rows of one side only.
 CAP_SEED = "cap"
 
@@ -51,6 +58,37 @@ class Fitted:
         self.test.unpersist()
 
 
+@contextmanager
+def side_by_side(spark: SparkSession, at_once: int = AT_ONCE) -> Iterator[Callable[..., Future]]:
+    """A ``start(function, *arguments)`` whose calls run on Spark side by side, begun in order.
+
+    At the end of the block those that have not begun are dropped and the jobs of those that
+    still run are cancelled: ask for the results that are needed before.
+    """
+    sc, tag, begun = spark.sparkContext, f"side-by-side-{uuid.uuid4().hex}", []
+
+    def tagged(call: Callable, *args):
+        sc.addJobTag(tag)
+        try:
+            return call(*args)
+        finally:
+            sc.removeJobTag(tag)
+
+    def start(call: Callable, *args) -> Future:
+        begun.append(pool.submit(inheritable_thread_target(spark)(tagged), call, *args))
+        return begun[-1]
+
+    pool = ThreadPoolExecutor(at_once)
+    try:
+        yield start
+    finally:
+        pool.shutdown(wait=False, cancel_futures=True)
+        # a call between two jobs has none to cancel yet
+        while any(not f.done() for f in begun):
+            sc.cancelJobsWithTag(tag)
+            wait(begun, timeout=0.2)
+
+
 def assemble(df: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=K.FEATURES, outputCol="features").transform(prepare_features(df))
 
@@ -135,21 +173,27 @@ def evaluate(model, test: DataFrame, target: str = "congestion", threshold: floa
 
 
 def candidate_ladder(train: DataFrame, valid: DataFrame, candidates=None, target: str = "congestion"):
-    """Fit candidates in order; stop at the first with accuracy in the band or below it.
+    """Candidates in order up to the first with accuracy in the band or below it.
 
-    Returns (chosen parameters, fitted models, report rows)."""
+    While a candidate is fitted the next one is too, whose fit is given up if it is not
+    needed.  Returns (chosen parameters, fitted models, report rows)."""
     candidates = candidates or K.RF_CANDIDATES
     lo, hi = K.ACCURACY_BAND
     report, models = [], []
-    for i, params in enumerate(candidates):
+
+    def fit(params):
         model = fit_forest(train, params, target)
-        models.append(model)
-        m = evaluate(model, valid, target)
-        imp = dict(zip(K.FEATURES, model.featureImportances.toArray().tolist()))
-        report.append((i, params["numTrees"], params["maxDepth"], params["minInstancesPerNode"], m["accuracy"], m["precision"], m["recall"], m["f1"],
-                       imp["latency"], imp["throughput"], imp["packet_loss"]))
-        if m["accuracy"] <= hi:
-            break
+        return model, evaluate(model, valid, target)
+
+    with side_by_side(train.sparkSession) as start:
+        for i, (params, fitted) in enumerate([(p, start(fit, p)) for p in candidates]):
+            model, m = fitted.result()
+            models.append(model)
+            imp = dict(zip(K.FEATURES, model.featureImportances.toArray().tolist()))
+            report.append((i, params["numTrees"], params["maxDepth"], params["minInstancesPerNode"], m["accuracy"], m["precision"], m["recall"], m["f1"],
+                           imp["latency"], imp["throughput"], imp["packet_loss"]))
+            if m["accuracy"] <= hi:
+                break
     return params, models, report
 
 
@@ -174,17 +218,19 @@ def save_run(spark: SparkSession, fitted: Fitted, path: str, profile: Profile |
     """A training run as a folder: the forest, all forests' nodes, the logistic
     coefficients, the ladder's report, the training and test rows, the feature
     means and, where given, the profile that made the features."""
-    fitted.train.write.parquet(f"{path}/train")
-    fitted.test.write.parquet(f"{path}/test")
-    save_model(fitted.model, f"{path}/model")
-    for i, model in enumerate(fitted.models):
-        save_model(model, f"{path}/candidates/{i}")
-    nodes = node_table(spark, f"{path}/model").withColumn("candidate", F.lit(SELECTED))
-    for i in range(len(fitted.models)):
-        nodes = nodes.unionByName(node_table(spark, f"{path}/candidates/{i}").withColumn("candidate", F.lit(i)))
+    places = [f"{path}/model", *[f"{path}/candidates/{i}" for i in range(len(fitted.models))]]
+    with side_by_side(spark) as start:
+        logistic = start(fit_logistic, fitted.train)
+        done = [start(lambda: fitted.test.write.parquet(f"{path}/test")), start(lambda: fitted.train.write.parquet(f"{path}/train"))]
+        done += [start(save_model, model, place) for model, place in zip([fitted.model, *fitted.models], places)]
+        model, importance = logistic.result()
+        for f in done:
+            f.result()
+    nodes = node_table(spark, places[0]).withColumn("candidate", F.lit(SELECTED))
+    for i, place in enumerate(places[1:]):
+        nodes = nodes.unionByName(node_table(spark, place).withColumn("candidate", F.lit(i)))
     nodes.write.parquet(f"{path}/nodes")
     spark.createDataFrame(fitted.report, REPORT).write.parquet(f"{path}/report")
-    model, importance = fit_logistic(fitted.train)
     terms = [float(model.intercept), *map(float, model.coefficients.toArray()), *[float(importance[c]) for c in K.FEATURES]]
     names = ["intercept", *[f"coefficient_{c}" for c in K.FEATURES], *[f"importance_{c}" for c in K.FEATURES]]
     spark.createDataFrame([tuple(terms)], ", ".join(f"{n} double" for n in names)).write.parquet(f"{path}/logistic")
