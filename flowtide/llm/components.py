@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
+#: Tasks of a round: one for so many edges, and a few at least.  A round has seven stages of little
+#: work; with a task for each shuffle partition the start of tasks would be most of it.
+TASK_EDGES = 16_384
+LEAST_TASKS = 8
+
+
 def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
     """``node, root`` for every node of the edges; the root is the least node.
 
@@ -21,12 +27,16 @@ def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
     )
     mark = _mark(now)
     while True:
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v")))
-        now = cut(small.distinct())
+        tasks = max(LEAST_TASKS, -(-mark[0] // TASK_EDGES))
+        # a node without neighbours below it is the least beside its neighbours above
+        least = now.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m")).coalesce(tasks)
+        large = now.join(least, "v", "left").select("u", F.coalesce("m", "v").alias("v"))
+        large = large.coalesce(tasks).distinct().coalesce(tasks)
+        least = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks)
+        # the row of the least neighbour stays for the node itself
+        hung = F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v"))
+        small = large.join(least, "u").select(hung.alias("u"), F.col("m").alias("v"))
+        now = cut(small.coalesce(tasks).distinct().coalesce(tasks))
         seen = _mark(now)
         if seen == mark:
             break
