@@ -154,7 +154,7 @@ ACCURACY_BAND = (0.85, 0.99)
 MODEL_SEED = 42
 SPLIT_SEED = 99
 MIN_ACCURACY = 0.80
-MAX_TRAIN_ROWS = 1_000_000  # rows a model is fitted on at most
+ROW_FIT_ROWS = 1_000_000  # up to so many rows a forest is fitted row by row; the rows of more are counted in cells first
 MIN_IMPORTANCE = {"latency": 0.12, "throughput": 0.08, "packet_loss": 0.10}
 MIN_PROBABILITY_DELTA = {"latency": 0.03, "packet_loss": 0.08}
 PROBES = [

@@ -6,9 +6,13 @@ Spark's binned splits have no ``min_samples_split``; the candidate is chosen on
 a validation split of the training rows, not on the test split, and then fitted
 again on all of them.
 
-The rows of a fit are bounded by ``max_train_rows``, have their class weights
-counted on themselves alone, and are dealt by key into a fixed number of
-partitions, so a model depends neither on the number of cores nor on the files.
+A model is fitted on every training row, unless the caller names ``max_train_rows``;
+class weights are counted on the rows of the fit alone.  Up to ``K.ROW_FIT_ROWS``
+rows are kept and dealt by key into a fixed number of partitions, and pyspark reads
+them at every level of its trees.  More rows are counted in the cells of the forest's
+bins once (``cells.py``), which no number of rows makes larger.  So a forest depends
+neither on the number of cores nor on the files; the logistic coefficients of a large
+table depend on them in the last digits, since their sums are made partition by partition.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..session import ensure_checkpoint_dir
 from .analytics import binary_metrics, hash_unit
+from .cells import ROWS, Cells, count_cells, fit_cells
 from .features import prepare_features
 from .forest import NODE_COLUMNS, node_table
 from .profile import Profile, order_statistics
@@ -101,7 +106,11 @@ def with_class_weights(df: DataFrame, target: str = "congestion") -> DataFrame:
     return df.join(F.broadcast(w), target)
 
 
-def split(df: DataFrame, key_cols: list[str], seed: int = K.SPLIT_SEED, test_fraction: float = 0.2) -> tuple[DataFrame, DataFrame]:
+#: Share of the test rows, and of the validation rows among the training rows.
+VALID_FRACTION = 0.2
+
+
+def split(df: DataFrame, key_cols: list[str], seed: int = K.SPLIT_SEED, test_fraction: float = VALID_FRACTION) -> tuple[DataFrame, DataFrame]:
     u = hash_unit(seed, key_cols)
     return df.where(u >= test_fraction), df.where(u < test_fraction)
 
@@ -116,7 +125,7 @@ def stratified_cap(df: DataFrame, key_cols: list[str], max_rows: int, target: st
     labelled = df.where(F.col(target).isNotNull())
     if max_rows <= 0:
         return labelled
-    counts = {int(r[0]): r[1] for r in labelled.groupBy(target).agg(F.count(F.lit(1))).collect()}
+    counts = class_counts(labelled, target)
     total = sum(counts.values())
     if total <= max_rows:
         return labelled
@@ -129,23 +138,54 @@ def stratified_cap(df: DataFrame, key_cols: list[str], max_rows: int, target: st
     return labelled.where(keep)
 
 
-def training_tables(df: DataFrame, key_cols: list[str], target: str = "congestion", max_train_rows: int = K.MAX_TRAIN_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Training and test rows with assembled features; the bounded training rows are kept.
+def class_counts(df: DataFrame, target: str = "congestion") -> dict[int, int]:
+    return {int(r[0]): r[1] for r in df.groupBy(target).agg(F.count(F.lit(1))).collect()}
+
 
-    Class weights are counted on the kept rows, not by further scans of the table.
+def training_tables(df: DataFrame, key_cols: list[str], target: str = "congestion", max_train_rows: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Training and test rows with assembled features; up to ``K.ROW_FIT_ROWS`` training rows are kept.
+
+    All training rows, unless ``max_train_rows`` bounds them; class weights are counted on them.
     """
+    return _training_tables(df, key_cols, target, max_train_rows)[:2]
+
+
+def _training_tables(df: DataFrame, key_cols: list[str], target: str, max_train_rows: int) -> tuple[DataFrame, DataFrame, dict[int, int]]:
+    """Training and test rows, and the training rows by class."""
     train, test = split(assemble(df), key_cols)
-    capped = stratified_cap(train, key_cols, max_train_rows, target).repartition(FIT_PARTITIONS, *key_cols).sortWithinPartitions(*key_cols)
-    capped = capped.persist(StorageLevel.MEMORY_AND_DISK)
-    train = with_class_weights(capped, target).persist(StorageLevel.MEMORY_AND_DISK)
+    train = stratified_cap(train, key_cols, max_train_rows, target)
+    counts = class_counts(train, target)
+    if sum(counts.values()) > K.ROW_FIT_ROWS:
+        weight = F.lit(None).cast("double")
+        for c, w in balanced(counts).items():
+            weight = F.when(F.col(target) == c, F.lit(w)).otherwise(weight)
+        return train.withColumn("weight", weight), test, counts
+    kept = train.repartition(FIT_PARTITIONS, *key_cols).sortWithinPartitions(*key_cols).persist(StorageLevel.MEMORY_AND_DISK)
+    train = with_class_weights(kept, target).persist(StorageLevel.MEMORY_AND_DISK)
     train.count()
-    capped.unpersist()
-    return train, test
+    kept.unpersist()
+    return train, test, counts
+
+
+def balanced(counts: dict[int, int]) -> dict[int, float]:
+    """Class weights n / (2 * n_class)."""
+    return {c: sum(counts.values()) / (2.0 * n) for c, n in counts.items()}
+
+
+@dataclass
+class CellRows:
+    """Counted training rows in the place of a table of them."""
+
+    sparkSession: SparkSession
+    cells: Cells
+    weights: tuple[float, float]
 
 
-def fit_forest(train: DataFrame, params: dict, target: str = "congestion"):
+def fit_forest(train: DataFrame | CellRows, params: dict, target: str = "congestion"):
     """A forest; each row's node of every tree is kept between levels, so a level costs the same
     at any depth (without that, every level sends every row down all trees from the root)."""
+    if isinstance(train, CellRows):
+        return fit_cells(train.sparkSession, train.cells, train.weights, params, target)
     ensure_checkpoint_dir(train.sparkSession)
     rf = RandomForestClassifier(
         featuresCol="features",
@@ -168,11 +208,11 @@ def predict(model, df: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def evaluate(model, test: DataFrame, target: str = "congestion", threshold: float = 0.5) -> dict:
-    m = binary_metrics(predict(model, test, threshold), target, "pred").collect()[0]
+    m = binary_metrics(predict(model, test, threshold), target, "pred", ROWS if ROWS in test.columns else None).collect()[0]
     return m.asDict()
 
 
-def candidate_ladder(train: DataFrame, valid: DataFrame, candidates=None, target: str = "congestion"):
+def candidate_ladder(train: DataFrame | CellRows, valid: DataFrame, candidates=None, target: str = "congestion"):
     """Candidates in order up to the first with accuracy in the band or below it.
 
     While a candidate is fitted the next one is too, whose fit is given up if it is not
@@ -197,12 +237,21 @@ def candidate_ladder(train: DataFrame, valid: DataFrame, candidates=None, target
     return params, models, report
 
 
-def fit_selected(df: DataFrame, key_cols: list[str], candidates=None, target: str = "congestion", max_train_rows: int = K.MAX_TRAIN_ROWS) -> Fitted:
+def fit_selected(df: DataFrame, key_cols: list[str], candidates=None, target: str = "congestion", max_train_rows: int = 0) -> Fitted:
     """Choose a candidate on a validation split of the training rows, then fit it on all of them."""
-    train, test = training_tables(df, key_cols, target, max_train_rows)
+    train, test, counts = _training_tables(df, key_cols, target, max_train_rows)
     part, valid = split(train, key_cols, seed=K.MODEL_SEED)
+    rows = train
+    if sum(counts.values()) > K.ROW_FIT_ROWS:
+        if not set(counts) <= {0, 1}:
+            raise ValueError(f"the classes are 0 and 1, not {sorted(counts)}")
+        weights = tuple(balanced(counts).get(c, 0.0) for c in (0, 1))
+        of_part, of_valid, of_all = count_cells(train.withColumn("_part", hash_unit(K.MODEL_SEED, key_cols) >= VALID_FRACTION), "_part", weights, target)
+        part, rows = (CellRows(df.sparkSession, c, weights) for c in (of_part, of_all))
+        # a forest's answer is one for all rows of a cell
+        valid = of_valid.table(df.sparkSession, target)
     params, models, report = candidate_ladder(part, valid, candidates, target)
-    return Fitted(fit_forest(train, params, target), params, models, report, train, test)
+    return Fitted(fit_forest(rows, params, target), params, models, report, train, test)
 
 
 #: Columns of the ladder's report, a row per candidate.
