@@ -4,8 +4,9 @@ A stored forest is read back as one row per node: tree, node, feature and
 threshold of its split (rows at or below it go left), its children, the weight of
 the training rows that reached it, the gain of its split and the share of class 1
 among its rows.  That table scores rows without the library that trained the
-forest: ``score_nodes`` descends all trees at once over Arrow batches, and the
-same table can be descended by a recursive SQL query (``plans/sqlforest.py``).
+forest: ``score_nodes`` descends all trees at once over Arrow batches, once for
+each cell between the forest's cuts that rows fall into, and the same table can be
+descended by a recursive SQL query (``plans/sqlforest.py``).
 
 The size of a node table is bounded by the forest's parameters (trees x
 2^depth), not by the data, so it may be sent to every executor.
@@ -13,12 +14,15 @@ The size of a node table is bounded by the forest's parameters (trees x
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from .store import scratch_folder
 
 NODE_COLUMNS = ["tree", "node", "feature", "threshold", "left_child", "right_child", "weight", "gain", "share"]
 
@@ -42,8 +46,25 @@ def node_table(spark: SparkSession, model_path: str) -> DataFrame:
     )
 
 
+#: Up to so many cells between a forest's cuts have their answers kept (8 bytes each).
+MOST_CELLS = 1 << 22
+
+
+def stored_nodes(spark: SparkSession, model) -> DataFrame:
+    """The nodes of a fitted forest, which is stored for it."""
+    path = scratch_folder(spark, "forest")
+    model.write().save(path)
+    return node_table(spark, path)
+
+
 class NodeArrays:
-    """All trees' nodes as flat arrays; a leaf is its own child."""
+    """All trees' nodes as flat arrays; a leaf is its own child.
+
+    A tree compares a feature with its cuts alone, so all rows between the same cuts of
+    every feature take the same way: a histogram forest of three features has 32^3 such
+    cells at most, however many rows it scores.  A cell is descended when its first row
+    comes and its answer is kept.
+    """
 
     def __init__(self, nodes: pd.DataFrame):
         nodes = nodes.sort_values(["tree", "node"])
@@ -56,9 +77,26 @@ class NodeArrays:
         self.threshold = nodes["threshold"].fillna(np.inf).to_numpy()
         self.share = nodes["share"].to_numpy()
         self.roots = own[(nodes["node"] == 0).to_numpy()]
+        inner = ~leaf
+        self.cuts = [np.unique(self.threshold[inner & (self.feature == f)]) for f in range(self.feature.max(initial=0) + 1)]
+        self.known = None
 
-    def probability(self, x: np.ndarray, rows: int = 4096) -> np.ndarray:
+    def probability(self, x: np.ndarray) -> np.ndarray:
         """Mean share of class 1 over the leaves that every row reaches."""
+        size = tuple(len(c) + 1 for c in self.cuts)
+        if math.prod(size) > MOST_CELLS:
+            return self._descend(x)
+        if self.known is None:
+            self.known = np.full(math.prod(size), np.nan)
+        # a missing value is above all cuts, as it goes right at every node
+        cell = np.ravel_multi_index([np.searchsorted(c, x[:, f]) for f, c in enumerate(self.cuts)], size)
+        new = np.flatnonzero(np.isnan(self.known[cell]))
+        if len(new):
+            cells, first = np.unique(cell[new], return_index=True)
+            self.known[cells] = self._descend(x[new[first]])
+        return self.known[cell]
+
+    def _descend(self, x: np.ndarray, rows: int = 4096) -> np.ndarray:
         out = np.empty(len(x))
         for i in range(0, len(x), rows):
             part = x[i : i + rows]
