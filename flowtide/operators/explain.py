@@ -5,19 +5,23 @@ fixed linear combination of 8 function evaluations per row (weights 1/3,
 1/6, 1/6, 1/3 over the four coalition pairs of each feature).  An absent
 feature takes the table mean (one global aggregate).  For a column-expression
 score (the risk score) the 8 evaluations are 8 column expressions: a pure
-projection, no shuffle.  For a fitted model they are 8 ``transform`` calls on
-vectors of the same row.
+projection, no shuffle.  For a fitted forest they are 8 descents of its nodes
+(``forest.NodeArrays``) over Arrow batches.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.columns import risk_score
+from .forest import NodeArrays, stored_nodes
 
 MASKS = list(product([0, 1], repeat=3))  # (latency, throughput, packet_loss) present?
 
@@ -65,28 +69,27 @@ def global_attribution(attributed: DataFrame) -> DataFrame:
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.col("mean_abs_attribution").desc(), "feature")).cast("long"))
 
 
-def model_attribution(df: DataFrame, model, bg: dict | None = None) -> DataFrame:
-    """Exact Shapley values of a fitted classifier's class-1 probability.
+def model_attribution(df: DataFrame, model, bg: dict | None = None, nodes: DataFrame | None = None) -> DataFrame:
+    """Exact Shapley values of a fitted forest's class-1 probability.
 
-    Adds ``phi_*``, ``base_value`` and ``f_x``.  Each row carries its 8 coalition
-    inputs as vectors and the model transforms each under its own column names:
-    a projection, with no shuffle and no key.
+    Adds ``phi_*``, ``base_value`` and ``f_x``.  Every row's 8 coalition inputs descend the
+    forest's nodes (``nodes``: their table, where the model is stored already): a
+    projection, with no shuffle and no key.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
     bg = bg or background(df)
-    t, v, scrap = df, {}, []
-    for m in MASKS:
-        tag = "".join(map(str, m))
-        names = [f"_in{tag}_{c}" for c in K.FEATURES]
-        t = t.withColumns({n: (F.col(c) if present else F.lit(bg[c])).cast("double") for n, c, present in zip(names, K.FEATURES, m)})
-        cols = [f"_{k}{tag}" for k in ("features", "raw", "probability", "prediction")]
-        t = VectorAssembler(inputCols=names, outputCol=cols[0], handleInvalid="keep").transform(t)
-        own = model.copy(dict(zip((model.featuresCol, model.rawPredictionCol, model.probabilityCol, model.predictionCol), cols)))
-        t = own.transform(t)
-        v[m] = vector_to_array(F.col(cols[2]))[1]
-        scrap += [*names, *cols]
+    mean = [math.nan if bg[c] is None else float(bg[c]) for c in K.FEATURES]
+    arrays = df.sparkSession.sparkContext.broadcast(NodeArrays((stored_nodes(df.sparkSession, model) if nodes is None else nodes).toPandas()))
+    names = ["v" + "".join(map(str, m)) for m in MASKS]
+
+    @F.pandas_udf(", ".join(f"{n} double" for n in names))
+    def coalitions(*columns: pd.Series) -> pd.DataFrame:
+        x = [c.to_numpy(float, na_value=math.nan) for c in columns]
+        absent = [np.full(len(c), v) for c, v in zip(x, mean)]
+        scores = [arrays.value.probability(np.column_stack([own if present else other for own, other, present in zip(x, absent, m)])) for m in MASKS]
+        return pd.DataFrame(dict(zip(names, scores)))
+
+    t = df.withColumn("_coalitions", coalitions(*[F.col(c).cast("double") for c in K.FEATURES]))
+    v = {m: F.col("_coalitions").getField(n) for m, n in zip(MASKS, names)}
     phis = {}
     for i, c in enumerate(K.FEATURES):
         phi = F.lit(0.0)
@@ -94,4 +97,4 @@ def model_attribution(df: DataFrame, model, bg: dict | None = None) -> DataFrame
             if m[i] == 0:
                 phi = phi + F.lit(_weight(m, i)) * (v[tuple(1 if j == i else m[j] for j in range(3))] - v[m])
         phis[f"phi_{c}"] = phi
-    return t.withColumns({**phis, "base_value": v[(0, 0, 0)], "f_x": v[(1, 1, 1)]}).drop(*scrap)
+    return t.withColumns({**phis, "base_value": v[(0, 0, 0)], "f_x": v[(1, 1, 1)]}).drop("_coalitions")

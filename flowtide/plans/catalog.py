@@ -1322,7 +1322,8 @@ def importance_floors_q(spark, d):
 def model_local_attribution_q(spark, d):
     """Shapley values of the selected forest for every test row."""
     test, model = _run(spark, d)
-    a = ex.model_attribution(test.select(*FLOW_KEYS, *K.FEATURES), model, ex.background(features(spark, d)))
+    nodes = ml.run_nodes(spark, training_run(spark, d))
+    a = ex.model_attribution(test.select(*FLOW_KEYS, *K.FEATURES), model, ex.background(features(spark, d)), nodes)
     return out(a.select(*FLOW_KEYS, *[f"phi_{c}" for c in K.FEATURES], "base_value", "f_x"))
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowtide.functions import constants as K
+from flowtide.operators import explain as ex
 from flowtide.operators import forest as fo
 from flowtide.operators import ml
 
@@ -43,3 +44,26 @@ def test_a_forest_without_a_split(spark):
     nodes = fo.NodeArrays(pd.DataFrame(leaf))
     assert nodes.probability(np.zeros((3, 3))).tolist() == [0.5] * 3
 
+
+def test_attribution_equals_the_models_own_scores(spark, fitted):
+    """Eight transforms of the model, as the values were made before."""
+    df, model, nodes = fitted
+    bg = ex.background(df)
+    df = df.limit(200).withColumn("packet_loss", F.when(F.col("id") % 50 != 0, F.col("packet_loss")))
+    got = ex.model_attribution(df, model, bg)
+    assert got._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    given = ex.model_attribution(df, model, bg, spark.createDataFrame(nodes))
+    rows = got.toPandas().set_index("id").sort_index()
+    assert rows.equals(given.toPandas().set_index("id").sort_index())
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    v = {}
+    for m in ex.MASKS:
+        t = df.withColumns({c: F.col(c) if on else F.lit(bg[c]) for c, on in zip(K.FEATURES, m)})
+        t = model.transform(VectorAssembler(inputCols=K.FEATURES, outputCol="features", handleInvalid="keep").transform(t))
+        v[m] = t.select("id", vector_to_array("probability")[1].alias("p")).toPandas().set_index("id").sort_index()["p"]
+    for i, c in enumerate(K.FEATURES):
+        want = sum(ex._weight(m, i) * (v[tuple(1 if j == i else m[j] for j in range(3))] - v[m]) for m in ex.MASKS if not m[i])
+        assert np.allclose(rows[f"phi_{c}"], want, atol=1e-12)
+    assert np.allclose(rows["f_x"], v[1, 1, 1], atol=1e-12) and np.allclose(rows["base_value"], v[0, 0, 0], atol=1e-12)
