@@ -8,7 +8,8 @@ the sum of the conditional log-probabilities scores the document.
    ends are a symbol beside the words.  Each distinct key goes once per chunk, as
    sorted bytes, to the part of the key space that adds up its count over the
    corpus, and the totals go back to the chunk.  Nothing is left out, so the
-   counts grow with the corpus, and a hot word is one key per chunk.
+   counts grow with the corpus, and a hot word is one key per chunk.  A part is held
+   by one task, so there are parts by the chunks, whatever the shuffle's partitions.
 2. Experts, each a distribution over all words of the corpus: uniform, the
    word's share of the corpus, and for every neighbour the share of the word
    among all that stands at this distance from the neighbour.  All leave out the
@@ -37,10 +38,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cleaning, scratch, shuffle_partitions
+from .common import cleaning, scratch, shuffle_partitions, small_batches
 from .textnum import lower_ascii, mix, slices, utf8, word_hashes, words
 
 CHUNK_BYTES = 3_000_000
+#: A part of the key space holds the keys of about so many chunks; a file of chunks and a batch hold so many.
+CHUNKS_A_PART, CHUNKS_A_FILE, CHUNKS_A_BATCH = 6, 8, 4
 REACH = 2
 EXPERTS = 2 + 2 * REACH
 HIDDEN = 16
@@ -195,10 +198,13 @@ def counted(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame,
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kept, sums = scratch(spark, "windows"), scratch(spark, "totals")
-    rows.mapInArrow(_chunks(chunk_bytes), "chunk long, ids array<long>, texts array<string>").write.option("compression", "zstd").parquet(kept)
+    # a reader holds some thousand rows of a file at once, which are chunks here
+    stored = rows.mapInArrow(_chunks(chunk_bytes), "chunk long, ids array<long>, texts array<string>").write
+    stored.option("compression", "zstd").option("maxRecordsPerFile", CHUNKS_A_FILE).parquet(kept)
     chunks = spark.read.schema("chunk long, ids array<long>, texts array<string>").parquet(kept)
-    with cleaning(spark):
-        chunks.select("chunk", "texts").mapInArrow(_count(shuffle_partitions(spark)), KEYS).groupBy("part").applyInArrow(_total, TOTALS).write.parquet(sums)
+    parts = max(shuffle_partitions(spark), -(-chunks.count() // CHUNKS_A_PART))
+    with cleaning(spark), small_batches(spark, CHUNKS_A_BATCH):
+        chunks.select("chunk", "texts").mapInArrow(_count(parts), KEYS).groupBy("part").applyInArrow(_total, TOTALS).write.parquet(sums)
     return chunks, spark.read.schema(TOTALS).parquet(sums)
 
 
