@@ -1,11 +1,11 @@
 """Deterministic what-if projections of corrective actions, per row.
 
 Each row's network state is advanced ``k`` steps by a policy using the
-mid-point effect of every action.  The steps are unrolled as flat column
-projections (one small ``Project`` per step, every expression over column
-references), so the plan grows linearly with ``k``, stays inside whole-stage
-codegen and needs no shuffle: rows are independent.  The per-step log is an
-array of structs that ``inline`` turns into a long table when asked for.
+mid-point effect of every action.  The steps run on Arrow batches (``walk.py``),
+so the plan does not grow with ``k`` and needs no shuffle: rows are independent.
+Single actions, effects and rewards are column expressions.  The per-step log is
+an array of structs that ``inline`` turns into a long table when asked for; log,
+actions and final state are each made only where they are read.
 
 Declared deviations from the original single-row simulator: mid-point effects
 instead of seeded noise, a fresh action history per row (the original shares
@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.columns import alert_tier, clip, heuristic_probability, post_state
+from . import walk
 
 STATE = ["_lat", "_tp", "_loss", "_load", "_prob"]
+INIT = ["init_latency", "init_throughput", "init_packet_loss", "init_tower_load", "init_prob"]
 LOG_FIELDS = [
     "step", "action", "latency", "throughput", "packet_loss", "tower_load", "congestion_prob", "reward",
     "latency_before", "throughput_before", "packet_loss_before", "tower_load_before", "congestion_prob_before",
@@ -152,38 +154,13 @@ def greedy_action(df: DataFrame, reward: str | None = None) -> DataFrame:
 
 
 def random_action(df: DataFrame, key_cols: list[str], step: int, seed: int = 42) -> DataFrame:
-    s = F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in key_cols], F.lit(str(step)))
-    idx = (F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("long") % len(K.ACTIONS)) + 1
-    return df.withColumn("_act", F.element_at(F.array(*[F.lit(a) for a in K.ACTIONS]), idx.cast("int")))
+    return df.withColumn("_act", F.element_at(F.array(*[F.lit(a) for a in K.ACTIONS]), _drawn(key_cols, step, seed) + 1))
 
 
-def _step(df: DataFrame, step: int) -> DataFrame:
-    """Apply ``_act`` to the state columns, recompute probability and reward, log."""
-    lat, tp, loss, load, p = (F.col(c) for c in STATE)
-    e = _effect(F.col("_act"), lat, tp, loss, load)
-    t = df.withColumns({"_lat_b": lat, "_tp_b": tp, "_loss_b": loss, "_load_b": load, "_prob_b": p})
-    t = t.withColumns({"_lat": e["lat"], "_tp": e["tp"], "_loss": e["loss"], "_load": e["load"]})
-    t = t.withColumn("_prob", _prob(F.col("_lat"), F.col("_loss"), F.col("_tp")))
-    t = t.withColumn(
-        "_rew", _reward(F.col("_act"), F.col("_prob_b"), F.col("_prob"), F.col("_lat_b"), F.col("_lat"), F.col("_tp_b"), F.col("_tp"))
-    )
-    log = F.struct(
-        F.lit(step).alias("step"),
-        F.col("_act").alias("action"),
-        F.col("_lat").alias("latency"),
-        F.col("_tp").alias("throughput"),
-        F.col("_loss").alias("packet_loss"),
-        F.col("_load").alias("tower_load"),
-        F.col("_prob").alias("congestion_prob"),
-        F.col("_rew").alias("reward"),
-        F.col("_lat_b").alias("latency_before"),
-        F.col("_tp_b").alias("throughput_before"),
-        F.col("_loss_b").alias("packet_loss_before"),
-        F.col("_load_b").alias("tower_load_before"),
-        F.col("_prob_b").alias("congestion_prob_before"),
-    )
-    t = t.withColumns({f"_log{step}": log, f"_act{step}": F.col("_act"), "_total_reward": F.col("_total_reward") + F.col("_rew")})
-    return t.drop("_lat_b", "_tp_b", "_loss_b", "_load_b", "_prob_b", "_rew", "_act")
+def _drawn(key_cols: list[str], step: int, seed: int) -> Column:
+    """Number of the action that the random policy takes."""
+    s = F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in key_cols], F.lit(str(step)))
+    return (F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("long") % len(K.ACTIONS)).cast("int")
 
 
 def project(
@@ -203,46 +180,23 @@ def project(
     Adds ``_init_*`` (the starting state), final state ``final_*``,
     ``total_reward``, ``actions`` (array) and ``log`` (array of step structs).
     """
-    t = df.withColumns(
-        {
-            "_lat": F.col(lat).cast("double"),
-            "_tp": F.col(tp).cast("double"),
-            "_loss": F.col(loss).cast("double"),
-            "_load": F.col(load).cast("double"),
-            "_prob": F.col(prob).cast("double"),
-            "_h1": F.lit(None).cast("string"),
-            "_h2": F.lit(None).cast("string"),
-            "_n": F.lit(0),
-            "_total_reward": F.lit(0.0),
-        }
-    )
-    t = t.withColumns({"init_latency": F.col("_lat"), "init_throughput": F.col("_tp"), "init_packet_loss": F.col("_loss"), "init_tower_load": F.col("_load"), "init_prob": F.col("_prob")})
-    for s in range(1, steps + 1):
-        if policy == "priority":
-            t = priority_action(t)
-        elif policy == "greedy":
-            t = greedy_action(t)
-        elif policy == "random":
-            t = random_action(t, key_cols or [], s, seed)
-        elif policy == "rule":
-            t = t.withColumn("_act", rule_action_expr(*(F.col(c) for c in STATE)))
-        else:
-            t = t.withColumn("_act", F.lit("do_nothing"))
-        t = _step(t, s)
-    t = t.withColumn("log", F.array(*[F.col(f"_log{s}") for s in range(1, steps + 1)]))
+    start = dict(zip(INIT, (F.col(c).cast("double") for c in (lat, tp, loss, load, prob))))
+    t = df.withColumns(start)
+    given = [F.col(c) for c in INIT]
+    if policy == "random":
+        given.append(F.array(*[_drawn(key_cols or [], s, seed) for s in range(1, steps + 1)]))
+    entry = ", ".join(f"{n}: {'int' if n == 'step' else 'string' if n == 'action' else 'double'}" for n in LOG_FIELDS)
+    # what is not read is not made
+    final = F.arrow_udf(walk.finals(policy, steps), ", ".join(f"{n} double" for n in walk.FINAL))
+    t = t.withColumn("_final", final(*given))
     t = t.withColumns(
         {
-            "final_latency": F.col("_lat"),
-            "final_throughput": F.col("_tp"),
-            "final_packet_loss": F.col("_loss"),
-            "final_tower_load": F.col("_load"),
-            "final_prob": F.col("_prob"),
-            "total_reward": F.col("_total_reward"),
-            # beside the log, which is not made where only the actions are read
-            "actions": F.array(*[F.col(f"_act{s}") for s in range(1, steps + 1)]),
+            "log": F.arrow_udf(walk.log(policy, steps, LOG_FIELDS), f"array<struct<{entry}>>")(*given),
+            **{c if c == "total_reward" else f"final_{c}": F.col("_final").getField(c) for c in walk.FINAL},
+            "actions": F.arrow_udf(walk.actions(policy, steps), "array<string>")(*given),
         }
     )
-    return t.drop(*STATE, "_h1", "_h2", "_n", "_total_reward", *[f"_{kind}{s}" for kind in ("log", "act") for s in range(1, steps + 1)])
+    return t.drop("_final")
 
 
 def simulator_state(df: DataFrame, lat: str, mbps: str, loss: str, load: str, prob: str | None = None) -> DataFrame:
@@ -278,8 +232,7 @@ def summary_columns(projected: DataFrame) -> DataFrame:
 
 def step_log(projected: DataFrame, key_cols: list[str]) -> DataFrame:
     """Long step table: one row per (row, step) via ``inline`` (no shuffle)."""
-    # inline_outer: a non-outer generator makes Catalyst infer size(log) > 0 and push
-    # that filter through every step projection, inlining the whole chain
+    # inline_outer: a non-outer generator makes Catalyst infer size(log) > 0, which is asked before the log is made
     return projected.select(*key_cols, F.inline_outer("log"))
 
 
